@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .line_dedup import OP9_SQL, op9_line_dedup
+from .near_dedup import OP6_SQL, op6_near_dedup
 from .packing import op4_best_fit_packing
 from .token_output import op7_token_ids
 
 QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_near_dedup": op6_near_dedup,
     "op7_token_ids": op7_token_ids,
     "op9_line_dedup": op9_line_dedup,
 }
 SQL = {
     "op5_exact_dedup": OP5_SQL,
+    "op6_near_dedup": OP6_SQL,
     "op9_line_dedup": OP9_SQL,
 }
