@@ -6,9 +6,11 @@ from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .near_dedup import OP6_SQL, op6_near_dedup
 from .packing import op4_best_fit_packing
+from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .token_output import op7_token_ids
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_near_dedup": op6_near_dedup,
@@ -16,6 +18,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
 }
 SQL = {
+    "op1_substring_dedup": OP1_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op6_near_dedup": OP6_SQL,
     "op9_line_dedup": OP9_SQL,
