@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op2_decontaminate
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .near_dedup import OP6_SQL, op6_near_dedup
@@ -11,6 +12,7 @@ from .token_output import op7_token_ids
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_decontaminate": op2_decontaminate,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_near_dedup": op6_near_dedup,
