@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import T_LOWER, arrow_bytes, id_text, ngrams, ranges, slices, words
+from .common import T_EXACT, arrow_bytes, id_text, ngrams, ranges, slices, words
 
 N = 4
 THRESHOLD = 0.5
@@ -42,7 +42,7 @@ class Items:
         raw = [t.encode() for t in texts]
         bounds = np.cumsum([0] + [len(r) for r in raw])
         self.ids = np.array(ids, dtype=np.int64)
-        self.h, _, _, self.first = words(np.frombuffer(b"".join(raw), dtype=np.uint8), bounds, T_LOWER, BREAKS)
+        self.h, _, _, self.first = words(np.frombuffer(b"".join(raw), dtype=np.uint8), bounds, T_EXACT, BREAKS)
         self.n = n
         g, at = ngrams(self.h, self.first, n)
         self.use(g, at)
@@ -110,7 +110,7 @@ def _frequencies(items):
         for b in batches:
             data, bounds = arrow_bytes(b.column(1))
             for i, j in slices(bounds, TEXT_SLICE):
-                h, _, _, first = words(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], T_LOWER, BREAKS)
+                h, _, _, first = words(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], T_EXACT, BREAKS)
                 g, at = ngrams(h, first, items.value.n)
                 p, k = items.value.find(g)
                 doc = np.searchsorted(first, at[p], side="right")
@@ -133,7 +133,7 @@ def _matches(items, threshold: float):
             data, bounds = arrow_bytes(b.column(1))
             rows: list[tuple] = []
             for i, j in slices(bounds, TEXT_SLICE):
-                h, _, _, first = words(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], T_LOWER, BREAKS)
+                h, _, _, first = words(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], T_EXACT, BREAKS)
                 g, at = ngrams(h, first, it.n)
                 p, k = it.find(g)
                 if not len(p):
@@ -184,8 +184,8 @@ def _aligned(it, h, first, ids, doc, item, lo, hi, n_seeds, threshold):
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = N, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """One row per document and test item found in it: doc_id, item_id, score, first_word, last_word, n_seeds."""
     spark = docs.sparkSession
-    texts = id_text(docs, id_col, text_col)
-    tests = id_text(benchmark, item_id, item_text).withColumnRenamed("doc_id", "item_id").distinct()
+    texts = id_text(docs, id_col, text_col).select("doc_id", F.lower("text").alias("text"))
+    tests = id_text(benchmark, item_id, item_text).select(F.col("doc_id").alias("item_id"), F.lower("text").alias("text")).distinct()
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // slice_bytes))
     out = None

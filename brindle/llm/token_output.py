@@ -28,7 +28,7 @@ PER_WORD = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=np.i
 WIDTH = 60 // PER_WORD
 ESCAPE = 15
 BLOCK = 256
-SEGMENT_IDS = 1 << 18
+SEGMENT_IDS = 1 << 20
 MAGIC = b"BRS8"
 SCHEMA = "part int, seq int, n_ids long, doc_ids binary, doc_sizes binary, segment binary"
 
@@ -36,32 +36,29 @@ SCHEMA = "part int, seq int, n_ids long, doc_ids binary, doc_sizes binary, segme
 def _fit(ids: np.ndarray, block: int) -> np.ndarray:
     """For each position the selector with most values that fit there and end within the block."""
     n = len(ids)
-    need = np.zeros(n, dtype=np.uint8)
-    top = int(ids.max(initial=0)).bit_length()
-    for b in range(top):
-        need += (ids >> np.uint64(b)) > 0
-    need = np.maximum(need, 1)
-    room = np.minimum(block - np.arange(n) % block, n - np.arange(n))
+    need = np.full(-(-n // block) * block, 255, dtype=np.uint8)
+    need[:n] = np.maximum(np.frexp(ids.astype(np.float64))[1], 1)
+    need = need.reshape(-1, block)
+
+    def ahead(x: np.ndarray, by: int) -> np.ndarray:
+        """The larger of each place and the one ``by`` further on in its block; none there: too large."""
+        out = np.full_like(x, 255)
+        if by < block:
+            np.maximum(x[:, :-by], x[:, by:], out=out[:, :-by])
+        return out
+
     most = {1: need}
-    size = 1
-    while size < 32:
-        x = most[size].copy()
-        if n > size:
-            x[: n - size] = np.maximum(most[size][: n - size], most[size][size:])
-        most[2 * size] = x
-        size *= 2
-    sel = np.full(n, ESCAPE, dtype=np.int64)
+    while (size := max(most)) < 32:
+        most[2 * size] = ahead(most[size], size)
+    sel = np.full(need.shape, ESCAPE, dtype=np.uint8)
+    low = int(need.min(initial=255))
     for s in range(len(PER_WORD) - 1, -1, -1):
         k, w = int(PER_WORD[s]), int(WIDTH[s])
+        if low > w:
+            continue
         p = 1 << (k.bit_length() - 1)
-        x = most[p]
-        if k > p:
-            y = np.full(n, 255, dtype=np.uint8)
-            if n > k - p:
-                y[: n - (k - p)] = x[k - p :]
-            x = np.maximum(x, y)
-        sel[(x <= w) & (room >= k)] = s
-    return sel
+        np.copyto(sel, np.uint8(s), where=(most[p] if k == p else ahead(most[p], k - p)) <= w)
+    return sel.reshape(-1)[:n]
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
@@ -69,7 +66,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     n = len(ids)
     n_blocks = -(-n // block)
     sel = _fit(ids, block)
-    step = np.where(sel == ESCAPE, 1, PER_WORD[np.minimum(sel, 13)])
+    step = np.append(PER_WORD, [1, 1])[sel]
     at = np.arange(n_blocks, dtype=np.int64) * block
     end = np.minimum(at + block, n)
     chosen = np.zeros(n, dtype=bool)
@@ -79,15 +76,16 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
         live = at < end
         at, end = at[live], end[live]
     pos = np.flatnonzero(chosen)
-    s = sel[pos]
+    s = sel[pos].astype(np.int64)
     out_at = np.arange(len(pos)) + np.cumsum(s == ESCAPE) - (s == ESCAPE)
     words = np.zeros(len(pos) + int((s == ESCAPE).sum()), dtype=np.uint64)
     words[out_at] = s.astype(np.uint64)
     count = step[pos]
     plain = s != ESCAPE
     width = WIDTH[np.minimum(s, 13)]
+    m = np.flatnonzero(plain)
     for k in range(int(count[plain].max(initial=0))):
-        m = plain & (count > k)
+        m = m[count[m] > k]
         words[out_at[m]] |= ids[pos[m] + k] << (4 + k * width[m]).astype(np.uint64)
     words[out_at[~plain] + 1] = ids[pos[~plain]]
     offsets = out_at[np.searchsorted(pos, np.arange(n_blocks) * block)].astype(np.uint32)
@@ -111,8 +109,9 @@ def _unpack(words: np.ndarray, n: int) -> np.ndarray:
     width = WIDTH[np.minimum(s, 13)].astype(np.uint64)
     at = np.cumsum(count) - count
     out = np.zeros(int(count.sum()), dtype=np.uint64)
+    m = np.flatnonzero(~esc)
     for k in range(int(count.max(initial=0))):
-        m = (count > k) & ~esc
+        m = m[count[m] > k]
         out[at[m] + k] = (w[m] >> (np.uint64(4) + np.uint64(k) * width[m])) & ((np.uint64(1) << width[m]) - np.uint64(1))
     if values is not None:
         out[at[esc]] = values

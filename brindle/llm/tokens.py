@@ -1,8 +1,8 @@
-"""Token ids with the tokenizers library, one word at a time.
+"""Token ids with the tokenizers library, one piece at a time.
 
-The byte-level tokenizer splits a text into pieces by a fixed pattern and encodes each piece by itself, so a piece met
-before need not be encoded again. New pieces that start with a space are encoded by the library many at a time, joined
-to one text that the pattern splits at the same places. The cache is bounded and holds nothing but pieces and their ids.
+The byte-level tokenizer splits a text into pieces by a fixed pattern and encodes each piece by itself, so equal pieces
+have equal ids. Pieces met before come from a bounded cache. New ones are encoded by the library: those that are a
+space and letters many at a time, joined to short texts that the pattern splits at the same places.
 """
 
 from __future__ import annotations
@@ -16,12 +16,14 @@ from .common import ranges
 
 #: fixed: the split pattern of the byte-level tokenizer (see the tokenizer folder's README)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_PIECES = 1_000_000
+#: pieces that stay cached; later new ones are encoded again each time (they are rare)
+CACHE_PIECES = 600_000
+JOINED = 40
 _open: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_PIECES):
         import regex
         from tokenizers import Tokenizer
 
@@ -29,16 +31,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.pieces = regex.compile(PATTERN).findall
-        self.joinable = regex.compile(r" \p{L}+").fullmatch
-        self.clear()
-
-    def clear(self) -> None:
+        self.most = most
         self.code: dict[str, int] = {}
         self.size, self.at = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
         self.flat, self.used = np.zeros(1 << 18, dtype=np.uint32), 0
 
-    def _add(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
-        n, m = len(self.code), len(words)
+    def _add(self, pieces: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        n, m = len(self.code), len(pieces)
         while n + m > len(self.size):
             self.size, self.at = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.at))
         while self.used + len(ids) > len(self.flat):
@@ -47,38 +46,44 @@ class Encoder:
         self.at[n : n + m] = self.used + np.cumsum(sizes) - sizes
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        self.code.update(zip(words, range(n, n + m), strict=True))
+        self.code.update(zip(pieces, range(n, n + m), strict=True))
 
     def _learn(self, new: list[str]) -> None:
-        plain = [w for w in new if self.joinable(w)]
-        other = [w for w in new if not self.joinable(w)]
-        for i in range(0, len(plain), 4000):
-            part = plain[i : i + 4000]
-            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            of = np.array(e.word_ids, dtype=np.int64)
-            if len(of) == 0 or of[-1] != len(part) - 1:  # the library split otherwise: one by one then
-                other += part
-                continue
-            self._add(part, np.bincount(of, minlength=len(part)), np.array(e.ids, dtype=np.uint32))
+        plain, other = [], []
+        for p in new:
+            (plain if p[0] == " " and p[1:].isalpha() else other).append(p)
+        n = len(plain) // JOINED * JOINED
+        plain, other = plain[:n], other + plain[n:]
+        if plain:
+            got = self.tokenizer.encode_batch_fast(["".join(plain[i : i + JOINED]) for i in range(0, n, JOINED)], add_special_tokens=False)
+            of = [e.word_ids for e in got]
+            if all(w[-1] == JOINED - 1 for w in of):
+                each = np.fromiter(itertools.chain.from_iterable(of), dtype=np.int64) + np.repeat(np.arange(len(of)) * JOINED, [len(w) for w in of])
+                self._add(plain, np.bincount(each, minlength=n), np.fromiter(itertools.chain.from_iterable(e.ids for e in got), dtype=np.uint32))
+            else:  # the library split otherwise: one by one then
+                other += plain
         if other:
             got = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
-            self._add(other, np.array([len(x) for x in got], dtype=np.int64), np.array(list(itertools.chain.from_iterable(got)), dtype=np.uint32))
+            self._add(other, np.array([len(x) for x in got], dtype=np.int64), np.fromiter(itertools.chain.from_iterable(got), dtype=np.uint32))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts joined, bounds): text i has ids[bounds[i]:bounds[i + 1]]."""
-        if len(self.code) > CACHE_PIECES:
-            self.clear()
-        split = [self.pieces(t) for t in texts]
+        split = list(map(self.pieces, texts))
         known = self.code
-        new = {w for words in split for w in words if w not in known}
+        new = list(set().union(*split).difference(known))
+        used = self.used
         if new:
-            self._learn(list(new))
-        n = sum(map(len, split))
-        codes = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(split)), dtype=np.int64, count=n)
+            self._learn(new)
+        lengths = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        codes = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(split)), dtype=np.int64, count=int(lengths.sum()))
         sizes = self.size[codes]
         ids = self.flat[np.repeat(self.at[codes], sizes) + ranges(sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        return ids, ends[np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)]
+        if len(known) > self.most:
+            for p in new:
+                del known[p]
+            self.used = used
+        return ids, ends[np.concatenate([[0], np.cumsum(lengths)])]
 
 
 def encoder(path: str) -> Encoder:
