@@ -9,6 +9,7 @@ from .near_dedup import OP6_SQL, op6_near_dedup
 from .packing import op4_best_fit_packing
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .token_output import op7_token_ids
+from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_near_dedup": op6_near_dedup,
     "op7_token_ids": op7_token_ids,
     "op9_line_dedup": op9_line_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 SQL = {
     "op1_substring_dedup": OP1_SQL,
