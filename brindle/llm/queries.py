@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op2_decontaminate
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .license_scan import op8_license_scan
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .near_dedup import OP6_SQL, op6_near_dedup
 from .packing import op4_best_fit_packing
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_near_dedup": op6_near_dedup,
     "op7_token_ids": op7_token_ids,
+    "op8_license_scan": op8_license_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
 }
