@@ -135,6 +135,28 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return joined.mapInArrow(_apply(digest), "doc_id long, n_lines long, n_dropped long, out string").withColumnRenamed("out", "kept_sha256" if digest else "text")
 
 
+def _replace(text_at: int, n_columns: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            columns = b.columns[:n_columns]
+            gone, keep = (b.column(n_columns + k).to_pylist() for k in range(2))
+            text = [kept_lines(t, k) if n else t for t, n, k in zip(columns[text_at].to_pylist(), gone, keep, strict=True)]
+            columns[text_at] = pa.array(text, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:n_columns])
+
+    return run
+
+
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs`` with all their columns, texts without the lines that an earlier document holds. Rows without an id stay as they are."""
+    maps = line_bitmaps(docs, id_col, text_col, min_chars).where("n_dropped > 0").select(F.col("doc_id").alias("_own_id_"), F.col("tkey").alias("_own_key_"), F.col("n_dropped").alias("_gone_"), F.col("keep").alias("_keep_"))
+    own = [F.col(f"`{id_col}`").cast("long") == F.col("_own_id_"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) == F.col("_own_key_")]
+    joined = docs.join(maps, own, "left").select(*(docs[f"`{c}`"] for c in docs.columns), "_gone_", "_keep_")
+    return joined.mapInArrow(_replace(docs.columns.index(text_col), len(docs.columns)), docs.schema)
+
+
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True)
 

@@ -6,11 +6,12 @@ level by level over all shingles of a document at once: after level j no later v
 stops as soon as all its slots are under that.
 
 Documents with the same set are one class, found by a digest of the sorted set; only the class's smallest id goes on.
-Signatures are cut into bands. In each band's bucket members are first compared with one centre (star), what shares a
-component is not compared again, and what then is still apart in a bucket is compared exactly, block against block,
-behind two exact-safe tests: the bound that set sizes put on similarity, and a wide margin on the signatures'
-estimate. Every link is confirmed on full sets. Components are found by alternating min-label propagation and
-pointer jumping over the links (union-find by rounds, no links on the driver).
+Signatures are cut into bands. In each band's bucket members are first compared with one centre (star). What is still
+in different components of a bucket is compared block against block, at first within blocks only, then between all
+blocks: a task rules pairs out by set sizes, by a wide margin on the signatures' estimate and by sketches (the 512
+smallest hashes of a set: the whole set if it is that small), and of the rest emits what joins components, not all
+pairs. Every link is confirmed on full sets. Components are found by alternating min-label propagation and pointer
+jumping over the links (union-find by rounds, no links on the driver).
 
 Defined cases: null or wordless text has an empty set, is linked with nothing and its own component; fewer words
 than a shingle: the whole sequence; rows without an id are left out; rows that repeat an id are one document each
@@ -25,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import T_LOWER, Workspace, arrow_bytes, binary_array, id_text, mix, n_partitions, ngrams, powers, ranges, slices, words
+from .common import T_LOWER, Workspace, arrow_bytes, binary_array, id_text, mix, ngrams, slices, words
 
 SHINGLE = 5
 BANDS, ROWS = 26, 5
@@ -34,6 +35,7 @@ CHUNK = 128
 BUCKET_BLOCK = 512
 #: six standard errors of the estimate from SLOTS independent slots, which SuperMinHash does not exceed
 MARGIN = 6.0
+SMALLEST = 512
 TEXT_SLICE = 1 << 20
 
 
@@ -129,7 +131,7 @@ def _sign(batches):
             sig = super_minhash(g, cuts)
             sizes = np.diff(cuts)
             digest = [hashlib.blake2b(g[x:y].tobytes(), digest_size=16).digest() if y > x else None for x, y in zip(cuts, cuts[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(sizes.astype(np.int64)), pa.array(digest, pa.binary()), binary_array(list(sig))], names=["doc_id", "n_shingles", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(sizes.astype(np.int64)), pa.array(digest, pa.binary()), binary_array(list(sig)), binary_array([(g[x : min(y, x + SMALLEST)] >> np.uint64(32)).astype(np.uint32) for x, y in zip(cuts, cuts[1:], strict=False)])], names=["doc_id", "n_shingles", "digest", "sig", "low"])
 
 
 def _bands(batches):
@@ -139,7 +141,7 @@ def _bands(batches):
         sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, SLOTS)
         keys = band_keys(sig)
         n = np.repeat(np.arange(len(sig)), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), b.column("doc_id").take(pa.array(n)), b.column("n_shingles").take(pa.array(n))], names=["bucket", "doc_id", "n_shingles"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(sig))), b.column("doc_id").take(pa.array(n)), b.column("n_shingles").take(pa.array(n))], names=["bucket", "band", "doc_id", "n_shingles"])
 
 
 def _confirm(percent: int):
@@ -168,18 +170,13 @@ def _confirm(percent: int):
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are as similar as asked. A centre's pairs go in chunks, each with its text once."""
-    dealt = pairs.withColumn("chunk", F.pmod(F.xxhash64("b"), F.ceil(F.count(F.lit(1)).over(_by("a")) / CHUNK).cast("int")))
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
     members = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b")
     centres = dealt.select(F.col("a").alias("ca"), F.col("chunk").alias("cc")).distinct().join(texts.select(F.col("doc_id").alias("ca"), F.col("text").alias("text")), "ca")
     return members.groupBy("a", "chunk").cogroup(centres.groupBy("ca", "cc")).applyInArrow(_confirm(percent), "a long, b long")
 
 
-def _by(*cols):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*cols)
-
-
 def components(nodes: DataFrame, links: DataFrame, ws: Workspace, name: str, column: str = "component_id") -> DataFrame:
     """(doc_id, component): the smallest id that each node reaches. Rounds: take the least label of the neighbours, then jump."""
     both = ws.put(links.select(F.col("a").alias("s"), F.col("b").alias("t")).union(links.select("b", "a")).distinct(), f"{name}_links")
@@ -198,67 +195,119 @@ def components(nodes: DataFrame, links: DataFrame, ws: Workspace, name: str, col
     return nodes.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(*nodes.columns, F.coalesce("label", "doc_id").alias(column))
 
 
-def _cross(percent: int):
+class Side:
+    """A block of a bucket."""
+
+    def __init__(self, t):
+        self.ids, self.comp, self.n = t.column("doc_id").to_numpy(), t.column("comp").to_numpy(), t.column("n_shingles").to_numpy()
+        self.sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, SLOTS)
+        self.low = [np.frombuffer(x, dtype=np.uint32) for x in t.column("low").to_pylist()]
+
+
+def _sketched(one: np.ndarray, whole: bool, others: list[np.ndarray], wholes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(common, in either, exact?) of one sketch and others, up to the smaller of their largest hashes unless both are whole sets."""
+    sizes = np.array([len(x) for x in others])
+    values, owner = np.concatenate(others), np.repeat(np.arange(len(others)), sizes)
+    last = np.array([x[-1] for x in others], dtype=np.int64)
+    top = np.minimum(np.where(wholes, 1 << 32, last), 1 << 32 if whole else int(one[-1]))
+    under = values <= top[owner]
+    at = np.minimum(np.searchsorted(one, values), len(one) - 1)
+    common = np.bincount(owner, weights=(one[at] == values) & under, minlength=len(others))
+    either = np.searchsorted(one, top, side="right") + np.bincount(owner, weights=under, minlength=len(others)) - common
+    return common, either, wholes & whole
+
+
+def _cross(percent: int, between: bool):
+    need = percent / 100
+    floor = SLOTS * (need - MARGIN * (need * (1 - need) / SLOTS) ** 0.5)
+
     def run(key, left, right):
-        """Pairs of two blocks of one bucket that may be similar and are still in different components."""
+        """Pairs of two blocks of one bucket that are in different components and may be similar."""
         import pyarrow as pa
 
-        def side(t):
-            return t.column("doc_id").to_numpy(), t.column("comp").to_numpy(), t.column("n_shingles").to_numpy().astype(np.float64), np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, SLOTS)
+        root: dict[int, int] = {}
+
+        def find(x):
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
 
-        (ia, ca, na, sa), (ib, cb, nb, sb) = side(left), side(right)
-        need = percent / 100
-        floor = SLOTS * (need - MARGIN * (need * (1 - need) / SLOTS) ** 0.5)
         a, b = [], []
-        for k in range(len(ia)):
-            size = np.minimum(nb, na[k]) >= need * np.maximum(nb, na[k])
-            m = np.flatnonzero(size & (cb != ca[k]) & ((ib > ia[k]) | (key[1].as_py() != key[2].as_py())))
-            if len(m):
-                m = m[(sb[m] == sa[k]).sum(axis=1) >= floor]
-                a += [min(ia[k], x) for x in ib[m]]
-                b += [max(ia[k], x) for x in ib[m]]
+        if left.num_rows and right.num_rows:
+            p, q, band = Side(left), Side(right), left.column("band")[0].as_py()
+            same = key[1].as_py() == key[2].as_py()
+            for k in range(len(p.ids)):
+                m = np.flatnonzero((q.comp != p.comp[k]) & (np.minimum(q.n, p.n[k]) >= need * np.maximum(q.n, p.n[k])) & ((q.ids > p.ids[k]) | (not same)))
+                if not len(m):
+                    continue
+                equal = q.sig[m] == p.sig[k]
+                likely = equal.sum(axis=1) >= floor
+                if between and band:  # a pair belongs to its first common band
+                    likely &= ~equal[:, : band * ROWS].reshape(len(m), band, ROWS).all(axis=2).any(axis=1)
+                m = m[likely]
+                if not len(m):
+                    continue
+                both, either, exact = _sketched(p.low[k], p.n[k] <= SMALLEST, [q.low[i] for i in m], q.n[m] <= SMALLEST)
+                spread = np.where(exact, 0.02, MARGIN * np.sqrt(need * (1 - need) / np.maximum(either, 1)))
+                sure = exact & (100 * (both - 2) >= percent * (either + 2))  # whatever two hash collisions may hide
+                for i, certain in zip(m[both >= (need - spread) * either], sure[both >= (need - spread) * either], strict=True):
+                    x, y = find(int(p.comp[k])), find(int(q.comp[i]))
+                    if x != y:
+                        a.append(min(p.ids[k], q.ids[i]))
+                        b.append(max(p.ids[k], q.ids[i]))
+                        if certain:
+                            root[x] = y
         return pa.table({"a": pa.array(np.array(a, dtype=np.int64)), "b": pa.array(np.array(b, dtype=np.int64))})
 
     return run
 
 
+def _apart(buckets: DataFrame, comp: DataFrame, reps: DataFrame, percent: int, between: bool) -> DataFrame:
+    """Candidate pairs of buckets that hold several components: within blocks, or between all blocks."""
+    rows = buckets.select("bucket", "band", "doc_id", "n_shingles").join(comp, "doc_id")
+    mixed = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("bucket", "m")
+    n_blocks = F.ceil(F.col("m") / BUCKET_BLOCK).cast("int")
+    rows = rows.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(int(between))), n_blocks).cast("int")).withColumn("n_blocks", n_blocks).join(reps.select("doc_id", "sig", "low"), "doc_id")
+    columns = ("band", "doc_id", "comp", "n_shingles", "sig", "low")
+    last = F.col("n_blocks") - 1 if between else F.col("block")
+    first = F.lit(0) if between else F.col("block")
+    left = rows.withColumn("other", F.explode(F.sequence("block", last))).select("bucket", F.col("block").alias("x"), F.col("other").alias("y"), *columns)
+    right = rows.withColumn("other", F.explode(F.sequence(first, F.col("block")))).select(F.col("bucket").alias("bucket2"), F.col("other").alias("x2"), F.col("block").alias("y2"), *(F.col(c).alias(c) for c in columns))
+    return left.groupBy("bucket", "x", "y").cogroup(right.groupBy("bucket2", "x2", "y2")).applyInArrow(_cross(percent, between), "a long, b long").distinct()
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     ws = Workspace(spark, "near")
     texts = id_text(docs, id_col, text_col)
-    signed = ws.put(texts.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, sig binary"), "signed")
-    classes = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "sig"), "doc_id").alias("x"))
-    reps = ws.put(classes.select("digest", F.col("rep").alias("doc_id"), "x.n_shingles", "x.sig"), "reps")
-    member = signed.join(reps.select("digest", F.col("doc_id").alias("rep")), "digest", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    banded = reps.select("doc_id", "n_shingles", "sig").mapInArrow(_bands, "bucket long, doc_id long, n_shingles long")
+    signed = ws.put(texts.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, sig binary, low binary"), "signed")
+    classes = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "sig", "low"), "doc_id").alias("x"))
+    reps = ws.put(classes.select("digest", F.col("rep").alias("doc_id"), "x.n_shingles", "x.sig", "x.low"), "reps")
+    banded = reps.select("doc_id", "n_shingles", "sig").mapInArrow(_bands, "bucket long, band int, doc_id long, n_shingles long")
     centre = banded.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = ws.put(banded.join(centre, "bucket"), "buckets")
     need = percent / 100
-    # Star: every member with its bucket's centre.
     star = buckets.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"), "n_shingles")
     star = star.join(reps.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a")), "a").where(F.least("n_shingles", "n_a") >= need * F.greatest("n_shingles", "n_a")).select("a", "b").distinct()
-    rep_texts = texts.join(reps.select("doc_id", F.col("digest").alias("own")).dropDuplicates(["doc_id"]), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text")
-    tried = ws.put(star, "star")
-    named = tried.select(F.col("a").alias("doc_id")).union(tried.select("b")).distinct()
-    used = ws.put(rep_texts.join(named, "doc_id"), "texts")
-    links = ws.put(confirm(tried, used, percent), "links")
-    comp = components(reps.select("doc_id"), links, ws, "star_comp", "comp")
-    comp = ws.put(comp, "comp")
-    # What is still apart in a bucket: blocks against blocks, only where components differ.
-    apart = buckets.join(comp, "doc_id")
-    mixed = apart.groupBy("bucket").agg(F.count_distinct("comp").alias("k"), F.count(F.lit(1)).alias("m")).where("k > 1").select("bucket", "m")
-    n_blocks = F.ceil(F.col("m") / BUCKET_BLOCK).cast("int")
-    rows = apart.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), n_blocks).cast("int")).withColumn("n_blocks", n_blocks).join(reps.select("doc_id", "sig"), "doc_id").select("bucket", "block", "n_blocks", "doc_id", "comp", "n_shingles", "sig")
-    rows = ws.put(rows, "apart")
-    left = rows.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("n_blocks") - 1))).select("bucket", F.col("block").alias("x"), F.col("other").alias("y"), "doc_id", "comp", "n_shingles", "sig")
-    right = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("block")))).select(F.col("bucket").alias("bucket2"), F.col("other").alias("x2"), F.col("block").alias("y2"), *(F.col(c).alias(c) for c in ("doc_id", "comp", "n_shingles", "sig")))
-    more = left.groupBy("bucket", "x", "y").cogroup(right.groupBy("bucket2", "x2", "y2")).applyInArrow(_cross(percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    more = ws.put(more, "cross")
-    if more.head(1):
+    rep_texts = texts.join(reps.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"])
+    tried, links, comp = ws.put(star, "pairs0"), None, reps.select("doc_id", F.col("doc_id").alias("comp"))
+    more, k = tried, 0
+    while more.head(1):
         named = more.select(F.col("a").alias("doc_id")).union(more.select("b")).distinct()
-        links = links.unionByName(ws.put(confirm(more, ws.put(rep_texts.join(named, "doc_id"), "texts2"), percent), "links2"))
-        comp = components(reps.select("doc_id"), links, ws, "all_comp", "comp")
+        used = ws.put(rep_texts.join(named, "doc_id"), f"texts{k}")
+        new = ws.put(confirm(more, used, percent), f"links{k}")
+        ws.drop(f"texts{k}")
+        links = new if links is None else links.unionByName(new)
+        comp = ws.put(components(reps.select("doc_id"), links, ws, f"step{k}", "comp"), f"comp{k}")
+        k += 1
+        # Round 1 joins what it can within blocks; later ones compare all blocks until nothing untried is left.
+        more = ws.put(_apart(buckets, comp, reps, percent, k > 1).join(tried, ["a", "b"], "left_anti"), f"pairs{k}")
+        if k == 1 and not more.head(1):
+            k += 1
+            more = ws.put(_apart(buckets, comp, reps, percent, True).join(tried, ["a", "b"], "left_anti"), f"pairs{k}")
+        tried = tried.unionByName(more)
+    member = signed.join(reps.select("digest", F.col("doc_id").alias("rep")), "digest", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     out = member.join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

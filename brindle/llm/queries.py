@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op2_decontaminate
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .html_extract import op3_html_extract
 from .license_scan import op8_license_scan
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .near_dedup import OP6_SQL, op6_near_dedup
@@ -15,6 +16,7 @@ from .toxicity import op10_toxicity
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontaminate": op2_decontaminate,
+    "op3_html_extract": op3_html_extract,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_near_dedup": op6_near_dedup,

@@ -219,5 +219,28 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
+def _reject(sent, text_at: int, threshold: float):
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            text = b.column(text_at).fill_null("")
+            data, bounds = arrow_bytes(text)
+            index = sent.value
+            score = [index.score(index.vectors(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]))[0] for i, j in slices(bounds, TEXT_SLICE)]
+            yield b.filter(pa.array(np.concatenate(score) < threshold)) if score else b
+
+    return run
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "toxic", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is under the threshold, with all their columns; no shuffle of texts."""
+    texts = id_text(docs, id_col, text_col)
+    known = labels.select(F.col(f"`{label_id}`").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("y"))
+    index = train(texts, known, F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+    return docs.mapInArrow(_reject(sent, docs.columns.index(text_col), threshold), docs.schema)
+
+
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
