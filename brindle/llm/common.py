@@ -49,6 +49,9 @@ def conf(spark: SparkSession, **values):
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 class Workspace:
     """Tables of one operator call in the shared folder. ``drop`` removes those that a later one replaces."""
 
@@ -56,6 +59,9 @@ class Workspace:
         self.spark = spark
         self.id = f"{label}_{uuid.uuid4().hex[:12]}"
         self.path = f"{checkpoint_root(spark)}/{self.id}"
+        # Whole texts: batches of the default 10,000 rows would take hundreds of MB beside the heap.
+        if spark.conf.get(BATCH, "10000") == "10000":
+            spark.conf.set(BATCH, "1500")
         _made.append((spark, self.path))
 
     def put(self, df: DataFrame, name: str, bucket: tuple[int, str] | None = None, partition: str | None = None) -> DataFrame:
