@@ -30,6 +30,9 @@ RAW = frozenset("script style textarea title iframe noembed noframes xmp".split(
 #: fixed: start tags that end an open element of these names
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "body": {"head"}}
 SCOPES = frozenset("table ul ol dl select body html article section div main aside nav header footer form".split())
+#: these border no block: text goes on behind them
+UNSEEN = (SKIPPED | RAW) - {"head"}
+FLOWS = INLINE | UNSEEN
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
@@ -66,7 +69,7 @@ def blocks(page: str) -> list[tuple[str, int, str, frozenset]]:
 
     def block_of():
         for e in reversed(stack):
-            if e.name not in INLINE:
+            if e.name not in FLOWS:
                 return e
         return stack[0]
 
@@ -92,7 +95,7 @@ def blocks(page: str) -> list[tuple[str, int, str, frozenset]]:
             linked += len(t.strip())
 
     def pop_to(k: int):
-        if any(e.name not in INLINE for e in stack[k:]):
+        if any(e.name not in FLOWS for e in stack[k:]):
             flush()
         del stack[k:]
 
@@ -118,13 +121,13 @@ def blocks(page: str) -> list[tuple[str, int, str, frozenset]]:
                 if name in INLINE and stack[k].name not in INLINE:
                     break
             else:
-                if name not in INLINE:
+                if name not in FLOWS:
                     flush()
             continue
         if name == "br":
             add(" ")
             continue
-        if name not in INLINE:
+        if name not in FLOWS:
             flush()
             for k in range(len(stack) - 1, 0, -1):  # a block-level start ends an open paragraph
                 if stack[k].name == "p":
