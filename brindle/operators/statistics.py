@@ -93,7 +93,7 @@ def rank_column(df: DataFrame, v: str, ties, average: bool) -> DataFrame:
 def _r(n, sx, sy, sxx, syy, sxy):
     top, vx, vy = n * sxy - sx * sy, n * sxx - sx * sx, n * syy - sy * sy
     r = F.when((vx > 0) & (vy > 0), top / F.nullif(F.sqrt(F.greatest(vx * vy, F.lit(0.0))), F.lit(0.0)))
-    return F.when(n >= LEAST_PAIRS, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
+    return F.when((n >= LEAST_PAIRS) & r.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
 
 
 def correlations(df: DataFrame, columns=None, method: str = "pearson", least: float = 0.3, top: int | None = 20, ties=()) -> DataFrame:

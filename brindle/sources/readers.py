@@ -34,7 +34,7 @@ def head(spark: SparkSession, path: str, size: int = SNIFF_BYTES) -> bytes:
 
 
 def encoding_of(raw: bytes) -> str:
-    """A byte-order mark decides; else UTF-8 if it decodes, else Windows-1252."""
+    """A byte-order mark decides; else UTF-8 if it decodes, else Latin-1."""
     for mark, name in ((b"\xef\xbb\xbf", "UTF-8"), (b"\xff\xfe", "UTF-16LE"), (b"\xfe\xff", "UTF-16BE")):
         if raw.startswith(mark):
             return name
@@ -44,7 +44,7 @@ def encoding_of(raw: bytes) -> str:
             return "UTF-8"
         except UnicodeDecodeError:
             continue
-    return "windows-1252"
+    return "ISO-8859-1"
 
 
 def delimiter_of(raw: bytes, encoding: str, path: str = "") -> str:
