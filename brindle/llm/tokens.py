@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 
 import numpy as np
 
@@ -19,9 +20,24 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: pieces that stay cached; later new ones are encoded again each time (they are rare)
 CACHE_PIECES = 600_000
 JOINED = 40
+#: the same split for texts of Latin letters, without number signs and white space that the two libraries see differently
+_USUAL = re.compile(r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+_UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0\xb2\xb3\xb9\xbc-\xbe]|[^\x00-\u024f]").search
 _open: dict[str, "Encoder"] = {}
 
 
+class _Codes(dict):
+    """Piece to number; a piece not met before gets the next one and is noted."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
+
+
 class Encoder:
     def __init__(self, path: str, most: int = CACHE_PIECES):
         import regex
@@ -30,52 +46,55 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pieces = regex.compile(PATTERN).findall
+        self.exact = regex.compile(PATTERN).findall
         self.most = most
-        self.code: dict[str, int] = {}
+        self.code = _Codes()
         self.size, self.at = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
         self.flat, self.used = np.zeros(1 << 18, dtype=np.uint32), 0
 
-    def _add(self, pieces: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
-        n, m = len(self.code), len(pieces)
-        while n + m > len(self.size):
-            self.size, self.at = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.at))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.size[n : n + m] = sizes
-        self.at[n : n + m] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.code.update(zip(pieces, range(n, n + m), strict=True))
+    def pieces(self, text: str) -> list[str]:
+        return self.exact(text) if _UNUSUAL(text) else _USUAL(text)
 
     def _learn(self, new: list[str]) -> None:
-        plain, other = [], []
-        for p in new:
-            (plain if p[0] == " " and p[1:].isalpha() else other).append(p)
-        n = len(plain) // JOINED * JOINED
-        plain, other = plain[:n], other + plain[n:]
-        if plain:
-            got = self.tokenizer.encode_batch_fast(["".join(plain[i : i + JOINED]) for i in range(0, n, JOINED)], add_special_tokens=False)
+        """Ids of the pieces with the highest numbers, in their order."""
+        n = len(self.code) - len(new)
+        while len(self.code) > len(self.size):
+            self.size, self.at = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.at))
+        plain = np.fromiter((p[0] == " " and p[1:].isalpha() for p in new), dtype=bool, count=len(new))
+        where = np.flatnonzero(plain)
+        where = where[: len(where) // JOINED * JOINED]
+        rest = np.ones(len(new), dtype=bool)
+        if len(where):
+            words = [new[i] for i in where.tolist()]
+            got = self.tokenizer.encode_batch(["".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)], add_special_tokens=False)
             of = [e.word_ids for e in got]
-            if all(w[-1] == JOINED - 1 for w in of):
+            if all(w[-1] == JOINED - 1 for w in of):  # else the library split otherwise: one by one then
                 each = np.fromiter(itertools.chain.from_iterable(of), dtype=np.int64) + np.repeat(np.arange(len(of)) * JOINED, [len(w) for w in of])
-                self._add(plain, np.bincount(each, minlength=n), np.fromiter(itertools.chain.from_iterable(e.ids for e in got), dtype=np.uint32))
-            else:  # the library split otherwise: one by one then
-                other += plain
-        if other:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
-            self._add(other, np.array([len(x) for x in got], dtype=np.int64), np.fromiter(itertools.chain.from_iterable(got), dtype=np.uint32))
+                self._keep(n + where, np.bincount(each, minlength=len(words)), [e.ids for e in got])
+                rest[where] = False
+        where = np.flatnonzero(rest)
+        if len(where):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([new[i] for i in where.tolist()], add_special_tokens=False)]
+            self._keep(n + where, np.array([len(x) for x in got], dtype=np.int64), got)
+
+    def _keep(self, codes: np.ndarray, sizes: np.ndarray, ids: list[list[int]]) -> None:
+        total = int(sizes.sum())
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.size[codes] = sizes
+        self.at[codes] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32, count=total)
+        self.used += total
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts joined, bounds): text i has ids[bounds[i]:bounds[i + 1]]."""
         split = list(map(self.pieces, texts))
-        known = self.code
-        new = list(set().union(*split).difference(known))
-        used = self.used
-        if new:
-            self._learn(new)
+        known, used = self.code, self.used
         lengths = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
         codes = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(split)), dtype=np.int64, count=int(lengths.sum()))
+        new, known.new = known.new, []
+        if new:
+            self._learn(new)
         sizes = self.size[codes]
         ids = self.flat[np.repeat(self.at[codes], sizes) + ranges(sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])
