@@ -71,21 +71,22 @@ def _ranked(df: DataFrame, x: str, y: str, method: str, ties) -> DataFrame:
 
 
 def rank_column(df: DataFrame, v: str, ties, average: bool) -> DataFrame:
-    """Replaces v by its rank over the whole table. Rows are dealt by ranges of the value, so equal values share a partition;
-    ranks within it are moved up by the sizes of those before (one number a partition), and no task sorts everything."""
-    dealt = df.repartitionByRange(F.col(v)).withColumn("_p", F.spark_partition_id())
-    sizes = {r["_p"]: r["n"] for r in dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Replaces v by its rank over the whole table. Rows are dealt by fixed ranges of the value (approximate quantiles), so
+    equal values share a range; ranks within it move up by the sizes of those before, and no task sorts everything."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = df.agg(F.percentile_approx(v, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0]
+    if cuts is None:
+        return df
+    dealt = df.withColumn("_p", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(v))))
+    sizes = {r["_p"]: r["n"] for r in dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a range
     before, shift = 0, []
     for p in sorted(sizes):
         shift.append((p, before))
         before += sizes[p]
-    if not shift:
-        return df
-    w = Window.partitionBy("_p").orderBy(v, *ties)
-    within = F.row_number().over(w).cast("double")
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(v, *ties)).cast("double")
     if average:
-        n = F.count(F.lit(1)).over(Window.partitionBy("_p", v))
-        within = F.rank().over(Window.partitionBy("_p").orderBy(v)) + (n - 1) / 2
+        alike = F.count(F.lit(1)).over(Window.partitionBy("_p", v))
+        within = F.rank().over(Window.partitionBy("_p").orderBy(v)) + (alike - 1) / 2
     placed = dealt.join(F.broadcast(df.sparkSession.createDataFrame(shift, "_p int, _s long")), "_p").withColumn("_r", within + F.col("_s"))
     return placed.select(*(F.col("_r").alias(v) if c == v else F.col(c) for c in df.columns))
 
