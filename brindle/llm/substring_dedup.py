@@ -227,7 +227,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     ws = Workspace(spark, "substring")
     texts = id_text(docs, id_col, text_col)
-    n_bytes = volume(texts)[1]
+    n_bytes = volume(texts)
     n_blocks = n_partitions(spark, n_bytes, block_bytes)
     about = max(n_bytes // 6, 1)
     bits, n_shards = min(about.bit_length() + EXTRA_BITS, 60), max(1, -(-about // shard_cells))

@@ -29,15 +29,19 @@ WIDTH = 60 // PER_WORD
 ESCAPE = 15
 BLOCK = 256
 SEGMENT_IDS = 1 << 20
+CUTS = 1000
 MAGIC = b"BRS8"
 SCHEMA = "part int, seq int, n_ids long, doc_ids binary, doc_sizes binary, segment binary"
 
 
+_BITS = np.maximum(np.frexp(np.arange(1 << 16))[1], 1).astype(np.uint8)
+
+
 def _fit(ids: np.ndarray, block: int) -> np.ndarray:
     """For each position the selector with most values that fit there and end within the block."""
     n = len(ids)
     need = np.full(-(-n // block) * block, 255, dtype=np.uint8)
-    need[:n] = np.maximum(np.frexp(ids.astype(np.float64))[1], 1)
+    need[:n] = _BITS[ids.astype(np.int64)] if int(ids.max(initial=0)) < len(_BITS) else np.maximum(np.frexp(ids.astype(np.float64))[1], 1)
     need = need.reshape(-1, block)
 
     def ahead(x: np.ndarray, by: int) -> np.ndarray:
@@ -48,15 +52,18 @@ def _fit(ids: np.ndarray, block: int) -> np.ndarray:
         return out
 
     most = {1: need}
-    while (size := max(most)) < 32:
+    for size in (1, 2, 4):
         most[2 * size] = ahead(most[size], size)
     sel = np.full(need.shape, ESCAPE, dtype=np.uint8)
-    low = int(need.min(initial=255))
+    least = int(most[8].min(initial=255))  # words of eight and more values are rare in texts: most need no look
     for s in range(len(PER_WORD) - 1, -1, -1):
         k, w = int(PER_WORD[s]), int(WIDTH[s])
-        if low > w:
-            continue
+        if k >= 8 and least > w:
+            break
         p = 1 << (k.bit_length() - 1)
+        while p not in most:
+            size = max(most)
+            most[2 * size] = ahead(most[size], size)
         np.copyto(sel, np.uint8(s), where=(most[p] if k == p else ahead(most[p], k - p)) <= w)
     return sel.reshape(-1)[:n]
 
@@ -66,28 +73,28 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     n = len(ids)
     n_blocks = -(-n // block)
     sel = _fit(ids, block)
-    step = np.append(PER_WORD, [1, 1])[sel]
+    step = np.append(np.append(PER_WORD, [1, 1])[sel], 0)
     at = np.arange(n_blocks, dtype=np.int64) * block
     end = np.minimum(at + block, n)
-    chosen = np.zeros(n, dtype=bool)
-    while len(at):
-        chosen[at] = True
-        at = at + step[at]
-        live = at < end
-        at, end = at[live], end[live]
-    pos = np.flatnonzero(chosen)
+    chosen = np.zeros(n + 1, dtype=bool)
+    while (at < end).any():  # all blocks at once; one that ends early walks on into the next, whose words are the same
+        for _ in range(16):
+            chosen[at] = True
+            at += step[at]
+    pos = np.flatnonzero(chosen[:n])
     s = sel[pos].astype(np.int64)
-    out_at = np.arange(len(pos)) + np.cumsum(s == ESCAPE) - (s == ESCAPE)
-    words = np.zeros(len(pos) + int((s == ESCAPE).sum()), dtype=np.uint64)
-    words[out_at] = s.astype(np.uint64)
-    count = step[pos]
-    plain = s != ESCAPE
-    width = WIDTH[np.minimum(s, 13)]
-    m = np.flatnonzero(plain)
-    for k in range(int(count[plain].max(initial=0))):
-        m = m[count[m] > k]
-        words[out_at[m]] |= ids[pos[m] + k] << (4 + k * width[m]).astype(np.uint64)
-    words[out_at[~plain] + 1] = ids[pos[~plain]]
+    escaped = s == ESCAPE
+    out_at = np.arange(len(pos)) + np.cumsum(escaped) - escaped
+    acc = s.astype(np.uint64)
+    for k in np.unique(s[~escaped]).tolist():
+        at = np.flatnonzero(s == k)
+        lanes = np.arange(PER_WORD[k])
+        values = ids[pos[at][:, None] + lanes]
+        values <<= (4 + lanes * WIDTH[k]).astype(np.uint64)
+        acc[at] |= np.bitwise_or.reduce(values, axis=1)
+    words = np.zeros(len(pos) + int(escaped.sum()), dtype=np.uint64)
+    words[out_at] = acc
+    words[out_at[escaped] + 1] = ids[pos[escaped]]
     offsets = out_at[np.searchsorted(pos, np.arange(n_blocks) * block)].astype(np.uint32)
     return MAGIC + struct.pack("<IQQ", block, n, len(words)) + offsets.tobytes() + words.tobytes()
 
@@ -104,17 +111,18 @@ def _unpack(words: np.ndarray, n: int) -> np.ndarray:
     else:
         values, head = None, np.arange(len(s))
     s, w = s[head], words[head]
-    esc = s == ESCAPE
-    count = np.where(esc, 1, PER_WORD[np.minimum(s, 13)])
-    width = WIDTH[np.minimum(s, 13)].astype(np.uint64)
+    count = np.append(PER_WORD, [1, 1])[s]
     at = np.cumsum(count) - count
     out = np.zeros(int(count.sum()), dtype=np.uint64)
-    m = np.flatnonzero(~esc)
-    for k in range(int(count.max(initial=0))):
-        m = m[count[m] > k]
-        out[at[m] + k] = (w[m] >> (np.uint64(4) + np.uint64(k) * width[m])) & ((np.uint64(1) << width[m]) - np.uint64(1))
-    if values is not None:
-        out[at[esc]] = values
+    for k in np.unique(s).tolist():
+        own = np.flatnonzero(s == k)
+        if k == ESCAPE:
+            out[at[own]] = values
+            continue
+        lanes = np.arange(PER_WORD[k])
+        got = w[own][:, None] >> (4 + lanes * WIDTH[k]).astype(np.uint64)
+        got &= np.uint64((1 << int(WIDTH[k])) - 1)
+        out[at[own][:, None] + lanes] = got
     return out[:n]
 
 
@@ -163,11 +171,21 @@ def _write(path: str, end_id: int):
     return run
 
 
+def _by_range(texts: DataFrame, n: int) -> DataFrame:
+    """Ranges of ids, the first in partition 0. Cuts come from the id column alone; Spark's own ranges would read all texts
+    once more for their sample, but take over where there are very many."""
+    if n > CUTS:
+        return texts.repartitionByRange(n, "doc_id")
+    cuts = texts.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10 * CUTS)).first()[0] or [0]
+    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col("doc_id")))
+    return texts.repartitionById(n, part)
+
+
 def write_ids(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Writes the ids of all texts, an end id after each, in ascending doc_id order. Returns the path."""
     texts = id_text(docs, id_col, text_col)
-    n = n_partitions(docs.sparkSession, volume(texts)[1], 16 << 20)
-    ordered = texts.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    n = n_partitions(docs.sparkSession, volume(texts), 16 << 20)
+    ordered = _by_range(texts, n).sortWithinPartitions("doc_id", F.xxhash64("text"))
     segments = ordered.mapInArrow(_write(tokenizer or default_path(), end_id), SCHEMA)
     ws = Workspace(docs.sparkSession, "ids")
     if path is None:
