@@ -114,8 +114,8 @@ _BIG = [{"column": "c_acctbal", "op": "gt", "value": 5000}]
 query("join_filters_where", "SELECT o_orderkey, o_custkey, c_custkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 5000", "orders", "customer")(lambda o, c: J.join(o, c, "o_custkey", "c_custkey", "left", ["o_orderkey", "o_custkey"], _CUST, filters_b=_BIG, limit=None))
 query("join_filters_pre", "SELECT o_orderkey, o_custkey, c_custkey, c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 5000) ON o_custkey = c_custkey", "orders", "customer")(lambda o, c: J.join(o, c, "o_custkey", "c_custkey", "left", ["o_orderkey", "o_custkey"], _CUST, filters_b=_BIG, filter_mode="pre", limit=None))
 query("join_page", "SELECT o_orderkey, o_custkey, c_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_orderkey LIMIT 30 OFFSET 10", "orders", "customer")(lambda o, c: J.join(o, c, "o_custkey", "c_custkey", "inner", ["o_orderkey", "o_custkey"], _CUST, order_by="o_orderkey", limit=30, offset=10))
-query("containment_joins", "SELECT 'customer' AS target, 'c_custkey' AS target_column, count(*) AS n_values, count(c_custkey) AS n_found, round(count(c_custkey) / count(*), 4) AS containment FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS v FROM orders ORDER BY v LIMIT 500) LEFT JOIN customer ON v = CAST(c_custkey AS VARCHAR)", "orders", "customer")(
-    lambda o, c: J.suggest_joins(o, "o_custkey", {"customer": (c, "c_custkey")})
+query("containment_joins", "SELECT 'customer' AS target, 'c_custkey' AS target_column, count(*) AS n_values, count(c_custkey) AS n_found, round(count(c_custkey) / count(*), 4) AS containment FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS v FROM orders) LEFT JOIN customer ON v = CAST(c_custkey AS VARCHAR)", "orders", "customer")(
+    lambda o, c: J.suggest_joins(o, "o_custkey", {"customer": (c, "c_custkey")}, sample=None)
 )
 
 # ---------------------------------------------------------------- SQL text
