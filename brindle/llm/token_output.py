@@ -88,10 +88,11 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     acc = s.astype(np.uint64)
     for k in np.unique(s[~escaped]).tolist():
         at = np.flatnonzero(s == k)
-        lanes = np.arange(PER_WORD[k])
-        values = ids[pos[at][:, None] + lanes]
-        values <<= (4 + lanes * WIDTH[k]).astype(np.uint64)
-        acc[at] |= np.bitwise_or.reduce(values, axis=1)
+        p, word = pos[at], np.full(len(at), k, dtype=np.uint64)
+        for lane in range(int(PER_WORD[k])):
+            word |= ids[p] << np.uint64(4 + lane * int(WIDTH[k]))
+            p += 1
+        acc[at] = word
     words = np.zeros(len(pos) + int(escaped.sum()), dtype=np.uint64)
     words[out_at] = acc
     words[out_at[escaped] + 1] = ids[pos[escaped]]

@@ -18,7 +18,7 @@ from .common import ranges
 #: fixed: the split pattern of the byte-level tokenizer (see the tokenizer folder's README)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: pieces that stay cached; later new ones are encoded again each time (they are rare)
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_000_000
 JOINED = 40
 #: the same split for texts of Latin letters, without number signs and white space that the two libraries see differently
 _USUAL = re.compile(r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
@@ -53,7 +53,8 @@ class Encoder:
         self.flat, self.used = np.zeros(1 << 18, dtype=np.uint32), 0
 
     def pieces(self, text: str) -> list[str]:
-        return self.exact(text) if _UNUSUAL(text) else _USUAL(text)
+        odd = any(c in text for c in "\x1c\x1d\x1e\x1f") if text.isascii() else _UNUSUAL(text)
+        return self.exact(text) if odd else _USUAL(text)
 
     def _learn(self, new: list[str]) -> None:
         """Ids of the pieces with the highest numbers, in their order."""
