@@ -111,6 +111,13 @@ def profile(df: DataFrame, types: dict[str, str] | None = None) -> list[dict]:
         p["is_primary_key_candidate"] = p["is_unique"] and p["null_count"] == 0 and p["type"] in ("integer", "string")
         samples = p.get("sample_values") or []
         p["semantic_type"], p["semantic_confidence"] = detect(p["type"], samples, p["name"])
+    told: dict[str, dict[str, int]] = {}
+    for r in null_token_counts(df).collect():  # at most the fixed tokens a column
+        told.setdefault(r["column"], {})[r["token"]] = r["n"]
+    for p in out:
+        p["null_tokens"] = {t: n for t, n in sorted(told.get(p["name"], {}).items()) if p["type"] != "string" or t not in I.PLACEHOLDERS}
+        text_column = isinstance(df.schema[p["name"]].dataType, T.StringType)
+        p["type_violation_samples"] = violations(df, p["name"], p["type"]) if p["type_violation_count"] and text_column else []
     rest = [p for p in out if p["name"] not in few]
     for p in rest:  # values in file order, without counting them all
         t = I.stripped(col(p["name"]))
@@ -145,6 +152,40 @@ def _add_values(text: DataFrame, out: list[dict], few: list[str]) -> None:
                   "sample_values": [r["value"] for r in sorted(rows, key=lambda r: r["r"]) if r["r"] <= SAMPLES + len(held)][:SAMPLES]}
 
 
+def null_token_counts(df: DataFrame) -> DataFrame:
+    """(column, token, n) of the tokens, other than nothing at all, that count as null in text columns; placeholders too."""
+    names = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, token string, n long")
+    cells = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.trim(col(c)).alias("token")) for c in names))).alias("x")).select("x.*")
+    return cells.where(F.col("token").isin([t for t in I.HARD_NULLS if t] + I.PLACEHOLDERS)).groupBy("column", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def violations(df: DataFrame, column: str, kind: str, n: int = 5) -> list[str]:
+    """Some values that aren't of the column's type, in file order where rows are numbered."""
+    t = I.stripped(col(column))
+    odd = df.where(t.isNotNull() & ~I.is_placeholder(t) & (I.rank(t) != I.TYPES.index(kind)))
+    odd = odd.orderBy(ROW_ID) if ROW_ID in df.columns else odd
+    return list(dict.fromkeys(r.v for r in odd.select(t.alias("v")).limit(10 * n).collect()))[:n]
+
+
+def learned_null_tokens(profiles: list[dict]) -> list[dict]:
+    """Sentinel-looking values that recur in several columns, from the profiles' value counts."""
+    import re
+
+    from ..functions.semantic import SENTINEL_COLUMNS, SENTINEL_LENGTH, SENTINEL_SHARE, SENTINEL_TOP, SENTINEL_WORDS, SENTINELS
+
+    found: dict[str, dict] = {}
+    for p in profiles:
+        for value, n in (p.get("value_index") or {}).items():
+            if len(value) <= SENTINEL_LENGTH and (re.match(SENTINELS, value) or value.lower() in SENTINEL_WORDS) and n >= SENTINEL_SHARE * p["count"]:
+                one = found.setdefault(value, {"token": value, "columns": [], "n": 0})
+                one["columns"].append(p["name"])
+                one["n"] += n
+    several = [f for f in found.values() if len(f["columns"]) >= SENTINEL_COLUMNS]
+    return sorted(several, key=lambda f: (-len(f["columns"]), -f["n"], f["token"]))[:SENTINEL_TOP]
+
+
 def _r(x):
     return None if x is None else round(x, 6)
 

@@ -100,7 +100,7 @@ class Engine:
             p["summary"] = SU.column_summary(p)
         text = all(k == "string" for _, k in df.dtypes)
         stored = I.typed(numbered, {p["name"]: p["type"] for p in columns}, keep=(RW.ROW_ID,)) if text else numbered
-        m = self.catalog.save(name, stored, columns, source=path, source_sha256=digest, malformed_rows=facts["malformed_rows"], walk="truncated" if total > cap else "full", summary=SU.dataset_summary(name, min(total, cap), columns))
+        m = self.catalog.save(name, stored, columns, source=path, source_sha256=digest, malformed_rows=facts["malformed_rows"], walk="truncated" if total > cap else "full", summary=SU.dataset_summary(name, min(total, cap), columns), learned_null_tokens=PR.learned_null_tokens(columns))
         if depth == "deep":
             self.get_correlations(name)
         return {"dataset": name, "row_count": m["row_count"], "column_count": m["column_count"], "coverage": {"walk": m["walk"], "rows_indexed": m["row_count"], "rows_total": total, "skip_counts": {"malformed_rows": facts["malformed_rows"]}}, "summary": m["summary"]}
@@ -151,13 +151,13 @@ class Engine:
             raise invalid_column(missing[0])
         page = chosen[columns_offset : columns_offset + 60]
         keys = ("name", "type", "null_pct", "cardinality", "is_primary_key_candidate", "semantic_type", "min", "max", "summary")
-        return {"dataset": dataset, "row_count": m["row_count"], "column_count": m["column_count"], "columns": page if detail == "full" else [{k: p.get(k) for k in keys if p.get(k) is not None} for p in page], "next_offset": columns_offset + 60 if columns_offset + 60 < len(chosen) else None, "summary": m.get("summary")}
+        return {"dataset": dataset, "row_count": m["row_count"], "column_count": m["column_count"], "columns": page if detail == "full" else [{k: p.get(k) for k in keys if p.get(k) is not None} for p in page], "next_offset": columns_offset + 60 if columns_offset + 60 < len(chosen) else None, "summary": m.get("summary"), "learned_null_tokens": m.get("learned_null_tokens") or []}
 
     @tool
     def describe_column(self, dataset: str, column: str, top_n: int | None = None, histogram_bins: int = 10, redact: bool = True, redact_patterns=None, verify_source: bool = False, detail: str = "compact"):
         p = dict(self._profile(dataset, column))
         df = self.catalog.rows(dataset)
-        out = p if detail == "full" else {k: p.get(k) for k in ("name", "type", "count", "null_count", "null_pct", "cardinality", "min", "max", "mean", "median", "std_dev", "quantiles", "semantic_type", "summary") if p.get(k) is not None}
+        out = p if detail == "full" else {k: p.get(k) for k in ("name", "type", "count", "null_count", "null_pct", "cardinality", "min", "max", "mean", "median", "std_dev", "quantiles", "semantic_type", "summary", "null_tokens", "type_violation_samples") if p.get(k) not in (None, {}, [])}
         top = (p.get("top_values") or [])[: min(top_n or 20, 200)]
         out["column_id"] = f"{dataset}::{column}#column"
         out["value_distribution"] = [t | {"pct": round(100 * t["count"] / p["count"], 2)} for t in top] if p["count"] else []
@@ -199,7 +199,8 @@ class Engine:
         page = RW.get_rows(df, filters, columns, order_by, order_dir, limit, offset)
         rows = self._rows(self._redacted(page, redact, redact_patterns, redact_skip_columns), row_format)
         total = P.where(df, filters).count()
-        return {"dataset": dataset, "total_matching": total} | (rows if row_format == "arrays" else {"rows": rows})
+        omitted = [] if columns else [c for c in df.columns if c != RW.ROW_ID][RW.AUTO_COLUMNS :]
+        return {"dataset": dataset, "total_matching": total, "omitted_columns": omitted} | (rows if row_format == "arrays" else {"rows": rows})
 
     @tool
     def aggregate(self, dataset: str, aggregations, group_by=None, filters=None, having=None, order_by=None, order_dir="desc", limit=50, approximate=False, redact=True, redact_patterns=None, redact_skip_columns=None):

@@ -152,6 +152,17 @@ def test_profile(spark):
     assert p["id"]["variance"] == pytest.approx(212.5)
 
 
+def test_null_tokens_and_violations(spark):
+    df = spark.createDataFrame([("1", "TBD"), ("2.5", "x"), ("N/A", "TBD"), ("-", "TBD"), ("zz", "y"), ("", "NULL")], "a string, b string")
+    p = {x["name"]: x for x in PR.profile(df)}
+    assert (p["a"]["type"], p["a"]["null_tokens"], p["b"]["null_tokens"]) == ("string", {"N/A": 1}, {"NULL": 1})
+    nums = spark.createDataFrame([("1",), ("2024-01-01",), ("2024-01-02",), ("-",)], "d string")
+    q = PR.profile(nums)[0]
+    assert (q["type"], q["type_violation_samples"], q["null_tokens"]) == ("datetime", ["1"], {"-": 1})
+    two = [{"name": c, "count": 100, "value_index": {"TBD": 5, "ok": 95}} for c in "xy"]
+    assert [t["token"] for t in PR.learned_null_tokens(two)] == ["TBD"]
+
+
 def test_uniqueness_past_the_cap(spark):
     df = spark.createDataFrame([(min(i, 5999),) for i in range(6001)], "k int")
     assert not PR.profile(df)[0]["is_unique"]
