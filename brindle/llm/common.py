@@ -94,8 +94,10 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 @atexit.register
-def _clean() -> None:
-    for spark, path in _made:
+def clean() -> None:
+    """Removes the tables of all operator calls so far (results that were not written yet are lost). Runs at exit."""
+    done, _made[:] = list(_made), []
+    for spark, path in done:
         if path.startswith("file:"):
             shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
         else:
