@@ -278,6 +278,25 @@ query("unused_columns", "SELECT * FROM (VALUES ('ts', 'zero_hits', 0::BIGINT), (
 query("loop_window_calls", "SELECT user_id, event_type, epoch_us(ts) AS us, calls FROM (SELECT *, count(*) OVER (PARTITION BY user_id, event_type ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS calls FROM events) WHERE calls > 2", "events")(lambda e: TR.call_loops(e, ("user_id", "event_type"), 86400, 2).select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "calls"))
 query("latency_percentiles", "SELECT event_type AS tool, count(*) AS n, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, max(value) AS max_ms FROM events GROUP BY 1", "events")(lambda e: TR.latency(e.select(F.col("event_type").alias("tool"), F.col("value").alias("ms"))))
 
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily calls by type through Structured Streaming: all that is there, then the state as a table."""
+    import uuid
+
+    from ..streaming.traffic import windowed_calls
+
+    kind = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    name = f"calls_{uuid.uuid4().hex[:8]}"
+    counted = windowed_calls(events, "event_type", window="1 day").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "calls")
+    counted.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+QUERIES["stream_windowed_calls"] = _stream
+ORACLE["stream_windowed_calls"] = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS calls FROM events GROUP BY ALL"
+
 # ---------------------------------------------------------------- search
 _BM25 = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{M}_]+') AS t FROM documents),
