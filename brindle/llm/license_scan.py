@@ -132,3 +132,29 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op8_license_scan(spark, sf_dir: str) -> DataFrame:
     return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _sql() -> str:
+    """The same scan for DuckDB."""
+    postings = ", ".join(f"({t}, '{label}', '{phrase}', '{w}', {i})" for t, (label, phrase, text) in enumerate(TEMPLATES) for i, w in enumerate(text.split()) if w not in COMMON)
+    places = {p: f"list_filter(range(1, len(w) - {len(p.split()) - 2}), lambda i: array_to_string(w[i:i + {len(p.split()) - 1}], ' ') = '{p}')" for p in BASE}
+    every = " || ".join(places.values())
+    base = ", ".join(f"CASE WHEN len({x}) > 0 THEN '{BASE[p]}' END" for p, x in places.items())
+    return rf"""
+WITH post(template, label, phrase, word, place) AS (VALUES {postings}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT rid, doc_id, len(w) AS n_words, ' ' || array_to_string(w, ' ') || ' ' AS s, {every} AS pos, list_filter([{base}], lambda x: x IS NOT NULL) AS base FROM d),
+p AS (SELECT rid, word, pos FROM (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM d) WHERE word IN (SELECT word FROM post)),
+i AS (SELECT word, ln(((SELECT count(*) FROM documents) + 1) / count(DISTINCT rid)) AS idf FROM p GROUP BY word),
+t AS (SELECT rid, word, idf FROM (SELECT rid, word, idf, row_number() OVER (PARTITION BY rid ORDER BY idf DESC, word) AS k FROM (SELECT DISTINCT rid, word FROM p) JOIN i USING (word)) WHERE k <= {TOP_WORDS}),
+h AS (SELECT rid, template, shift, sum(idf) AS got FROM (SELECT DISTINCT p.rid, post.template, p.pos - post.place AS shift, p.word, t.idf FROM p JOIN t ON p.rid = t.rid AND p.word = t.word JOIN post ON post.word = p.word) GROUP BY ALL),
+whole AS (SELECT template, sum(idf) AS whole FROM (SELECT DISTINCT template, word FROM post) JOIN i USING (word) GROUP BY template),
+m AS (SELECT rid, template, max(got) AS got FROM h GROUP BY ALL),
+k AS (SELECT m.rid, list(DISTINCT n.label) AS method, max(got / whole) AS share FROM m JOIN whole USING (template) JOIN (SELECT DISTINCT template, label, phrase FROM post) n USING (template) JOIN b ON b.rid = m.rid AND contains(b.s, ' ' || n.phrase || ' ') WHERE got / whole >= {SHARE} GROUP BY m.rid)
+SELECT doc_id, n_words, len(pos) AS n_base, list_min(pos) - 1 AS first_word, list_max(pos) - 1 AS last_word, array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,
+array_to_string(list_sort(list_distinct(base || coalesce(method, []))), ',') AS labels, round(greatest(CASE WHEN len(pos) > 0 THEN 0.75 ELSE 0 END, least(1, coalesce(share, 0))), 6)::DOUBLE AS score
+FROM b LEFT JOIN k USING (rid)
+"""
+
+
+OP8_SQL = _sql()

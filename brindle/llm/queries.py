@@ -5,7 +5,7 @@ from __future__ import annotations
 from .decontaminate import op2_decontaminate
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .html_extract import op3_html_extract
-from .license_scan import op8_license_scan
+from .license_scan import OP8_SQL, op8_license_scan
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .near_dedup import OP6_SQL, op6_near_dedup
 from .packing import op4_best_fit_packing
@@ -29,5 +29,6 @@ SQL = {
     "op1_substring_dedup": OP1_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op6_near_dedup": OP6_SQL,
+    "op8_license_scan": OP8_SQL,
     "op9_line_dedup": OP9_SQL,
 }
