@@ -170,8 +170,9 @@ def _confirm(percent: int):
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are as similar as asked. A centre's pairs go in chunks, each with its text once."""
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
+    # Only centres with more pairs than a chunk are looked up: few rows, so pairs of a common centre need not meet.
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")).where("chunks > 1")
+    dealt = pairs.join(sizes, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("chunks", F.lit(1))).alias("chunk"))
     members = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b")
     centres = dealt.select(F.col("a").alias("ca"), F.col("chunk").alias("cc")).distinct().join(texts.select(F.col("doc_id").alias("ca"), F.col("text").alias("text")), "ca")
     return members.groupBy("a", "chunk").cogroup(centres.groupBy("ca", "cc")).applyInArrow(_confirm(percent), "a long, b long")
@@ -285,11 +286,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "sig", "low"), "doc_id").alias("x"))
     reps = ws.put(classes.select("digest", F.col("rep").alias("doc_id"), "x.n_shingles", "x.sig", "x.low"), "reps")
     banded = reps.select("doc_id", "n_shingles", "sig").mapInArrow(_bands, "bucket long, band int, doc_id long, n_shingles long")
-    centre = banded.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    centre = banded.groupBy("bucket").agg(F.min(F.struct("doc_id", "n_shingles")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    centre = centre.select("bucket", F.col("c.doc_id").alias("centre"), F.col("c.n_shingles").alias("n_a"))
     buckets = ws.put(banded.join(centre, "bucket"), "buckets")
     need = percent / 100
-    star = buckets.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"), "n_shingles")
-    star = star.join(reps.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a")), "a").where(F.least("n_shingles", "n_a") >= need * F.greatest("n_shingles", "n_a")).select("a", "b").distinct()
+    near_size = F.least("n_shingles", "n_a") >= need * F.greatest("n_shingles", "n_a")
+    star = buckets.where((F.col("doc_id") != F.col("centre")) & near_size).select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
     rep_texts = texts.join(reps.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"])
     tried, links, comp = ws.put(star, "pairs0"), None, reps.select("doc_id", F.col("doc_id").alias("comp"))
     more, k = tried, 0
