@@ -102,11 +102,14 @@ def profile(df: DataFrame, types: dict[str, str] | None = None) -> list[dict]:
         out.append(p)
     few = [p["name"] for p in out if p["cardinality_approx"] <= VALUES * 1.1]
     _add_values(text, out, few)
+    many = [p for p in out if p["name"] not in few]
+    close = [p["name"] for p in many if p["cardinality_approx"] >= 0.9 * p["count"]]
+    exact = text.agg(*(F.count_distinct(I.stripped(col(c))).alias(f"d{k}") for k, c in enumerate(close))).first() if close else ()
+    exact = dict(zip(close, exact, strict=True))
+    for p in many:
+        known = p["name"] in exact
+        p |= {"cardinality": exact.get(p["name"], p["cardinality_approx"]), "cardinality_is_exact": known, "cardinality_estimated": not known, "value_index": None, "top_values": []}
     for p in out:
-        if p["name"] not in few:
-            close = p["cardinality_approx"] >= 0.9 * p["count"]
-            n = text.select(F.count_distinct(I.stripped(col(p["name"])))).first()[0] if close else p["cardinality_approx"]
-            p |= {"cardinality": n, "cardinality_is_exact": close, "cardinality_estimated": not close, "value_index": None, "top_values": None}
         p["is_unique"] = p["count"] > 0 and p["cardinality_is_exact"] and p["cardinality"] == p["count"]
         p["is_primary_key_candidate"] = p["is_unique"] and p["null_count"] == 0 and p["type"] in ("integer", "string")
         samples = p.get("sample_values") or []
@@ -118,15 +121,17 @@ def profile(df: DataFrame, types: dict[str, str] | None = None) -> list[dict]:
         p["null_tokens"] = {t: n for t, n in sorted(told.get(p["name"], {}).items()) if p["type"] != "string" or t not in I.PLACEHOLDERS}
         text_column = isinstance(df.schema[p["name"]].dataType, T.StringType)
         p["type_violation_samples"] = violations(df, p["name"], p["type"]) if p["type_violation_count"] and text_column else []
-    rest = [p for p in out if p["name"] not in few]
-    for p in rest:  # values in file order, without counting them all
-        t = I.stripped(col(p["name"]))
-        head = text.where(t.isNotNull()).select(t.alias("v"))
-        seen = list(dict.fromkeys(r.v for r in head.limit(200).collect()))[:SAMPLES]
-        p["sample_values"] = seen
-        p["semantic_type"], p["semantic_confidence"] = detect(p["type"], seen, p["name"])
-        top = text.where(t.isNotNull()).groupBy(t.alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "v").limit(TOP).collect() if not p["is_unique"] else []
-        p["top_values"] = [{"value": r.v, "count": r.n} for r in top]
+    if many:  # values in file order, without counting them all; the most frequent ones of columns that repeat any
+        head = text.select(*(I.stripped(col(p["name"])).alias(f"v{k}") for k, p in enumerate(many))).limit(400).collect()
+        repeating = [p["name"] for p in many if not p["is_unique"]]
+        top: dict[str, list] = {}
+        for r in (top_values(text, TOP, repeating).collect() if repeating else ()):  # at most TOP a column
+            top.setdefault(r["column"], []).append(r)
+        for k, p in enumerate(many):
+            seen = list(dict.fromkeys(r[f"v{k}"] for r in head if r[f"v{k}"] is not None))[:SAMPLES]
+            p["sample_values"] = seen
+            p["semantic_type"], p["semantic_confidence"] = detect(p["type"], seen, p["name"])
+            p["top_values"] = [{"value": r["value"], "count": r["n"]} for r in sorted(top.get(p["name"], ()), key=lambda r: r["place"])]
     return out
 
 
