@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import T_LOWER, arrow_bytes, id_text, slices, words
+from .common import T_LOWER, Workspace, arrow_bytes, id_text, slices, words
 from .decontaminate import BREAKS
 
 MAX_EXAMPLES = 16384
@@ -174,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, usable, max_examples: int = MAX_EX
     """docs: doc_id and text; labels: doc_id and y; usable: which ids may be learnt from."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & usable).groupBy("doc_id").agg((F.max("y") > 0).cast("int").alias("y"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
-    examples = docs.join(F.broadcast(rows), "doc_id")  # at most max_examples ids
+    examples = Workspace(docs.sparkSession, "toxicity").put(docs.join(F.broadcast(rows), "doc_id"), "examples")  # at most max_examples ids
     size = examples.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("n1")).first()
     n, n1 = size.n, size.n1
     if not n or n1 in (0, n):
