@@ -15,9 +15,10 @@ CJK = "぀-ヿ㐀-䶿一-鿿가-힯豈-﫿"
 
 def tokens(text: Column) -> Column:
     """Lower-cased Unicode words; runs of CJK letters as overlapping pairs."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(rf"(?U)([{CJK}]+|[\w&&[^{CJK}]]+)"), 1)
+    low = F.lower(text)
+    runs = F.regexp_extract_all(low, F.lit(rf"(?U)([{CJK}]+|[\w&&[^{CJK}]]+)"), 1)
     pairs = lambda r: F.when(r.rlike(f"^[{CJK}]") & (F.char_length(r) > 1), F.transform(F.sequence(F.lit(1), F.char_length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))).otherwise(F.array(r))
-    return F.flatten(F.transform(runs, pairs))
+    return F.when(text.rlike(f"[{CJK}]"), F.flatten(F.transform(runs, pairs))).otherwise(F.regexp_extract_all(low, F.lit(r"(?U)(\w+)"), 1))
 
 
 def query_tokens(text: str) -> list[str]:
@@ -37,7 +38,7 @@ def bm25(docs: DataFrame, query: str, id_col: str, text_col: str, top: int | Non
     terms = query_tokens(query)
     if not terms:
         return docs.select(id_col).limit(0).withColumn("score", F.lit(0.0))
-    words = docs.select(F.col(id_col), tokens(F.coalesce(text_col, F.lit(""))).alias("w"))
+    words = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("t")).select(id_col, tokens(F.col("t")).alias("w"))
     counted = words.select(id_col, F.size("w").alias("len"), *(_occurrences(F.col("w"), t).alias(f"t{i}") for i, t in enumerate(terms)))
     facts = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *(F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(terms)))).first()
     score = F.lit(0.0)
