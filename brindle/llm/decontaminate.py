@@ -1,10 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-A seed is an n-gram of a test item that is rare for that item: its document frequency in the whole corpus is not far
-above that of the item's rarest quarter. (A fixed cut would lose items that leaked often.) A passage of a document that
-shares a seed with an item is aligned with the whole item; words are compared without case and punctuation, edits,
-insertions and losses cost. The score is the alignment's share of a perfect one, so copies that were edited or
-paraphrased in part still score high and chance matches of common words don't.
+Every n-gram of a test item is a seed, however many documents hold it: a frequent one may be the item itself, leaked
+often. A passage of a document that shares a seed with an item is aligned with the whole item; words are compared
+without case and punctuation, edits, insertions and losses cost. The score is the alignment's share of a perfect one,
+so copies that were edited or paraphrased in part still score high and chance matches of common words don't.
 
 Test items are handled in slices of bounded size, each sent to all tasks; a larger benchmark makes more slices, not
 larger ones. Documents are never shuffled.
@@ -26,9 +25,10 @@ from .common import T_EXACT, arrow_bytes, id_text, ngrams, ranges, slices, words
 N = 4
 THRESHOLD = 0.5
 SLICE_BYTES = 8 << 20
-RARE_TIMES, RARE_PLUS = 4, 8
 MATCH, MISS, GAP = 2, -1, -1
 TEXT_SLICE = 1 << 20
+#: hits (of several documents) and cells of alignments that are held at a time
+HITS, CELLS = 1 << 20, 1 << 20
 _PREFILTER = 20
 
 #: all ASCII but letters and digits parts words, as do blanks
@@ -45,10 +45,7 @@ class Items:
         self.h, _, _, self.first = words(np.frombuffer(b"".join(raw), dtype=np.uint8), bounds, T_EXACT, BREAKS)
         self.n = n
         g, at = ngrams(self.h, self.first, n)
-        self.use(g, at)
-
-    def use(self, g: np.ndarray, at: np.ndarray) -> None:
-        """Seeds by hash: their item and place in it."""
+        # Seeds by hash: their item and place in it.
         order = np.argsort(g, kind="stable")
         self.g, self.at = g[order], at[order]
         self.item = np.searchsorted(self.first, self.at, side="right") - 1
@@ -66,16 +63,6 @@ class Items:
         hit = self.keys[k] == g[maybe]
         return maybe[hit], k[hit]
 
-    def keep_rare(self, frequency: np.ndarray) -> None:
-        f = frequency[np.searchsorted(self.keys, self.g)]
-        order = np.lexsort((f, self.item))
-        item, f_sorted = self.item[order], f[order]
-        first = np.searchsorted(item, np.arange(len(self.ids)))
-        size = np.bincount(item, minlength=len(self.ids))
-        quarter = f_sorted[np.minimum(first + size // 4, max(len(f) - 1, 0))] if len(f) else np.zeros(len(self.ids))
-        rare = f <= RARE_TIMES * quarter[self.item] + RARE_PLUS
-        self.use(self.g[rare], self.at[rare])
-
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Best local alignment of each pair: (score, word of the passage at which it ends). All pairs side by side, row by row."""
@@ -102,32 +89,11 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
     return best, end
 
 
-def _frequencies(items):
-    def run(batches):
-        import pyarrow as pa
-
-        seen = np.zeros(len(items.value.keys), dtype=np.int64)
-        for b in batches:
-            data, bounds = arrow_bytes(b.column(1))
-            for i, j in slices(bounds, TEXT_SLICE):
-                h, _, _, first = words(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], T_EXACT, BREAKS)
-                g, at = ngrams(h, first, items.value.n)
-                p, k = items.value.find(g)
-                doc = np.searchsorted(first, at[p], side="right")
-                pairs = np.unique(np.stack([doc, k]), axis=1)
-                seen += np.bincount(pairs[1].astype(np.int64), minlength=len(seen))
-        k = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(seen[k])], names=["seed", "n"])
-
-    return run
-
-
 def _matches(items, threshold: float):
     def run(batches):
         import pyarrow as pa
 
         it = items.value
-        size = np.diff(it.first)
         for b in batches:
             docs = b.column(0).to_numpy(zero_copy_only=False)
             data, bounds = arrow_bytes(b.column(1))
@@ -138,23 +104,12 @@ def _matches(items, threshold: float):
                 p, k = it.find(g)
                 if not len(p):
                     continue
-                # A hit for each place of the seed in the items; hits on near diagonals are one passage.
-                every = np.repeat(np.arange(len(p)), it.count[k])
-                seed = np.repeat(it.start[k], it.count[k]) + ranges(it.count[k])
-                item, word = it.item[seed], at[p][every]
-                doc = np.searchsorted(first, word, side="right") - 1
-                diagonal = word - (it.at[seed] - it.first[item])
-                order = np.lexsort((diagonal, item, doc))
-                doc, item, diagonal = doc[order], item[order], diagonal[order]
-                new = np.ones(len(doc), dtype=bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(diagonal) > size[item[1:]] // 2 + 2)
-                s = np.flatnonzero(new)
-                e = np.append(s[1:], len(doc)) - 1
-                doc, item, n_seeds = doc[s], item[s], e - s + 1
-                slack = size[item] // 2 + 2
-                lo = np.maximum(diagonal[s] - slack, first[doc])
-                hi = np.minimum(diagonal[e] + size[item] + slack, first[doc + 1])
-                rows += _aligned(it, h, first, docs[i:j], doc, item, lo, hi, n_seeds, threshold)
+                of = np.searchsorted(first, at[p], side="right") - 1
+                hits = np.concatenate([[0], np.cumsum(np.bincount(of, it.count[k], j - i).astype(np.int64))])
+                for u, v in slices(hits, HITS):
+                    some = slice(*np.searchsorted(of, [u, v]))
+                    if some.start < some.stop:
+                        rows += _passages(it, h, first, docs[i:j], at[p[some]], k[some], threshold)
             types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "score", "first_word", "last_word", "n_seeds"])
@@ -162,11 +117,35 @@ def _matches(items, threshold: float):
     return run
 
 
+def _passages(it, h, first, ids, at, k, threshold):
+    """at, k: the places of hits and the numbers of their seeds."""
+    size = np.diff(it.first)
+    # A hit for each place of the seed in the items; hits on near diagonals are one passage.
+    word = np.repeat(at, it.count[k])
+    seed = np.repeat(it.start[k], it.count[k]) + ranges(it.count[k])
+    item = it.item[seed]
+    doc = np.searchsorted(first, word, side="right") - 1
+    diagonal = word - (it.at[seed] - it.first[item])
+    order = np.lexsort((diagonal, item, doc))
+    doc, item, diagonal = doc[order], item[order], diagonal[order]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(diagonal) > size[item[1:]] // 2 + 2)
+    s = np.flatnonzero(new)
+    e = np.append(s[1:], len(doc)) - 1
+    doc, item, n_seeds = doc[s], item[s], e - s + 1
+    slack = size[item] // 2 + 2
+    lo = np.maximum(diagonal[s] - slack, first[doc])
+    hi = np.minimum(diagonal[e] + size[item] + slack, first[doc + 1])
+    return _aligned(it, h, first, ids, doc, item, lo, hi, n_seeds, threshold)
+
+
 def _aligned(it, h, first, ids, doc, item, lo, hi, n_seeds, threshold):
     order = np.argsort(hi - lo, kind="stable")
-    out = []
-    for c in range(0, len(order), 128):
+    out, c = [], 0
+    while c < len(order):
         part = order[c : c + 128]
+        part = part[: max(1, np.searchsorted((hi - lo)[part] * np.arange(1, len(part) + 1), CELLS, side="right"))]
+        c += len(part)
         mine = [it.h[it.first[item[k]] : it.first[item[k] + 1]] for k in part]
         text = [h[lo[k] : hi[k]] for k in part]
         score, end = align(mine, text)
@@ -193,11 +172,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         own = tests if parts == 1 else tests.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
         rows = own.orderBy("item_id", "text").collect()  # about slice_bytes
         items = Items([r.item_id for r in rows], [r.text for r in rows], n)
-        sent = spark.sparkContext.broadcast(items)
-        seen = np.zeros(len(items.keys), dtype=np.int64)
-        for r in texts.mapInArrow(_frequencies(sent), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():  # a number for each seed
-            seen[r.seed] = r.n
-        items.keep_rare(seen)
         found = texts.mapInArrow(_matches(spark.sparkContext.broadcast(items), threshold), "doc_id long, item_id long, score double, first_word long, last_word long, n_seeds long")
         out = found if out is None else out.unionByName(found)
     best = F.max_by(F.struct("score", "first_word", "last_word", "n_seeds"), F.struct("score", -F.col("first_word"))).alias("x")

@@ -1,8 +1,10 @@
 import json
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures_llm import documents, lower, prose
 from pyspark.sql import functions as F
@@ -146,6 +148,27 @@ def test_decontamination(spark):
     assert D.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_an_item_that_leaked_often(spark):
+    item = prose(21, 38)
+    edited = [("other" if k in (9, 19, 29) else w) for k, w in enumerate(item)]
+    for copy in (item[:26], edited):
+        df, _ = documents(spark, [(i, " ".join(prose(100 + i, 50) + copy + prose(200 + i, 50))) for i in range(12)])
+        bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+        assert {(r.doc_id, r.item_id) for r in D.contaminated(df, bench).collect()} == {(i, 1) for i in range(12)}
+
+
+def test_decontamination_in_small_runs_of_hits(monkeypatch):
+    items = D.Items([1, 2], [" ".join(prose(21, 38)), " ".join(prose(22, 30))], D.N)
+    texts = [" ".join(prose(i, 40) + prose(21, 38)[: 20 + i] + prose(22, 30)) for i in range(9)] + ["short", ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    found = lambda: sorted(tuple(r.values()) for b in D._matches(SimpleNamespace(value=items), 0.5)([batch]) for r in b.to_pylist())
+    whole = found()
+    monkeypatch.setattr(D, "HITS", 1)
+    monkeypatch.setattr(D, "CELLS", 1)
+    assert found() == whole
+    assert len(whole) == 18
+
+
 # ------------------------------------------------------------------ pages
 def test_field_on_pages_it_never_saw():
     field, right, whole, n = trained(), 0, 0, 0
