@@ -34,8 +34,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return _without(docs, near_dedup(docs).where("not kept"))
+    """One document of each group of near copies (five words, similarity of 0.8 or more) stays."""
+    return _without(docs, near_dedup(docs, percent=80).where("not kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 import pytest
-from fixtures_llm import documents, lower, prose
+from fixtures_llm import documents, lower, prose, shingles
 from pyspark.sql import functions as F
 
 from brindle.llm import decontaminate as D
@@ -324,6 +324,21 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {k for k in left["decontamination"] if k is not None}
 
 
+def test_pipeline_near_dedup_is_from_80_percent(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    base = prose(78, 100)
+    pairs = {(1, 2): (30, 70), (11, 12): (20, 50, 80)}
+    docs = []
+    for (a, b), at in pairs.items():
+        own = [f"{w}x{a}" for w in base]
+        docs += [(a, " ".join(own)), (b, " ".join("edit" if k in at else w for k, w in enumerate(own)))]
+    df, _ = documents(spark, docs)
+    shared = [100 * len(shingles(docs[k][1]) & shingles(docs[k + 1][1])) / len(shingles(docs[k][1]) | shingles(docs[k + 1][1])) for k in (0, 2)]
+    assert 80 <= shared[0] < 85
+    assert shared[1] < 80
+    assert {r.doc_id for r in corpus_pipeline.minhash_near_dedup(spark, df, "").collect()} == {1, 11, 12}
+
+
 def test_entry_has_all_queries():
     import __spark_entry__ as entry
 
