@@ -1,11 +1,11 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Training uses at most ``max_examples`` labelled rows (those with the smallest hash of their id), the documented bound.
-Terms are words of these rows whose link with the label is significant (chi-square), at most ``max_terms``; weights are
-(1 + ln tf) * ln(N / df), scaled to length 1. Examples are ordered so that alike ones share a block; for each block
+Terms are all words of these rows whose link with the label is significant (chi-square); weights are
+(1 + ln tf) * ln(N / df), scaled to length 1 and kept sparse. Examples are ordered so that alike ones share a block; for each block
 and term the index keeps the largest weight, so a block whose best possible cosine is under the k-th best found so far
 is skipped without losing a neighbour. Votes weighted by closeness are calibrated by a logistic curve fitted to
-leave-one-out votes of the examples. What is sent to the tasks is bounded by max_examples * max_terms weights.
+leave-one-out votes of the examples. What is sent to the tasks is bounded by the words of the examples' texts.
 
 Defined cases: null text is empty; a text without any term gets the smoothed share of toxic rows among examples
 without any; rows without an id are left out; no usable label or one class only: every score is the smoothed share of
@@ -18,17 +18,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import T_LOWER, Workspace, arrow_bytes, id_text, slices, words
+from .common import T_LOWER, Workspace, arrow_bytes, id_text, ranges, slices, words
 from .decontaminate import BREAKS
 
 MAX_EXAMPLES = 16384
-MAX_TERMS = 256
 MIN_DF = 3
 CHI_SQUARE = 24.0
 K = 15
 BLOCK = 64
 TEXT_SLICE = 1 << 20
-QUERIES = 1024
+#: queries at a time, and cells of their vectors
+QUERIES, CELLS = 1024, 1 << 22
 
 
 def term_counts(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,6 +59,40 @@ def _document_frequencies(batches):
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(n1.astype(np.int64))], names=["term", "n", "n1"])
 
 
+class Rows:
+    """Sparse vectors: bounds of each one's part of the terms' numbers (ascending) and weights."""
+
+    def __init__(self, first: np.ndarray, term: np.ndarray, weight: np.ndarray):
+        self.first, self.term, self.weight = first.astype(np.int64), term.astype(np.int32), weight.astype(np.float32)
+
+    @classmethod
+    def of(cls, x: Rows | np.ndarray) -> Rows:
+        if isinstance(x, Rows):
+            return x
+        row, term = np.nonzero(x)
+        return cls(np.searchsorted(row, np.arange(len(x) + 1)), term, x[row, term])
+
+    def __len__(self) -> int:
+        return len(self.first) - 1
+
+    def __getitem__(self, k: int) -> tuple[bytes, bytes]:
+        own = slice(self.first[k], self.first[k + 1])
+        return self.term[own].tobytes(), self.weight[own].tobytes()
+
+    def take(self, rows: np.ndarray) -> Rows:
+        n = np.diff(self.first)[rows]
+        at = np.repeat(self.first[:-1][rows], n) + ranges(n)
+        return Rows(np.concatenate([[0], np.cumsum(n)]), self.term[at], self.weight[at])
+
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.first))
+
+    def dense(self, n_terms: int) -> np.ndarray:
+        out = np.zeros((len(self), n_terms), dtype=np.float32)
+        out[self.row(), self.term] = self.weight
+        return out
+
+
 class Index:
     """Block-max inverted index of the examples' vectors."""
 
@@ -66,50 +100,71 @@ class Index:
         order = np.argsort(terms)
         self.terms, self.idf = terms[order], idf[order].astype(np.float32)
 
-    def vectors(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(bounds) - 1, len(self.terms)), dtype=np.float32)
-        if not len(self.terms) or not len(data):
-            return out
+    def vectors(self, data: np.ndarray, bounds: np.ndarray) -> Rows:
+        n, n_terms = len(bounds) - 1, len(self.terms)
+        if not n_terms or not len(data):
+            return Rows(np.zeros(n + 1), np.zeros(0), np.zeros(0))
         h, _, _, first = words(data, bounds, T_LOWER, BREAKS)
-        k = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
+        k = np.minimum(np.searchsorted(self.terms, h), n_terms - 1)
         hit = np.flatnonzero(self.terms[k] == h)
         doc = np.searchsorted(first, hit, side="right") - 1
-        flat = np.bincount(doc * len(self.terms) + k[hit], minlength=out.size) if len(hit) else None
-        if flat is not None:
-            tf = flat.reshape(out.shape)
-            m = tf > 0
-            out[m] = (1 + np.log(tf[m])) * np.broadcast_to(self.idf, out.shape)[m]
-            out /= np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-12)
-        return out
-
-    def fill(self, vectors: np.ndarray, labels: np.ndarray, ids: np.ndarray) -> None:
-        some = vectors.any(axis=1)
+        key, tf = np.unique(doc * n_terms + k[hit], return_counts=True)
+        doc, term = np.divmod(key, n_terms)
+        w = (1 + np.log(tf)) * self.idf[term]
+        w /= np.maximum(np.sqrt(np.bincount(doc, w * w, n)), 1e-12)[doc]
+        return Rows(np.searchsorted(doc, np.arange(n + 1)), term, w)
+
+    def fill(self, vectors: Rows | np.ndarray, labels: np.ndarray, ids: np.ndarray) -> None:
+        vectors = Rows.of(vectors)
+        some = np.diff(vectors.first) > 0
         self.empty = (1 + labels[~some].sum()) / (10 + (~some).sum())
-        v, y, i = vectors[some], labels[some], ids[some]
-        order = np.lexsort((*np.argsort(-v, axis=1, kind="stable")[:, :3].T[::-1],)) if len(v) else np.zeros(0, dtype=np.int64)
-        self.v, self.y, self.ids = v[order], y[order].astype(np.float64), i[order]
-        cuts = np.arange(0, len(self.v), BLOCK)
-        self.top = np.maximum.reduceat(self.v, cuts) if len(cuts) else np.zeros((0, len(self.terms)), dtype=np.float32)
+        v, y, i = vectors.take(np.flatnonzero(some)), labels[some], ids[some]
+        # By the three heaviest terms.
+        row = v.row()
+        by = np.lexsort((v.term, -v.weight, row))
+        place = np.arange(len(by)) - v.first[row]
+        heavy = np.full((len(v), 3), -1)
+        heavy[row[place < 3], place[place < 3]] = v.term[by[place < 3]]
+        order = np.lexsort(heavy.T[::-1])
+        self.rows, self.y, self.ids = v.take(order), y[order].astype(np.float64), i[order]
+        # Each block's terms and their largest weights.
+        self.top = []
+        for b in range(0, len(v), BLOCK):
+            own = slice(self.rows.first[b], self.rows.first[min(b + BLOCK, len(v))])
+            terms, at = np.unique(self.rows.term[own], return_inverse=True)
+            most = np.zeros(len(terms), dtype=np.float32)
+            np.maximum.at(most, at, self.rows.weight[own])
+            self.top.append((terms, most))
         self.slope, self.shift = 1.0, 0.0
+        self.batch = max(1, min(QUERIES, CELLS // max(1, len(self.terms))))
+
+    @property
+    def v(self) -> np.ndarray:
+        """All examples' vectors with their zeros."""
+        return self.rows.dense(len(self.terms))
 
-    def nearest(self, q: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, q: Rows | np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(cosines, examples) of the k nearest of each query, exactly; -1 where there are fewer. skip: an example to leave out."""
+        q = q.dense(len(self.terms)) if isinstance(q, Rows) else q
         n, n_blocks = len(q), len(self.top)
         best, who = np.full((n, k), -1.0, dtype=np.float32), np.full((n, k), -1, dtype=np.int64)
-        bound = q @ self.top.T
+        columns = np.ascontiguousarray(q.T)
+        bound = np.stack([most @ columns[terms] for terms, most in self.top], axis=1) if n_blocks else np.zeros((n, 0))
         order = np.argsort(-bound, axis=1, kind="stable")
         live = np.arange(n)
         for step in range(n_blocks):
             block = order[live, step]
-            go = (bound[live, block] > 0) & (bound[live, block] + 1e-6 >= best[live, -1])
+            go = (bound[live, block] > 0) & (bound[live, block] + 1e-5 >= best[live, -1])
             live, block = live[go], block[go]
             if not len(live):
                 break
             by = np.argsort(block, kind="stable")
             for part in np.split(by, np.flatnonzero(np.diff(block[by])) + 1):
                 rows, b = live[part], block[part[0]]
-                own = np.arange(b * BLOCK, min((b + 1) * BLOCK, len(self.v)))
-                cos = q[rows] @ self.v[own].T
+                own = np.arange(b * BLOCK, min((b + 1) * BLOCK, len(self.rows)))
+                terms, x = self.top[b][0], self.rows.take(own)
+                x.term = np.searchsorted(terms, x.term)
+                cos = q[np.ix_(rows, terms)] @ x.dense(len(terms)).T
                 if skip is not None:
                     cos[skip[rows][:, None] == own[None, :]] = -1
                 c = np.concatenate([best[rows], np.where(cos > 0, cos, -1)], axis=1)
@@ -125,9 +180,10 @@ class Index:
 
     def calibrate(self) -> None:
         """A logistic curve of the log-odds of leave-one-out votes, by Newton's method with a weak prior."""
-        if not len(self.v):
+        if not len(self.rows):
             return
-        v = np.concatenate([self.votes(*self.nearest(self.v[i : i + QUERIES], K, np.arange(i, min(i + QUERIES, len(self.v))))) for i in range(0, len(self.v), QUERIES)])
+        parts = np.split(np.arange(len(self.rows)), range(self.batch, len(self.rows), self.batch))
+        v = np.concatenate([self.votes(*self.nearest(self.rows.take(own), K, own)) for own in parts])
         x, w = np.stack([_logit(v), np.ones(len(v))], axis=1), np.array([1.0, 0.0])
         for _ in range(30):
             p = 1 / (1 + np.exp(-x @ w))
@@ -135,17 +191,19 @@ class Index:
             w = w - np.clip(step, -2, 2)
         self.slope, self.shift = float(w[0]), float(w[1])
 
-    def score(self, q: np.ndarray) -> tuple[np.ndarray, list]:
+    def score(self, q: Rows) -> tuple[np.ndarray, list]:
         out, evidence = np.full(len(q), self.empty), [[] for _ in range(len(q))]
-        some = np.flatnonzero(q.any(axis=1))
-        if len(some) and len(self.v):
-            distinct, at = np.unique(q[some], axis=0, return_inverse=True)
+        some = np.flatnonzero(np.diff(q.first) > 0)
+        if len(some) and len(self.rows):
+            number: dict = {}
+            at = np.array([number.setdefault(q[k], len(number)) for k in some])
+            distinct = some[np.unique(at, return_index=True)[1]]
             s, e = [], []
-            for i in range(0, len(distinct), QUERIES):
-                best, who = self.nearest(distinct[i : i + QUERIES], K)
+            for i in range(0, len(distinct), self.batch):
+                best, who = self.nearest(q.take(distinct[i : i + self.batch]), K)
                 s.append(1 / (1 + np.exp(-(self.slope * _logit(self.votes(best, who)) + self.shift))))
                 e += [[int(self.ids[w]) for w in row if w >= 0] for row in who[:, :3]]
-            s, at = np.concatenate(s), at.reshape(-1)
+            s = np.concatenate(s)
             out[some] = s[at]
             for r, k in zip(some, at, strict=True):
                 evidence[r] = e[k]
@@ -165,13 +223,13 @@ def _vectors(index):
             data, bounds = arrow_bytes(b.column("text"))
             for i, j in slices(bounds, TEXT_SLICE):
                 v = index.vectors(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("y").slice(i, j - i), pa.array([x.tobytes() for x in v], pa.binary())], names=["doc_id", "y", "v"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("y").slice(i, j - i), *(pa.array(x, pa.binary()) for x in zip(*(v[k] for k in range(len(v))), strict=True))], names=["doc_id", "y", "term", "weight"])
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, usable, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> Index:
-    """docs: doc_id and text; labels: doc_id and y; usable: which ids may be learnt from."""
+def train(docs: DataFrame, labels: DataFrame, usable, max_examples: int = MAX_EXAMPLES, max_terms: int | None = None) -> Index:
+    """docs: doc_id and text; labels: doc_id and y; usable: which ids may be learnt from; max_terms: only the strongest."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & usable).groupBy("doc_id").agg((F.max("y") > 0).cast("int").alias("y"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
     examples = Workspace(docs.sparkSession, "toxicity").put(docs.join(F.broadcast(rows), "doc_id"), "examples")  # at most max_examples ids
@@ -179,16 +237,17 @@ def train(docs: DataFrame, labels: DataFrame, usable, max_examples: int = MAX_EX
     n, n1 = size.n, size.n1
     if not n or n1 in (0, n):
         index = Index(np.zeros(0, np.uint64), np.zeros(0))
-        index.fill(np.zeros((n, 0), np.float32), np.array([1] * n1 + [0] * (n - n1), dtype=np.int64), np.zeros(n, np.int64))
+        index.fill(Rows(np.zeros(n + 1), np.zeros(0), np.zeros(0)), np.array([1] * n1 + [0] * (n - n1), dtype=np.int64), np.zeros(n, np.int64))
         return index
     found = examples.select("text", "y").mapInArrow(_document_frequencies, "term long, n long, n1 long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
     a, b = F.col("n1"), F.col("n") - F.col("n1")
     c, d = n1 - a, (n - n1) - b
     chi = F.pow(F.abs(a * d - b * c).cast("double"), 2) * n / (F.col("n") * F.greatest(F.lit(1), n - F.col("n")) * float(n1) * float(n - n1))
-    terms = found.where(f"n >= {MIN_DF}").withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(max_terms).collect()
+    terms = found.where(f"n >= {MIN_DF}").withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "term")
+    terms = (terms if max_terms is None else terms.limit(max_terms)).collect()  # words of max_examples texts
     index = Index(np.array([r.term for r in terms], dtype=np.int64).view(np.uint64), np.log(np.array([n / r.n for r in terms])) if terms else np.zeros(0))
-    got = examples.select("doc_id", "text", "y").mapInArrow(_vectors(index), "doc_id long, y int, v binary").orderBy("doc_id", "v").collect()  # at most max_examples
-    v = np.frombuffer(b"".join(r.v for r in got), dtype=np.float32).reshape(len(got), len(terms))
+    got = examples.select("doc_id", "text", "y").mapInArrow(_vectors(index), "doc_id long, y int, term binary, weight binary").orderBy("doc_id", "term", "weight").collect()  # at most max_examples
+    v = Rows(np.cumsum([0] + [len(r.term) // 4 for r in got]), np.frombuffer(b"".join(r.term for r in got), dtype=np.int32), np.frombuffer(b"".join(r.weight for r in got), dtype=np.float32))
     index.fill(v, np.array([r.y for r in got], dtype=np.int64), np.array([r.doc_id for r in got], dtype=np.int64))
     index.calibrate()
     return index
@@ -208,7 +267,7 @@ def _score(sent):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "toxic", max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "toxic", max_examples: int = MAX_EXAMPLES, max_terms: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, evidence (ids of the nearest examples)."""
     texts = id_text(docs, id_col, text_col)
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0

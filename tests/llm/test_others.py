@@ -292,6 +292,20 @@ def test_nearest_is_exact():
         assert (who[k][len(want) :] == -1).all()
 
 
+def test_toxicity_uses_all_significant_words(spark):
+    rng, docs, labels = np.random.default_rng(11), [], []
+    bad = np.array([f"insult{k}" for k in range(300)])
+    for i in range(3000):
+        y = i % 2
+        docs.append((i, " ".join(prose(5000 + i, 6) + (rng.choice(bad, 35, replace=False).tolist() if y else []))))
+        labels.append((i, y))
+    docs += [(9000 + k, w) for k, w in enumerate(bad.tolist())]
+    df, known = documents(spark, docs)[0], spark.createDataFrame(labels, "doc_id long, toxic int")
+    score = {r.doc_id: r.score for r in X.toxicity(df, known).where("doc_id >= 9000").collect()}
+    assert len(score) == 300
+    assert min(score.values()) > 0.5
+
+
 # ------------------------------------------------------------------ pipeline
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
