@@ -89,9 +89,9 @@ def flagship(lineitem: DataFrame) -> DataFrame:
 query("agg_group", "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS sum_qty, avg(l_extendedprice) AS avg_price, quantile_cont(l_quantity, 0.5) AS median_qty FROM lineitem WHERE l_discount BETWEEN 0.05 AND 0.07 GROUP BY ALL HAVING count(*) > 5", "lineitem")(flagship)
 query("agg_count_distinct", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY ALL", "orders")(lambda o: A.aggregate(o, [{"function": "count_distinct", "column": "o_custkey", "alias": "customers"}], ["o_orderstatus"]))
 query("agg_median", "SELECT event_type, quantile_cont(value, 0.5) AS median_value FROM events GROUP BY ALL", "events")(lambda e: A.aggregate(e, [{"function": "median", "column": "value"}], ["event_type"]))
-query("agg_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) >= 18", "orders")(lambda o: A.aggregate(o, [{"function": "count", "alias": "n"}], ["o_custkey"], having=[{"column": "n", "op": "gte", "value": 18}], order_by="n", limit=1000))
+query("agg_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) >= 18", "orders")(lambda o: A.aggregate(o, [{"function": "count", "alias": "n"}], ["o_custkey"], having=[{"column": "n", "op": "gte", "value": 18}], order_by="n", limit=None))
 query("agg_having_in_between", "SELECT l_suppkey, count(*) AS n, max(l_tax) AS tax FROM lineitem GROUP BY ALL HAVING count(*) BETWEEN 500 AND 620 AND max(l_tax) IN (0.08)", "lineitem")(
-    lambda t: A.aggregate(t, [{"function": "count", "alias": "n"}, {"function": "max", "column": "l_tax", "alias": "tax"}], ["l_suppkey"], having=[{"column": "n", "op": "between", "value": [500, 620]}, {"column": "tax", "op": "in", "value": [0.08]}], limit=1000)
+    lambda t: A.aggregate(t, [{"function": "count", "alias": "n"}, {"function": "max", "column": "l_tax", "alias": "tax"}], ["l_suppkey"], having=[{"column": "n", "op": "between", "value": [500, 620]}, {"column": "tax", "op": "in", "value": [0.08]}], limit=None)
 )
 query("agg_topk", "SELECT l_partkey, sum(l_extendedprice) AS revenue FROM lineitem GROUP BY ALL ORDER BY revenue DESC NULLS LAST, l_partkey LIMIT 10", "lineitem")(lambda t: A.aggregate(t, [{"function": "sum", "column": "l_extendedprice", "alias": "revenue"}], ["l_partkey"], order_by="revenue", limit=10))
 query("agg_total_groups", "SELECT count(*) AS total_groups FROM (SELECT o_custkey FROM orders GROUP BY ALL HAVING count(*) > 12)", "orders")(lambda o: A.total_groups(o, [{"function": "count", "alias": "n"}], ["o_custkey"], None, [{"column": "n", "op": "gt", "value": 12}]))

@@ -57,3 +57,17 @@ def test_bins_cover_all_values(spark):
     for n, bins in ((1, 1), (13, 5), (100, 100)):
         df = spark.range(n).select(F.sqrt(F.col("id")).alias("v"))
         assert sum(r.n for r in ST.histogram(df, "v", bins).collect()) == n
+
+
+def test_having_gives_all_groups(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from brindle.plans.queries import QUERIES
+
+    g = spark.range(1200).select(F.col("id").alias("g"))
+    g.join(spark.range(18)).select(F.col("g").alias("o_custkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    g.join(spark.range(500)).select(F.col("g").alias("l_suppkey"), F.lit(0.08).alias("l_tax")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name, n in (("agg_having", 18), ("agg_having_in_between", 500)):
+        rows = QUERIES[name](spark, str(tmp_path)).collect()
+        assert len(rows) == 1200
+        assert {r.n for r in rows} == {n}
