@@ -1,7 +1,7 @@
 """License scan with a positional rare-token index, in DataFrame functions only.
 
-Licence words that are common everywhere say nothing, so inverse document frequencies are taken over all documents. Of
-each file the licence words with the highest IDF are looked up in the templates' postings; matches that agree on the
+Licence words that are common everywhere say nothing, so inverse document frequencies are taken over all documents. All
+licence words of each file are looked up in the templates' postings; matches that agree on the
 relative position (place in the file minus place in the template) add up to a template's share of matched IDF. A
 template counts if enough agrees and its mandatory key phrase stands in the file, word for word.
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, id_text
@@ -55,6 +55,7 @@ TEMPLATES = [
 ]
 #: fixed: words of the notices that any text has; never looked up
 COMMON = set("a and any are as be by can copy for form forms in into is it library may met no of on or or program provided source terms that the this to under use v version with without work you made c 0 1 2 3 4".split())
+#: of the SQL only, which looks up so many words a file; the scan looks up all
 TOP_WORDS = 8
 SHARE = 0.5
 WORD_BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -110,10 +111,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = facts.where("places is not null").select("row", F.explode("places").alias("x")).select("row", "x.word", "x.at")
     df = placed.groupBy("word").agg(F.count_distinct("row").alias("df"))
     idf = df.select("word", F.log((F.lit(total) + 1) / F.col("df")).alias("idf"))
-    # The highest-IDF words of each file, all their places.
-    words = placed.select("row", "word").distinct().join(F.broadcast(idf), "word")
-    top = words.withColumn("k", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("idf"), "word"))).where(F.col("k") <= TOP_WORDS).select("row", "word", "idf")
-    looked = placed.join(top, ["row", "word"])
+    # All licence words of each file, all their places: one notice can't crowd out another.
+    looked = placed.join(F.broadcast(idf), "word")
     postings = spark.createDataFrame([(t, w, i) for t, (_, _, text) in enumerate(TEMPLATES) for i, w in enumerate(text.split()) if w not in COMMON], "template int, word string, place int")
     names = spark.createDataFrame([(t, label, phrase) for t, (label, phrase, _) in enumerate(TEMPLATES)], "template int, label string, phrase string")
     weight = postings.select("template", "word").distinct().join(F.broadcast(idf), "word").groupBy("template").agg(F.sum("idf").alias("whole"))

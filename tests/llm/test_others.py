@@ -229,6 +229,16 @@ def test_license_scan(spark):
     assert license_scan(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("others", [1, 60, 300])
+def test_license_scan_of_two_notices(spark, others):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    apache, by_nc = "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0."
+    rest = "redistribution permitted provided conditions general public lesser mozilla exhibit eclipse"
+    df, _ = documents(spark, [(1, f"{mit}\n{apache}"), (2, f"{mit}\n{by_nc}"), *((k, mit if k % 2 else rest) for k in range(10, 10 + others)), *((k, " ".join(prose(k, 20))) for k in range(1000, 1400))])
+    got = {r.doc_id: r.labels for r in license_scan(df).where("doc_id < 3").collect()}
+    assert got == {1: "apache,apache-2.0,mit", 2: "cc-by,cc-by-nc,mit"}
+
+
 def test_license_scan_runs_no_python(spark):
     df, _ = documents(spark)
     assert not re.search("Python|Arrow|Pandas", license_scan(df)._jdf.queryExecution().toString())
