@@ -7,6 +7,7 @@ Intermediate tables go to the folder that the cluster names in ``spark.checkpoin
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,14 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WS_CLASS = r"[\x20\x09-\x0D]"
-_made: list[tuple[object, str]] = []
+_made: list[tuple[SparkSession, Workspace]] = []
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a local one of our own only where none is set."""
+    """The shared folder of the session. A local one of our own only where none is set and driver and tasks are one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="brindle-")
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
     atexit.register(shutil.rmtree, own, True)
@@ -49,7 +52,9 @@ def conf(spark: SparkSession, **values):
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Whole texts go to Python in batches of bounded bytes, however long they are: Spark's own 64 MB would stand beside the heap.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+_batch_before: dict[int, tuple[SparkSession, str]] = {}
 
 
 class Workspace:
@@ -59,10 +64,12 @@ class Workspace:
         self.spark = spark
         self.id = f"{label}_{uuid.uuid4().hex[:12]}"
         self.path = f"{checkpoint_root(spark)}/{self.id}"
-        # Whole texts: batches of the default 10,000 rows would take hundreds of MB beside the heap.
-        if spark.conf.get(BATCH, "10000") == "10000":
-            spark.conf.set(BATCH, "1500")
-        _made.append((spark, self.path))
+        # Results are read after the call, so the setting holds until ``clean``.
+        if id(spark) not in _batch_before:
+            _batch_before[id(spark)] = (spark, spark.conf.get(BATCH))
+            spark.conf.set(BATCH, BATCH_BYTES)
+        self.tables: list[str] = []
+        _made.append((spark, self))
 
     def put(self, df: DataFrame, name: str, bucket: tuple[int, str] | None = None, partition: str | None = None) -> DataFrame:
         path = f"{self.path}/{name}"
@@ -74,6 +81,7 @@ class Workspace:
                 writer = writer.partitionBy(partition)
             if bucket:
                 table = f"{self.id}_{name}"
+                self.tables.append(table)
                 writer.bucketBy(bucket[0], bucket[1]).option("path", path).saveAsTable(table)
                 return self.spark.table(table)
             writer.parquet(path)
@@ -95,16 +103,44 @@ def remove(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def clean() -> None:
-    """Removes the tables of all operator calls so far (results that were not written yet are lost). Runs at exit."""
+    """Removes the tables of all operator calls so far (results that were not written yet are lost), also from the catalog, and
+    restores the session's settings. Runs at exit."""
     done, _made[:] = list(_made), []
-    for spark, path in done:
-        if path.startswith("file:"):
-            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
-        else:
-            try:
-                remove(spark, path)
-            except Exception:  # the session may be gone: the cluster's own clean-up takes the folder
-                pass
+    for spark, ws in done:
+        try:
+            for table in ws.tables:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+            remove(spark, ws.path)
+        except Exception:  # the session may be gone: a local folder goes anyway, a shared one with the cluster's own clean-up
+            if ws.path.startswith("file:"):
+                shutil.rmtree(ws.path.removeprefix("file://"), ignore_errors=True)
+    for spark, before in _batch_before.values():
+        try:
+            spark.conf.set(BATCH, before)
+        except Exception:  # as above
+            pass
+    _batch_before.clear()
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name like this one that none of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: classes with more than this share of all rows are at most so many, so they may be broadcast
+HEAVY = 1000
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows left join classes (one row a key, with its number of rows n). The rows of a class that holds more than a
+    thousandth of all ``total`` rows stay where they are: there are under a thousand such classes, which are broadcast."""
+    most = max(total // HEAVY, 1)
+    heavy, light = classes.where(F.col(n) > most), classes.where(F.col(n) <= most)
+    others = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, "left")
+    return rows.join(F.broadcast(heavy), key).unionByName(others.select(*rows.columns, *(c for c in classes.columns if c != key)))
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

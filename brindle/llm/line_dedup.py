@@ -1,9 +1,10 @@
 """Line dedup: range-partitioned line hashes, a secondary sort by document and position, keep bitmaps.
 
 Each task first folds its own lines: of a key it passes on one document's occurrences only, as later ones are settled
-by it, so a very common line reaches the shuffle once for each task. The rest is dealt by ranges of a 128-bit hash,
+by it, so a very common line reaches the shuffle once for each fold. The rest is dealt by ranges of a 128-bit hash,
 sorted by (hash, document, position) and streamed: the first document of a key keeps it, later ones lose it. The
-outcome is one compressed bitmap for each document (bit i: line i stays), joined to texts only where they are needed.
+outcome is one compressed bitmap for each document that loses lines (bit i: line i stays; lines behind the last bit
+stay), kept as a table. Only these documents' texts are cut in Python; texts and bitmaps meet by hash, without a sort.
 
 Defined cases: null or empty text is one empty line; rows without an id are left out; keys under ``min_chars`` code
 points always stay; lines repeated within the document that keeps them stay; rows that repeat an id are the same
@@ -19,10 +20,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, id_text, n_partitions, volume
+from .common import Workspace, fresh, id_text, n_partitions
 
 MIN_CHARS = 10
-FOLD_ROWS = 400_000
+FOLD_ROWS = 200_000
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINES = "h1 long, h2 long, doc_id long, tkey long, pos int, settled boolean"
@@ -83,18 +84,17 @@ def _bitmaps(batches):
     import pyarrow as pa
 
     for b in batches:
-        n = b.column("n_lines").to_pylist()
-        keep = []
-        for size, gone in zip(n, b.column("gone").to_pylist(), strict=True):
-            bits = np.ones(size, dtype=bool)
-            if gone:
-                bits[gone] = False
+        keep, n = [], []
+        for gone in b.column("gone").to_pylist():
+            bits = np.ones((max(gone) // 8 + 1) * 8, dtype=bool)
+            bits[gone] = False
             keep.append(zlib.compress(np.packbits(bits).tobytes(), 1))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tkey"), pa.array(n, pa.int64()), pa.array([len(g or ()) for g in b.column("gone").to_pylist()], pa.int64()), pa.array(keep, pa.binary())], names=["doc_id", "tkey", "n_lines", "n_dropped", "keep"])
+            n.append(len(gone))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tkey"), pa.array(n, pa.int64()), pa.array(keep, pa.binary())], names=["doc_id", "tkey", "n_dropped", "keep"])
 
 
 def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per distinct (doc_id, text): doc_id, tkey (xxhash64 of the text), n_lines, n_dropped, keep (zlib of packed bits)."""
+    """One row per distinct (doc_id, text) that loses lines: doc_id, tkey (xxhash64 of the text), n_dropped, keep (zlib of packed bits)."""
     spark = docs.sparkSession
     ws = Workspace(spark, "lines")
     texts = id_text(docs, id_col, text_col).withColumn("tkey", F.xxhash64("text"))
@@ -104,14 +104,18 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = n_partitions(spark, folded.count() * 40, 32 << 20)
     open_ = folded.where("not settled").drop("settled").repartitionByRange(n, "h1", "h2").sortWithinPartitions("h1", "h2", "doc_id", "pos")
     gone = open_.mapInArrow(_stream, "doc_id long, tkey long, pos int").unionByName(folded.where("settled").select("doc_id", "tkey", "pos"))
-    gone = gone.groupBy("doc_id", "tkey").agg(F.collect_set("pos").alias("gone"))
-    meta = texts.select("doc_id", "tkey", (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).alias("n_lines")).dropDuplicates(["doc_id", "tkey"])
-    return meta.join(gone, ["doc_id", "tkey"], "left").mapInArrow(_bitmaps, "doc_id long, tkey long, n_lines long, n_dropped long, keep binary")
+    # Tables between the steps: a task then has one Python worker at a time.
+    gone = ws.put(gone, "gone").groupBy("doc_id", "tkey").agg(F.collect_set("pos").alias("gone"))
+    maps = ws.put(gone.mapInArrow(_bitmaps, "doc_id long, tkey long, n_dropped long, keep binary"), "bitmaps")
+    ws.drop("lines", "gone")
+    return maps
 
 
 def kept_lines(text: str, keep: bytes) -> str:
     lines = text.split("\n")
-    bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), dtype=np.uint8), count=len(lines))
+    bits = np.ones(len(lines), dtype=bool)
+    some = np.unpackbits(np.frombuffer(zlib.decompress(keep), dtype=np.uint8))[: len(lines)]
+    bits[: len(some)] = some
     return "\n".join(x for x, stays in zip(lines, bits, strict=True) if stays)
 
 
@@ -120,10 +124,13 @@ def _apply(digest: bool):
         import pyarrow as pa
 
         for b in batches:
-            text = [t if not n else kept_lines(t, k) for t, n, k in zip(*(b.column(c).to_pylist() for c in ("text", "n_dropped", "keep")), strict=True)]
-            if digest:
-                text = [hashlib.sha256(t.encode()).hexdigest() for t in text]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "n_lines", "n_dropped")), pa.array(text, pa.string())], names=["doc_id", "n_lines", "n_dropped", "out"])
+            out = []
+            for whole, text, keep in zip(*(b.column(c).to_pylist() for c in ("whole", "cut", "keep")), strict=True):
+                if keep is not None:
+                    whole = kept_lines(text, keep)
+                    whole = hashlib.sha256(whole.encode()).hexdigest() if digest else whole
+                out.append(whole)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "n_lines", "n_dropped")), pa.array(out, pa.string())], names=["doc_id", "n_lines", "n_dropped", "out"])
 
     return run
 
@@ -131,7 +138,10 @@ def _apply(digest: bool):
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, digest: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_dropped and text (or kept_sha256) of the lines that stay."""
     texts = id_text(docs, id_col, text_col).withColumn("tkey", F.xxhash64("text"))
-    joined = texts.join(line_bitmaps(docs, id_col, text_col, min_chars), ["doc_id", "tkey"]).select("doc_id", "text", "n_lines", "n_dropped", "keep")
+    joined = texts.join(line_bitmaps(docs, id_col, text_col, min_chars).hint("shuffle_hash"), ["doc_id", "tkey"], "left")
+    n_lines = (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long")
+    whole = F.when(F.col("keep").isNull(), F.sha2("text", 256) if digest else F.col("text"))
+    joined = joined.select("doc_id", n_lines.alias("n_lines"), F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"), whole.alias("whole"), F.when(F.col("keep").isNotNull(), F.col("text")).alias("cut"), "keep")
     return joined.mapInArrow(_apply(digest), "doc_id long, n_lines long, n_dropped long, out string").withColumnRenamed("out", "kept_sha256" if digest else "text")
 
 
@@ -141,19 +151,20 @@ def _replace(text_at: int, n_columns: int):
 
         for b in batches:
             columns = b.columns[:n_columns]
-            gone, keep = (b.column(n_columns + k).to_pylist() for k in range(2))
-            text = [kept_lines(t, k) if n else t for t, n, k in zip(columns[text_at].to_pylist(), gone, keep, strict=True)]
-            columns[text_at] = pa.array(text, pa.string())
+            text = [t if k is None else kept_lines(t, k) for t, k in zip(columns[text_at].to_pylist(), b.column(n_columns).to_pylist(), strict=True)]
+            columns[text_at] = pa.array(text, columns[text_at].type)
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:n_columns])
 
     return run
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with all their columns, texts without the lines that an earlier document holds. Rows without an id stay as they are."""
-    maps = line_bitmaps(docs, id_col, text_col, min_chars).where("n_dropped > 0").select(F.col("doc_id").alias("_own_id_"), F.col("tkey").alias("_own_key_"), F.col("n_dropped").alias("_gone_"), F.col("keep").alias("_keep_"))
-    own = [F.col(f"`{id_col}`").cast("long") == F.col("_own_id_"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) == F.col("_own_key_")]
-    joined = docs.join(maps, own, "left").select(*(docs[f"`{c}`"] for c in docs.columns), "_gone_", "_keep_")
+    """``docs`` with all their columns, whatever their names, texts without the lines that an earlier document holds. Rows without
+    an id stay as they are."""
+    own_id, own_key, keep = (fresh(x, docs) for x in ("own_id", "own_key", "keep_bits"))
+    maps = line_bitmaps(docs, id_col, text_col, min_chars).select(F.col("doc_id").alias(own_id), F.col("tkey").alias(own_key), F.col("keep").alias(keep))
+    own = [F.col(f"`{id_col}`").cast("long") == F.col(own_id), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) == F.col(own_key)]
+    joined = docs.join(maps.hint("shuffle_hash"), own, "left").select(*(docs[f"`{c}`"] for c in docs.columns), keep)
     return joined.mapInArrow(_replace(docs.columns.index(text_col), len(docs.columns)), docs.schema)
 
 

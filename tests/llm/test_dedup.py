@@ -120,7 +120,8 @@ def test_signatures_estimate_similarity():
 def test_lines(spark):
     df, docs = documents(spark)
     assert rows(dedup_lines(df, digest=True), "doc_id", "n_lines", "n_dropped", "kept_sha256") == brute_lines(docs)
-    assert line_bitmaps(df).select("doc_id", "tkey").distinct().count() == line_bitmaps(df).count()
+    maps = line_bitmaps(df)
+    assert maps.select("doc_id", "tkey").distinct().count() == maps.count() == len({d[0] for d in brute_lines(docs) if d[2]})
 
 
 def test_lines_keep_columns(spark):
@@ -131,6 +132,23 @@ def test_lines_keep_columns(spark):
     assert {r.text for r in out.where("doc_id is null").collect()} == {"no id here", None}
 
 
+def test_lines_of_columns_named_like_the_inner_ones(spark):
+    rows_ = [(1, "a line to keep here", 5, b"x", 7), (2, "a line to keep here\nown line of two", 6, b"y", 8)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, own_id long, keep_bits binary, OWN_KEY long")
+    out = sorted(drop_repeated_lines(df).collect())
+    assert [tuple(r) for r in out] == [rows_[0], (2, "own line of two", 6, b"y", 8)]
+
+
+def test_lines_in_small_folds(spark, monkeypatch):
+    from brindle.llm import line_dedup as L
+
+    monkeypatch.setattr(L, "FOLD_ROWS", 3)
+    shared = [f"shared line number {k}" for k in range(12)]
+    rng = np.random.default_rng(2)
+    df, docs = documents(spark, [(int(i), "\n".join(rng.choice(shared, rng.integers(0, 30)).tolist() + [f"own line of number {i}"] * int(rng.integers(0, 2)))) for i in rng.permutation(40)])
+    assert rows(dedup_lines(df, digest=True), "doc_id", "n_lines", "n_dropped", "kept_sha256") == brute_lines(docs)
+
+
 @pytest.mark.parametrize("f", [S.substring_dedup, E.exact_dedup, N.near_dedup, dedup_lines, drop_repeated_lines])
 def test_empty_table(spark, f):
     df, _ = documents(spark, [])
