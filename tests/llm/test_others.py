@@ -287,22 +287,102 @@ def test_toxicity_without_labels(spark):
     assert X.reject_toxic(df, labels.limit(0)).count() == df.count()
 
 
-def test_nearest_is_exact():
-    rng = np.random.default_rng(9)
-    index = X.Index(np.arange(30, dtype=np.uint64), np.ones(30))
-    v = np.where(rng.random((500, 30)) < 0.15, rng.random((500, 30)), 0).astype(np.float32)
-    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-    index.fill(v, rng.integers(0, 2, 500), np.arange(500))
-    q = v[rng.integers(0, 500, 40)]
-    best, who = index.nearest(q, 9)
-    cos = q @ index.v.T
-    for k in range(len(q)):
-        want = np.sort(cos[k][cos[k] > 0])[::-1][:9]
-        assert np.allclose(best[k][: len(want)], want, atol=1e-5)
-        assert (who[k][len(want) :] == -1).all()
-
-
-def test_toxicity_uses_all_significant_words(spark):
+def random_examples(n, n_terms, share, seed):
+    rng = np.random.default_rng(seed)
+    tf = np.where(rng.random((n, n_terms)) < share * rng.random(n_terms) ** 3, rng.integers(1, 4, (n, n_terms)), 0)
+    doc, term = np.nonzero(tf)
+    return tf, doc, term.astype(np.uint64) * 7 + 3, tf[doc, term]
+
+
+@pytest.mark.parametrize(("block", "frequent"), [(64, 1 / 16), (8, 0.2), (8, 0.0), (8, 1.0)])
+def test_nearest_is_exact(monkeypatch, block, frequent):
+    monkeypatch.setattr(X, "BLOCK", block)
+    monkeypatch.setattr(X, "FREQUENT", frequent)
+    tf, doc, term, count = random_examples(300, 60, 0.5, 9)
+    y = np.random.default_rng(1).integers(0, 2, 300)
+    index = X.Index(doc, term, count, y, np.arange(300))
+    df, n1 = (tf > 0).sum(axis=0), ((tf > 0) * y[:, None]).sum(axis=0)
+    weight = np.log(300.5 / np.maximum(df, 1)) * X.association(df, n1, 300, int(y.sum())) * (df > 0)
+    v = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0) * weight
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    queries = index.vectors(doc, term, count, 300)
+    place = {i: k for k, i in enumerate(index.ids.tolist())}
+    own = [i for i in range(300) if i in place]
+    for skip in (None, np.array([place[i] for i in own])):
+        for k, (cos, who) in zip(own, index.nearest([queries[i] for i in own], 9, skip), strict=True):
+            true = v @ v[k]
+            if skip is not None:
+                true[k] = 0
+            want = np.sort(true[true > 1e-9])[::-1][:9]
+            assert np.allclose(cos, want, atol=1e-5)
+            assert np.allclose(true[index.ids[who]], cos, atol=1e-5)
+
+
+def brute_toxicity(docs, labels):
+    """Scores by dictionaries of words, all cosines and a search for the calibration's minimum."""
+    count = lambda t: {w: n for w, n in __import__("collections").Counter(x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t)) if x).items()}
+    text: dict = {}
+    for i, t in docs:
+        text[i] = min(text.get(i, t), t)
+    train = [i for i in sorted(labels) if i in text and zlib.crc32(str(i).encode()) % 5]
+    words, y = {i: count(text[i]) for i in train}, {i: labels[i] for i in train}
+    df, n1 = {}, {}
+    for i in train:
+        for w in words[i]:
+            df[w], n1[w] = df.get(w, 0) + 1, n1.get(w, 0) + y[i]
+    total, total1 = len(train), sum(y.values())
+
+    def weigh(w):
+        expected = df[w] * total1 / total
+        spread = expected * (1 - total1 / total) * max(total - df[w], 1) / (total - 1)
+        return np.log((total + 0.5) / df[w]) * max(((n1[w] - expected) ** 2 / max(spread, 1e-12)) ** 0.75, X.FLOOR)
+
+    def vector(c):
+        v = {w: (1 + np.log(n)) * weigh(w) for w, n in c.items() if w in df}
+        size = sum(x * x for x in v.values()) ** 0.5
+        return {w: x / size for w, x in v.items()}
+
+    vectors = {i: vector(words[i]) for i in train}
+    empty = [y[i] for i in train if not words[i]]
+
+    def vote(v, skip=None):
+        near = sorted(((sum(x * vectors[i].get(w, 0) for w, x in v.items()), i) for i in train if i != skip), reverse=True)[: X.K]
+        near = [(c, i) for c, i in near if c > 0]
+        weight = [c * c / (1.05 - min(c, 1)) for c, _ in near]
+        p = (sum(w * y[i] for w, (_, i) in zip(weight, near, strict=True)) + 0.1) / (sum(weight) + 1)
+        p = min(max(p, 1e-4), 1 - 1e-4)
+        return np.log(p / (1 - p))
+
+    x = np.array([vote(vectors[i], i) for i in train if words[i]])
+    z = np.array([y[i] for i in train if words[i]])
+    loss = lambda a, b: np.logaddexp(0, np.where(z == 1, -1, 1) * (a * x + b)).sum() + 0.05 * ((a - 1) ** 2 + b * b)
+    a, b, step = 1.0, 0.0, 1.0
+    while step > 1e-7:  # pattern search
+        best = min(((loss(a + i * step, b + j * step), a + i * step, b + j * step) for i in (-1, 0, 1) for j in (-1, 0, 1)), key=lambda r: r[0])
+        if best[0] >= loss(a, b) - 1e-13:
+            step /= 2
+        a, b = best[1:]
+    out = []
+    for i, t in docs:
+        v = vector(count(t))
+        out.append((i, 1 / (1 + np.exp(-(a * vote(v) + b))) if v else (1 + sum(empty)) / (10 + len(empty))))
+    return out
+
+
+def test_toxicity_whole(spark):
+    df, labels, docs, truth = labelled(spark, 150)
+    docs = [(i, t or "") for i, t in docs if i is not None]
+    want = sorted(brute_toxicity(docs, truth))
+    got = sorted((r.doc_id, r.score, tuple(r.evidence)) for r in X.toxicity(df, labels).collect())
+    assert [r[0] for r in got] == [r[0] for r in want]
+    # Equally near examples at the k-th place may be any of them.
+    close = [abs(a[1] - b[1]) < 2e-3 for a, b in zip(got, want, strict=True)]
+    assert sum(close) >= 0.97 * len(close)
+    assert {i for i, _, e in got if not e} == {i for i, t in docs if not t}
+
+
+def test_toxicity_uses_all_words(spark):
+    """A text with any word of an example has neighbours and a score of its own; the bound on text bytes holds."""
     rng, docs, labels = np.random.default_rng(11), [], []
     bad = np.array([f"insult{k}" for k in range(300)])
     for i in range(3000):
@@ -310,10 +390,22 @@ def test_toxicity_uses_all_significant_words(spark):
         docs.append((i, " ".join(prose(5000 + i, 6) + (rng.choice(bad, 35, replace=False).tolist() if y else []))))
         labels.append((i, y))
     docs += [(9000 + k, w) for k, w in enumerate(bad.tolist())]
+    docs += [(9500, "w17 neverseen"), (9501, "neverseen either")]
     df, known = documents(spark, docs)[0], spark.createDataFrame(labels, "doc_id long, toxic int")
-    score = {r.doc_id: r.score for r in X.toxicity(df, known).where("doc_id >= 9000").collect()}
-    assert len(score) == 300
-    assert min(score.values()) > 0.5
+    got = {r.doc_id: r for r in X.toxicity(df, known).where("doc_id >= 9000").collect()}
+    assert min(got[9000 + k].score for k in range(300)) > 0.5
+    assert got[9500].evidence
+    assert not got[9501].evidence
+    assert len(X.train(df.select("doc_id", "text"), known.withColumnRenamed("toxic", "y"), F.lit(True), max_bytes=20_000)) < 200
+
+
+def test_toxicity_rejects_rows_without_id_like_others(spark):
+    df, labels, docs, _ = labelled(spark, 300)
+    more = df.limit(1).select(*(F.lit(None).cast("long").alias(c) if c == "doc_id" else F.lit("dolt rogue fiend dolt").alias(c) if c == "text" else F.col(c) for c in df.columns))
+    left = X.reject_toxic(df.unionByName(more), labels)
+    assert left.columns == df.columns
+    assert left.where("text = 'dolt rogue fiend dolt'").count() == 0
+    assert left.where("text is null").count() == df.where("text is null").count()
 
 
 # ------------------------------------------------------------------ pipeline
