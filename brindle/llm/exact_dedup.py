@@ -1,8 +1,10 @@
 """Exact dedup by a log-structured merge index over text digests.
 
-Memtables (one per task, bounded in rows) flush sorted digest runs, cut by digest range and each with a
-Bloom filter. Compaction of a range merges its runs pairwise, level by level: keys that a run's filter rules
-out are passed on without a search, found ones are folded into one entry with the smallest identifier. The
+Memtables (one per task, bounded in rows) flush sorted digest runs, each cut into ranges of the digest and with a Bloom
+filter for each. Compaction goes by levels of a fixed fan-out: a level merges the pieces of a bounded number of runs
+within one range and cuts the merged run into finer ranges for the next, until a range's runs are all in one place. So
+pieces grow with the rows, not with runs times ranges. Two runs are merged pairwise: keys that the larger one's filter
+rules out are passed on without a search, found ones are folded into one entry with the smallest identifier. The
 members of every class with more than one row (the hits) are then compared with the row that stays, byte by byte.
 
 Defined cases: null text counts as empty; rows without an id are left out; rows that repeat an id with equal text
@@ -16,12 +18,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, conf, id_text
+from .common import Workspace, conf, id_text, join_classes
 
 MEMTABLE_ROWS = 200_000
 BLOOM_BITS = 10
 CHUNK = 256
-RUN = "shard int, keys binary, ids binary, counts binary, bloom binary"
+#: log2 of the ranges into which a run is cut, at most
+FAN_OUT = 6
+RUN = "range long, run long, keys binary, ids binary, counts binary, bloom binary"
 
 
 def normalised(text):
@@ -75,21 +79,34 @@ def merge(a, b):
     return (*run, bloom(run[0]))
 
 
-def _flush(n_shards: int, memtable_rows: int):
+def _lead(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The first bits of each key."""
+    lead = keys[:, :8].reshape(-1).view(">u8").astype(np.uint64)
+    return (lead >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
+
+
+def _cut(run, bits: int, number: int):
+    """A sorted run's pieces by ranges of the first bits, as rows."""
+    import pyarrow as pa
+
+    keys, ids, counts = run[:3]
+    of = _lead(keys, bits)
+    at = np.flatnonzero(np.diff(of, prepend=-1))
+    rows = [(int(of[i]), number, keys[i:j].tobytes(), ids[i:j].tobytes(), counts[i:j].tobytes(), np.packbits(bloom(keys[i:j])).tobytes()) for i, j in zip(at, np.append(at[1:], len(of)), strict=True)]
+    columns = zip(*rows, strict=True) if rows else [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["range", "run", "keys", "ids", "counts", "bloom"])
+
+
+def _flush(bits: int, memtable_rows: int):
     def run(batches):
-        import pyarrow as pa
+        from pyspark import TaskContext
 
-        held, rows = [], 0
+        number, held, rows = TaskContext.get().partitionId() << 32, [], 0
 
         def flush():
             keys = np.frombuffer(b"".join(k for b in held for k in b.column(1).to_pylist()), dtype=np.uint8).reshape(-1, 16)
             ids = np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in held]).astype(np.int64)
-            keys, ids, counts = fold(keys, ids, np.ones(len(ids), dtype=np.int64))
-            lead = keys[:, :4].reshape(-1).view(">u4").astype(np.uint64)
-            shard = (lead * np.uint64(n_shards) >> np.uint64(32)).astype(np.int64)
-            cuts = np.searchsorted(shard, np.arange(n_shards + 1))
-            out = [(s, keys[i:j].tobytes(), ids[i:j].tobytes(), counts[i:j].tobytes(), np.packbits(bloom(keys[i:j])).tobytes()) for s, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["shard", "keys", "ids", "counts", "bloom"])
+            return _cut(fold(keys, ids, np.ones(len(ids), dtype=np.int64)), bits, number)
 
         for b in batches:
             if b.num_rows:
@@ -97,29 +114,59 @@ def _flush(n_shards: int, memtable_rows: int):
                 rows += b.num_rows
             if rows >= memtable_rows:
                 yield flush()
-                held, rows = [], 0
+                number, held, rows = number + 1, [], 0
         if rows:
             yield flush()
 
     return run
 
 
-def _compact(table):
-    import pyarrow as pa
-
+def _merged(table):
     level = []
     for keys, ids, counts, bits in zip(*(table.column(c).to_pylist() for c in ("keys", "ids", "counts", "bloom")), strict=True):
         level.append((np.frombuffer(keys, dtype=np.uint8).reshape(-1, 16), np.frombuffer(ids, dtype=np.int64), np.frombuffer(counts, dtype=np.int64), np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).astype(bool)))
     level.sort(key=lambda r: len(r[0]))
     while len(level) > 1:
         level = [merge(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    keys, ids, counts, _ = level[0]
+    return level[0]
+
+
+def _compact(bits: int):
+    def run(key, table):
+        import pyarrow as pa
+
+        return pa.Table.from_batches([_cut(_merged(table), bits, key[1].as_py())])
+
+    return run
+
+
+def _settle(key, table):
+    import pyarrow as pa
+
+    keys, ids, counts, _ = _merged(table)
     hit = counts > 1
     return pa.table({"key": pa.array([k.tobytes() for k in keys[hit]], pa.binary()), "keep_id": pa.array(ids[hit], pa.int64()), "n": pa.array(counts[hit], pa.int64())})
 
 
+def levels(total: int, memtable_rows: int, fan_out: int) -> list[int]:
+    """Bits of the ranges after each level: so many more each time, in the end about a memtable's rows a range."""
+    last = max(0, (-(-total // memtable_rows) - 1).bit_length())
+    return [*range(fan_out, last, fan_out), last] if last else [0]
+
+
+def index_runs(digests: DataFrame, ws: Workspace, total: int, memtable_rows: int = MEMTABLE_ROWS, fan_out: int = FAN_OUT) -> DataFrame:
+    """(key, keep_id, n) of all keys that occur more than once. digests: doc_id, key."""
+    bits = levels(total, memtable_rows, fan_out)
+    runs = digests.select("doc_id", "key").mapInArrow(_flush(bits[0], memtable_rows), RUN)
+    for k, (now, then) in enumerate(zip(bits, bits[1:], strict=False)):
+        # Runs of one range that meet: so many that a merged run again has about a memtable's rows.
+        batch = F.pmod(F.xxhash64("run"), F.lit(1 << (bits[-1] - now)))
+        runs = ws.put(runs.groupBy("range", batch.alias("batch")).applyInArrow(_compact(then), RUN), f"level{k}")
+    return ws.put(runs.groupBy("range").applyInArrow(_settle, "key binary, keep_id long, n long"), "hits")
+
+
 # ------------------------------------------------------------------ the operator
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 128, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 128, memtable_rows: int = MEMTABLE_ROWS, fan_out: int = FAN_OUT) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     digest_bits: of the index's keys; fewer only make collisions likelier, which byte verification then parts.
@@ -130,11 +177,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sha = F.sha2("norm", 256)
     key = F.unhex(F.rpad(F.substring("sha", 1, digest_bits // 4), 32, "0"))
     digests = ws.put(texts.select("doc_id", sha.alias("sha")), "digests").select("doc_id", "sha", key.alias("key"))
-    n_shards = max(1, -(-digests.count() // memtable_rows))
-    runs = digests.select("doc_id", "key").mapInArrow(_flush(n_shards, memtable_rows), RUN)
-    hits = ws.put(runs.groupBy("shard").applyInArrow(_compact, "key binary, keep_id long, n long"), "hits")
-    # A class's rows meet its one entry; Spark splits the rows of a very large class (AQE skew join).
-    classes = digests.join(hits, "key", "left")
+    total = digests.count()
+    hits = index_runs(digests, ws, total, memtable_rows, fan_out)
+    classes = join_classes(digests, hits, "key", "n", total)
     members = classes.where("n > 1").select("doc_id", "sha", "key", "keep_id", "n")
     with conf(spark, spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0b"):
         wanted = members.select("doc_id", "sha", "key", "keep_id", "n").dropDuplicates(["doc_id", "sha"])

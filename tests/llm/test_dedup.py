@@ -2,6 +2,8 @@ import numpy as np
 import pytest
 from fixtures_llm import brute_exact, brute_lines, brute_near, brute_substring, documents, prose, shingles
 
+from pyspark.sql import functions as F
+
 from brindle.llm import common as C
 from brindle.llm import exact_dedup as E
 from brindle.llm import near_dedup as N
@@ -60,6 +62,41 @@ def test_exact(spark, bits):
     assert got == brute_exact(docs)
 
 
+@pytest.mark.parametrize(("memtable_rows", "fan_out"), [(3, 1), (2, 2), (1, 3)])
+def test_exact_by_levels(spark, memtable_rows, fan_out):
+    df, docs = documents(spark, [(i, f"text {i % 31}  of {'x' * (i % 7)}") for i in range(200)] + [(5, "text 0  of ")])
+    got = rows(E.exact_dedup(df, memtable_rows=memtable_rows, fan_out=fan_out), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    assert got == brute_exact(docs)
+
+
+def test_pieces_of_runs_grow_with_the_rows(spark, monkeypatch):
+    """Eight times the rows: about eight times the pieces at each level, however many runs and ranges."""
+    made: list = []
+    put = C.Workspace.put
+
+    def counted(self, df, name, **more):
+        out = put(self, df, name, **more)
+        if name.startswith("level"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(C.Workspace, "put", counted)
+    pieces = []
+    for n in (4000, 32_000):
+        digests = spark.range(n, numPartitions=4).select(F.col("id").alias("doc_id"), F.unhex(F.md5(F.col("id").cast("string"))).alias("key"))
+        E.index_runs(digests, C.Workspace(spark, "t"), n, 125, 2)
+        pieces.append(made[0] / n)
+        made.clear()
+    assert pieces[1] <= 1.1 * pieces[0]
+
+
+def test_classes_of_many_rows_are_joined_whole(spark):
+    rows_ = spark.range(3000).select((F.when(F.col("id") < 1000, 0).otherwise(F.col("id") % 700)).alias("k"), F.col("id").alias("v"))
+    classes = rows_.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("least")).where("k % 3 = 0")
+    got = sorted(tuple(r) for r in C.join_classes(rows_, classes, "k", "n", 3000).select("k", "v", "n", "least").collect())
+    assert got == sorted(((r.k, r.v, r.n, r.least) for r in rows_.join(classes, "k", "left").collect()))
+
+
 def test_runs_merge():
     rng = np.random.default_rng(0)
     keys = rng.integers(0, 4, (400, 16), dtype=np.uint8)
