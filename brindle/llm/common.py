@@ -162,6 +162,12 @@ def n_partitions(spark: SparkSession, n_bytes: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // each), 1)
 
 
+def levels(total: int, each: int, fan_out: int) -> list[int]:
+    """Bits of the ranges after each level of an exchange: fan_out more each time, in the end at most ``each`` rows a range."""
+    last = max(0, (-(-total // each) - 1).bit_length())
+    return [*range(fan_out, last, fan_out), last] if last else [0]
+
+
 # ------------------------------------------------------------------ word hashing
 _M = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C13 | 3
@@ -228,6 +234,17 @@ def words(data: np.ndarray, bounds: np.ndarray, table: np.ndarray = T_EXACT, bre
     return h, s, e, np.searchsorted(s, bounds)
 
 
+def word_counts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Number of words of each document, by the same rule as ``words``."""
+    inside = ~IS_WS[data]
+    start = inside.copy()
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[bounds] = True
+    start[1:] &= ~inside[:-1] | edge[1 : len(data)]
+    before = np.concatenate([[0], np.cumsum(start)])
+    return np.diff(before[bounds])
+
+
 def ngrams(h: np.ndarray, first: np.ndarray, n: int, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all n-word windows within a document, and the word number at which each starts."""
     count = np.diff(first) - n + 1
@@ -248,6 +265,12 @@ def ngrams(h: np.ndarray, first: np.ndarray, n: int, second: bool = False) -> tu
     return mix((sums[at + n] - sums[at]) * powers(pow(base, -1, 1 << 64), len(h))[at]), at
 
 
+def spans(keys: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of each run of equal numbers, none under 0."""
+    cut = np.flatnonzero(np.diff(keys, prepend=-1))
+    return list(zip(cut.tolist(), [*cut[1:].tolist(), len(keys)][: len(cut)], strict=True))
+
+
 def ranges(counts: np.ndarray) -> np.ndarray:
     """0..c-1 for each c of counts, joined."""
     total = int(counts.sum())

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, conf, id_text, join_classes
+from .common import Workspace, conf, id_text, join_classes, levels, spans
 
 MEMTABLE_ROWS = 200_000
 BLOOM_BITS = 10
@@ -91,8 +91,7 @@ def _cut(run, bits: int, number: int):
 
     keys, ids, counts = run[:3]
     of = _lead(keys, bits)
-    at = np.flatnonzero(np.diff(of, prepend=-1))
-    rows = [(int(of[i]), number, keys[i:j].tobytes(), ids[i:j].tobytes(), counts[i:j].tobytes(), np.packbits(bloom(keys[i:j])).tobytes()) for i, j in zip(at, np.append(at[1:], len(of)), strict=True)]
+    rows = [(int(of[i]), number, keys[i:j].tobytes(), ids[i:j].tobytes(), counts[i:j].tobytes(), np.packbits(bloom(keys[i:j])).tobytes()) for i, j in spans(of)]
     columns = zip(*rows, strict=True) if rows else [[]] * 6
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["range", "run", "keys", "ids", "counts", "bloom"])
 
@@ -148,12 +147,6 @@ def _settle(key, table):
     return pa.table({"key": pa.array([k.tobytes() for k in keys[hit]], pa.binary()), "keep_id": pa.array(ids[hit], pa.int64()), "n": pa.array(counts[hit], pa.int64())})
 
 
-def levels(total: int, memtable_rows: int, fan_out: int) -> list[int]:
-    """Bits of the ranges after each level: so many more each time, in the end about a memtable's rows a range."""
-    last = max(0, (-(-total // memtable_rows) - 1).bit_length())
-    return [*range(fan_out, last, fan_out), last] if last else [0]
-
-
 def index_runs(digests: DataFrame, ws: Workspace, total: int, memtable_rows: int = MEMTABLE_ROWS, fan_out: int = FAN_OUT) -> DataFrame:
     """(key, keep_id, n) of all keys that occur more than once. digests: doc_id, key."""
     bits = levels(total, memtable_rows, fan_out)

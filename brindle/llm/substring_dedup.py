@@ -2,15 +2,18 @@
 
 Texts are dealt once into blocks by id and kept as a bucketed table, so the three passes over them move no text.
 
-1. Each block sketches its windows: cell numbers (the leading bits of a window's hash; about 64 cells a window in all)
-   with counts that saturate at two. Sketches are sparse (gaps of sorted cells) and merged by ranges of cells; a merged
-   count is never under a window's true count. Back to each block goes one bit for each cell it sent: two or more.
-2. Blocks send only windows of such cells, as cell and 48 further bits of a second hash; ranges group them exactly.
-   One bit for each goes back: this window starts at two or more places.
+1. Each block is a partition sketch: two Count-min rows of 8 to 16 cells a window of the whole corpus, with counts that
+   saturate at two, as this is all that is asked. Sketches are sparse (gaps of the sorted cells that are not zero) and
+   are merged by ranges of cells. A merged count is never under a window's true count. Back to each block comes one bit
+   for each cell it sent: two or more. A window's estimate is the smaller of its cells in both rows.
+2. Blocks send only windows with an estimate of two or more, with 64 further bits of a second hash; ranges group them
+   exactly. One bit for each comes back: this window starts at two or more places.
 3. Blocks mark the words of repeated windows and emit what is left.
 
-Sketches and bits follow the data; nothing is broadcast and nothing gathered on the driver. A window that occurs in a
-third of all rows is one entry for each block, so no range grows with it.
+Merging goes by levels of a fixed fan-out: a level merges the sketches of a bounded number of senders within one range of
+cells and cuts the outcome into finer ranges for the next; the bits go back the same way. So what is sent grows with the
+words, not with blocks times ranges. Nothing is broadcast and nothing gathered on the driver. A window that occurs in a
+third of all rows is one entry for each block and then for each merged sketch, so no range grows with it.
 
 Defined cases: null or wordless text has no windows and is kept empty; rows without an id are left out; rows that
 repeat an id count as documents of their own (their equal windows repeat); texts under ``window`` words stay whole; an
@@ -26,15 +29,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, arrow_bytes, id_text, n_partitions, ngrams, slices, volume, words
+from .common import Workspace, arrow_bytes, id_text, levels, mix, n_partitions, ngrams, slices, spans, volume, word_counts, words
 
 WINDOW = 35
-BLOCK_BYTES = 6 << 20
-SHARD_CELLS = 2 << 20
+#: text in a bucket; it holds a few blocks, one after another
+BUCKET_BYTES = 24 << 20
+BLOCKS_A_BUCKET = 4
+#: rows of the sketch, log2 of its cells a window, windows whose cells meet in one range, log2 of the ranges a sketch is cut into
+ROWS, EXTRA_BITS, RANGE_WINDOWS, FAN_OUT = 2, 3, 2 << 20, 6
+EXACT, OWN = ROWS, ROWS + 1
 TEXT_SLICE = 1 << 20
-EXTRA_BITS = 6
-HIGH48 = np.uint64(16)
-BITS = "block int, kind int, shard int, bits binary"
+#: row: a row of the sketch, windows to be grouped (EXACT), or what a block keeps for itself (OWN)
+SKETCH = "row int, prefix long, sender long, cells binary, more binary, many binary"
+BITS = "row int, prefix long, sender long, bits binary"
 
 
 # ------------------------------------------------------------------ coding
@@ -54,57 +61,8 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(gaps, dtype=np.uint64)
 
 
-def low48(x: np.ndarray) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def read48(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8")
-
-
-# ------------------------------------------------------------------ a block
-class Block:
-    """Windows of a block's documents in a fixed order: by (h1, h2)."""
-
-    def __init__(self, table, window: int, second: bool = True):
-        table = table.sort_by([("doc_id", "ascending"), ("tkey", "ascending")])
-        self.docs = table.column("doc_id")
-        self.data, self.bounds = arrow_bytes(table.column("text"))
-        h1, h2, at, first, seen = [], [], [], [np.zeros(1, dtype=np.int64)], 0
-        for i, j in slices(self.bounds, TEXT_SLICE):
-            h, _, _, f = words(self.data[self.bounds[i] : self.bounds[j]], self.bounds[i : j + 1] - self.bounds[i])
-            g, a = ngrams(h, f, window)
-            h1.append(g)
-            at.append(a + seen)
-            if second:
-                h2.append(ngrams(h, f, window, second=True)[0] & np.uint64((1 << 48) - 1))
-            first.append(f[1:] + seen)
-            seen += len(h)
-        self.first = np.concatenate(first)
-        h1, self.at = np.concatenate(h1) if h1 else np.zeros(0, np.uint64), np.concatenate(at) if at else np.zeros(0, np.int64)
-        if second:
-            h2 = np.concatenate(h2) if h2 else np.zeros(0, np.uint64)
-            self.order = np.argsort(h1)
-            h1 = h1[self.order]
-            h2 = h2[self.order]
-            same = np.flatnonzero(h1[1:] == h1[:-1])
-            if (h2[same] != h2[same + 1]).any():
-                again = np.lexsort((h2, h1))
-                self.order, h1, h2 = self.order[again], h1[again], h2[again]
-            self.h2 = h2
-        else:
-            h1 = np.sort(h1)
-        self.h1 = h1
-
-    def cells(self, bits: int):
-        """(distinct cells, entry of each window, two or more windows?)"""
-        cell = self.h1 >> np.uint64(64 - bits)
-        return _distinct(cell)
-
-
 def _distinct(*keys: np.ndarray):
+    """Of sorted keys: (places of distinct ones, number of each key's distinct one, more than one?)."""
     new = np.ones(len(keys[0]), dtype=bool)
     if len(new):
         new[1:] = False
@@ -114,133 +72,211 @@ def _distinct(*keys: np.ndarray):
     return at, np.cumsum(new) - 1, np.diff(at, append=len(new)) > 1
 
 
-def _shards(cells: np.ndarray, bits: int, n_shards: int) -> np.ndarray:
-    edges = np.array([(s << bits) // n_shards for s in range(1, n_shards)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(cells, edges), [len(cells)]]).astype(np.int64)
+def _pieces(row: int, sender: int, cells: np.ndarray, many: np.ndarray, shift: int, more: np.ndarray | None = None) -> list[tuple]:
+    """Rows of a sketch with ascending cells, one for each range of cells."""
+    prefix = (cells >> np.uint64(shift)).astype(np.int64)
+    return [(row, int(prefix[i]), sender, pack_sorted(cells[i:j]), None if more is None else more[i:j].tobytes(), np.packbits(many[i:j]).tobytes()) for i, j in spans(prefix)]
 
 
-def _sketch(window: int, bits: int, n_shards: int):
-    def run(key, table):
-        import pyarrow as pa
+def _table(rows: list[tuple]):
+    import pyarrow as pa
 
-        block = Block(table, window, second=False)
-        cell = block.h1 >> np.uint64(64 - bits)
-        at, _, many = _distinct(cell)
-        cell = cell[at]
-        cuts = _shards(cell, bits, n_shards)
-        rows = [(s, pack_sorted(cell[i:j]), np.packbits(many[i:j]).tobytes()) for s, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
-        return pa.table({"block": pa.array([key[0].as_py()] * len(rows), pa.int32()), "shard": pa.array([r[0] for r in rows], pa.int32()), "cells": pa.array([r[1] for r in rows], pa.binary()), "many": pa.array([r[2] for r in rows], pa.binary())})
+    columns = zip(*rows, strict=True) if rows else [[]] * 6
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["row", "prefix", "sender", "cells", "more", "many"])
 
-    return run
 
+# ------------------------------------------------------------------ merging
+class Merged:
+    """Sketches of one range, merged: their distinct entries, and where each sender's entries went."""
 
-def _merge(kind: int, exact: bool):
-    def run(key, table):
-        import pyarrow as pa
-
-        blocks = table.column("block").to_pylist()
+    def __init__(self, table):
+        table = table.sort_by("sender")
+        self.row = table.column("row")[0].as_py()
+        self.senders, self.prefix = table.column("sender").to_pylist(), table.column("prefix")[0].as_py()
         cells = [unpack_sorted(x) for x in table.column("cells").to_pylist()]
-        many = [np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=len(c)).astype(bool) for x, c in zip(table.column("many").to_pylist(), cells, strict=True)]
-        ends = np.cumsum([len(c) for c in cells])
-        cell, many = np.concatenate(cells), np.concatenate(many)
-        if exact:
-            more = np.concatenate([read48(x) for x in table.column("more").to_pylist()])
+        self.ends = np.cumsum([len(c) for c in cells])
+        many = np.concatenate([np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=len(c)) for x, c in zip(table.column("many").to_pylist(), cells, strict=True)]).astype(bool)
+        cell, self.more = np.concatenate(cells), None
+        if self.row == EXACT:
+            more = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in table.column("more").to_pylist()])
             order = np.lexsort((more, cell))
-            at, entry, repeated = _distinct(cell[order], more[order])
+            at, entry, self.many = _distinct(cell[order], more[order])
+            self.more = more[order][at]
         else:
-            order = np.argsort(cell)
-            at, entry, repeated = _distinct(cell[order])
-        repeated |= np.logical_or.reduceat(many[order], at)
-        out = np.empty(len(cell), dtype=bool)
-        out[order] = repeated[entry]
-        bits = [np.packbits(x).tobytes() for x in np.split(out, ends[:-1])]
-        n = len(blocks)
-        return pa.table({"block": pa.array(blocks, pa.int32()), "kind": pa.array([kind] * n, pa.int32()), "shard": pa.array([key[0].as_py()] * n, pa.int32()), "bits": pa.array(bits, pa.binary())})
+            order = np.argsort(cell, kind="stable")
+            at, entry, self.many = _distinct(cell[order])
+        self.cells = cell[order][at]
+        self.many |= np.logical_or.reduceat(many[order], at)
+        self.entry = np.empty(len(cell), dtype=np.int64)
+        self.entry[order] = entry
+
+    def answer(self, flags: np.ndarray):
+        """One bit for each entry of each sender."""
+        import pyarrow as pa
+
+        bits = [np.packbits(x).tobytes() for x in np.split(flags[self.entry], self.ends[:-1])]
+        n = len(bits)
+        return pa.table({"row": pa.array([self.row] * n, pa.int32()), "prefix": pa.array([self.prefix] * n, pa.int64()), "sender": pa.array(self.senders, pa.int64()), "bits": pa.array(bits, pa.binary())})
+
+
+def _up(shift: int):
+    def run(key, table):
+        m = Merged(table)
+        return _table(_pieces(m.row, key[2].as_py(), m.cells, m.many, shift, m.more))
 
     return run
 
 
-def _flags(feedback, kind: int, cuts: np.ndarray) -> np.ndarray:
-    """The bits that came back, in the order in which the block had sent."""
-    out = np.zeros(int(cuts[-1]), dtype=bool)
-    for k, s, raw in zip(*(feedback.column(c).to_pylist() for c in ("kind", "shard", "bits")), strict=True):
-        if k == kind:
-            i, j = cuts[s], cuts[s + 1]
-            out[i:j] = np.unpackbits(np.frombuffer(raw, dtype=np.uint8), count=int(j - i))
-    return out
+def _settle(key, table):
+    m = Merged(table)
+    return m.answer(m.many)
 
 
-def _suspects(block: Block, feedback, bits: int, n_shards: int):
-    """Windows (in order) of cells with two or more, and their distinct entries."""
-    at, entry, _ = block.cells(bits)
-    cell = block.h1[at] >> np.uint64(64 - bits)
-    heavy = _flags(feedback, 1, _shards(cell, bits, n_shards))
-    chosen = np.flatnonzero(heavy[entry])
-    h1, h2 = block.h1[chosen], block.h2[chosen]
-    return chosen, h1 >> np.uint64(64 - bits), h2, _distinct(h1, h2)
+def _down(shift: int):
+    def run(key, table, answers):
+        m = Merged(table)
+        return m.answer(_flags(answers, m.row, m.cells, shift))
 
+    return run
 
-def _send(window: int, bits: int, n_shards: int):
-    def run(key, table, feedback):
-        import pyarrow as pa
 
-        rows = []
-        if table.num_rows:
-            _, cell, h2, (at, _, many) = _suspects(Block(table, window), feedback, bits, n_shards)
-            cell, h2 = cell[at], h2[at]
-            cuts = _shards(cell, bits, n_shards)
-            rows = [(s, pack_sorted(cell[i:j]), low48(h2[i:j]), np.packbits(many[i:j]).tobytes()) for s, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
-        return pa.table({"block": pa.array([key[0].as_py()] * len(rows), pa.int32()), "shard": pa.array([r[0] for r in rows], pa.int32()), **{c: pa.array([r[k] for r in rows], pa.binary()) for k, c in ((1, "cells"), (2, "more"), (3, "many"))}})
+def _flags(answers, row: int, cells: np.ndarray, shift: int) -> np.ndarray:
+    """The bits that came back, for the ascending cells that were sent in pieces by range."""
+    found = {p: x for r, p, x in zip(*(answers.column(c).to_pylist() for c in ("row", "prefix", "bits")), strict=True) if r == row}
+    prefix = (cells >> np.uint64(shift)).astype(np.int64)
+    out = [np.unpackbits(np.frombuffer(found[int(prefix[i])], dtype=np.uint8), count=j - i) for i, j in spans(prefix)]
+    return np.concatenate(out).astype(bool) if out else np.zeros(0, dtype=bool)
+
+
+def count(sent: DataFrame, bits: int, steps: list[int], ws: Workspace, name: str, n: int) -> DataFrame:
+    """For each sketch that was sent, one bit for each entry: two or more in all."""
+    tables = [sent if len(steps) == 1 else ws.put(sent, f"{name}_0")]
+    batch = [F.pmod(F.xxhash64("sender"), F.lit(1 << (steps[-1] - now))) for now in steps]
+    for k, then in enumerate(steps[1:]):
+        dealt = tables[k].withColumn("batch", batch[k]).repartition(n, "row", "prefix", "batch")
+        tables.append(ws.put(dealt.groupBy("row", "prefix", "batch").applyInArrow(_up(bits - then), SKETCH), f"{name}_{k + 1}"))
+    back = ws.put(tables[-1].repartition(n, "row", "prefix").groupBy("row", "prefix").applyInArrow(_settle, BITS), f"{name}_answers")
+    for k in range(len(steps) - 2, -1, -1):
+        now, then = steps[k], steps[k + 1]
+        children = tables[k].withColumn("batch", batch[k]).repartition(n, "row", "prefix", "batch").groupBy("row", "prefix", "batch")
+        answers = back.withColumn("up", F.shiftright("prefix", then - now)).repartition(n, "row", "up", "sender").groupBy("row", "up", "sender")
+        back = ws.put(children.cogroup(answers).applyInArrow(_down(bits - then), BITS), f"{name}_answers{k}")
+    return back
+
+
+# ------------------------------------------------------------------ a block
+class Block:
+    """Windows of a block's documents, in the order of their first hash; cells in each row of the sketch."""
+
+    def __init__(self, table, window: int, bits: int, second: bool = True):
+        table = table.sort_by([("doc_id", "ascending"), ("tkey", "ascending")])
+        data, bounds = arrow_bytes(table.column("text"))
+        h1, h2, at, seen = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+        for i, j in slices(bounds, TEXT_SLICE):
+            h, _, _, first = words(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+            g, a = ngrams(h, first, window)
+            h1.append(g)
+            at.append(a + seen)
+            if second:
+                h2.append(ngrams(h, first, window, second=True)[0])
+            seen += len(h)
+        h1, shift = np.concatenate(h1), np.uint64(64 - bits)
+        if second:
+            order = np.argsort(h1)
+            self.h1, self.h2, self.at = h1[order], np.concatenate(h2)[order], np.concatenate(at)[order]
+            h1 = self.h1
+        else:
+            h1 = np.sort(h1)
+        self.rows = []
+        for r in range(ROWS):
+            cell = (mix(h1 ^ np.uint64(0x6A09E667F3BCC909 * r & (1 << 64) - 1)) if r else h1) >> shift
+            order = np.argsort(cell, kind="stable") if r else None
+            cell = cell[order] if r else cell
+            first, entry, many = _distinct(cell)
+            if r:
+                entry, own = np.empty_like(entry), entry
+                entry[order] = own
+            self.rows.append((cell[first], entry, many))
+
+
+def _sketch(window: int, bits: int, shift: int):
+    def run(key, table):
+        block, number = Block(table, window, bits, second=False), key[0].as_py()
+        return _table([p for r, (cells, _, many) in enumerate(block.rows) for p in _pieces(r, number, cells, many, shift)])
+
+    return run
+
+
+def _send(window: int, bits: int, shift: int):
+    def run(key, table, answers):
+        if not table.num_rows:
+            return _table([])
+        block, number = Block(table, window, bits), key[0].as_py()
+        suspect = np.logical_and.reduce([_flags(answers, r, cells, shift)[entry] for r, (cells, entry, _) in enumerate(block.rows)])
+        h1, h2, at = block.h1[suspect], block.h2[suspect], block.at[suspect]
+        cell = h1 >> np.uint64(64 - bits)
+        order = np.lexsort((h2, cell))
+        cell, h2, at = cell[order], h2[order], at[order]
+        first, entry, many = _distinct(cell, h2)
+        rows = _pieces(EXACT, number, cell[first], many, shift, h2[first])
+        by = np.argsort(at)
+        own = (OWN, 0, number, pack_sorted(at[by].astype(np.uint64)), entry[by].astype("<u4").tobytes(), pack_sorted(cell[first]))
+        return _table([*rows, own])
 
     return run
 
 
-def _remove(window: int, bits: int, n_shards: int, digest: bool):
-    def run(key, table, feedback):
+def _remove(window: int, shift: int, digest: bool):
+    def run(key, table, answers):
         import pyarrow as pa
 
         if not table.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string())})
-        block = Block(table, window)
-        chosen, cell, _, (at, entry, _) = _suspects(block, feedback, bits, n_shards)
-        repeated = _flags(feedback, 2, _shards(cell[at], bits, n_shards))[entry]
-        starts = block.at[block.order[chosen[repeated]]]
-        first = block.first
+        table = table.sort_by([("doc_id", "ascending"), ("tkey", "ascending")])
+        data, bounds = arrow_bytes(table.column("text"))
+        n_words = np.concatenate([word_counts(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]) for i, j in slices(bounds, TEXT_SLICE)])
+        first = np.concatenate([[0], np.cumsum(n_words)])
+        kinds = answers.column("row").to_pylist()
+        own = answers.slice(kinds.index(OWN), 1)
+        starts, entry, cells = unpack_sorted(own.column("cells")[0].as_py()).astype(np.int64), np.frombuffer(own.column("more")[0].as_py(), dtype="<u4"), unpack_sorted(own.column("many")[0].as_py())
+        starts = starts[_flags(answers, EXACT, cells, shift)[entry]] if len(cells) else starts
         cover = np.zeros(int(first[-1]) + 1, dtype=np.int32)
-        np.add.at(cover, starts, 1)
-        np.add.at(cover, starts + window, -1)
+        cover[starts] += 1
+        cover[starts + window] -= 1
         gone = np.cumsum(cover[:-1]) > 0
         lost = np.concatenate([[0], np.cumsum(gone)])
         n_lost = lost[first[1:]] - lost[first[:-1]]
-        raw, kept = block.data.tobytes(), []
-        for k, (i, j) in enumerate(zip(block.bounds, block.bounds[1:], strict=False)):
+        raw, kept = data.tobytes(), []
+        for k, (i, j) in enumerate(zip(bounds, bounds[1:], strict=False)):
             w = raw[i:j].split()
             text = b" ".join(compress(w, (~gone[first[k] : first[k + 1]]).tolist()) if n_lost[k] else w)
             kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode())
-        return pa.table({"doc_id": block.docs.combine_chunks(), "n_words": pa.array(np.diff(first)), "n_removed": pa.array(n_lost.astype(np.int64)), "kept": pa.array(kept, pa.string())})
+        return pa.table({"doc_id": table.column("doc_id").combine_chunks(), "n_words": pa.array(n_words), "n_removed": pa.array(n_lost.astype(np.int64)), "kept": pa.array(kept, pa.string())})
 
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, digest: bool = False, block_bytes: int = BLOCK_BYTES, shard_cells: int = SHARD_CELLS) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, digest: bool = False, bucket_bytes: int = BUCKET_BYTES, range_windows: int = RANGE_WINDOWS, fan_out: int = FAN_OUT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed and text (or kept_sha256): the words that stay, one space between."""
     spark = docs.sparkSession
     ws = Workspace(spark, "substring")
     texts = id_text(docs, id_col, text_col)
     n_bytes = volume(texts)
-    n_blocks = n_partitions(spark, n_bytes, block_bytes)
+    n_buckets = n_partitions(spark, n_bytes, bucket_bytes)
     about = max(n_bytes // 6, 1)
-    bits, n_shards = min(about.bit_length() + EXTRA_BITS, 60), max(1, -(-about // shard_cells))
-    dealt = texts.select("doc_id", "text", F.xxhash64("text").alias("tkey"), F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int").alias("block"))
-    dealt = ws.put(dealt.repartition(n_blocks, "block"), "blocks", bucket=(n_blocks, "block"))
-    # As many tasks as there are shards: a shard is a bounded group.
-    shards = max(n_shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sketched = dealt.groupBy("block").applyInArrow(_sketch(window, bits, n_shards), "block int, shard int, cells binary, many binary")
-    heavy = ws.put(sketched.repartition(shards, "shard").groupBy("shard").applyInArrow(_merge(1, False), BITS), "heavy")
-    sent = dealt.groupBy("block").cogroup(heavy.groupBy("block")).applyInArrow(_send(window, bits, n_shards), "block int, shard int, cells binary, more binary, many binary")
-    repeated = ws.put(sent.repartition(shards, "shard").groupBy("shard").applyInArrow(_merge(2, True), BITS), "repeated")
-    feedback = heavy.unionByName(repeated)
-    out = dealt.groupBy("block").cogroup(feedback.groupBy("block")).applyInArrow(_remove(window, bits, n_shards, digest), "doc_id long, n_words long, n_removed long, kept string")
+    steps = levels(about, range_windows, fan_out)
+    bits = min(max(about.bit_length() + EXTRA_BITS, steps[-1]), 60)
+    shift, n = bits - steps[0], max(1 << steps[-1], int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = texts.select("doc_id", "text", F.xxhash64("text").alias("tkey"), F.pmod(F.xxhash64("doc_id"), F.lit(BLOCKS_A_BUCKET * n_buckets)).alias("block"))
+    dealt = ws.put(dealt.repartition(n_buckets, "block"), "blocks", bucket=(n_buckets, "block"))
+    heavy = count(dealt.groupBy("block").applyInArrow(_sketch(window, bits, shift), SKETCH), bits, steps, ws, "sketch", n)
+    sent = ws.put(dealt.groupBy("block").cogroup(heavy.groupBy("sender")).applyInArrow(_send(window, bits, shift), SKETCH), "sent")
+    repeated = count(sent.where(F.col("row") == EXACT), bits, steps, ws, "exact", n)
+    none = F.lit(None).cast("binary")
+    own = sent.where(F.col("row") == OWN).withColumn("bits", none)
+    answers = repeated.select("row", "prefix", "sender", *(none.alias(c) for c in ("cells", "more", "many")), "bits").unionByName(own)
+    out = dealt.groupBy("block").cogroup(answers.groupBy("sender")).applyInArrow(_remove(window, shift, digest), "doc_id long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("kept", "kept_sha256" if digest else "text")
 
 
