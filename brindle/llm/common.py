@@ -168,6 +168,13 @@ def levels(total: int, each: int, fan_out: int) -> list[int]:
     return [*range(fan_out, last, fan_out), last] if last else [0]
 
 
+def salted(left: DataFrame, right: DataFrame, keys: list[str], by: str, how: str = "inner", n: int = 16) -> DataFrame:
+    """A join whose left side may hold a key very often: its rows are dealt by ``by`` over n copies of the right side's row."""
+    salt = fresh("salt", left, right)
+    parts = left.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(n)).cast("int"))
+    return parts.join(right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), [*keys, salt], how).drop(salt)
+
+
 # ------------------------------------------------------------------ word hashing
 _M = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C13 | 3

@@ -7,15 +7,17 @@ stops as soon as all its slots are under that.
 
 Documents with the same set are one class, found by a digest of the sorted set; only the class's smallest id goes on.
 Signatures are cut into bands. In each band's bucket members are first compared with one centre (star). What is still
-in different components of a bucket is compared block against block, at first within blocks only, then between all
-blocks: a task rules pairs out by set sizes, by a wide margin on the signatures' estimate and by sketches (the 512
-smallest hashes of a set: the whole set if it is that small), and of the rest emits what joins components, not all
-pairs. Every link is confirmed on full sets. Components are found by alternating min-label propagation and pointer
-jumping over the links (union-find by rounds, no links on the driver).
+in different components of a bucket is compared block against block. A block lies within one component if that has a
+block's members in the bucket; members of smaller ones share blocks. Blocks of one component never meet, so a large
+group of copies with a few outsiders in its bucket costs its size, not its square. A task rules pairs out by set sizes,
+by a wide margin on the signatures' estimate and by sketches (the 512 smallest hashes of a set: the whole set if it is
+that small), and of the rest emits what joins components, not all pairs. Every link is confirmed on full sets.
+Components are found by alternating min-label propagation and pointer jumping over the links (union-find by rounds, no
+links on the driver).
 
 Defined cases: null or wordless text has an empty set, is linked with nothing and its own component; fewer words
-than a shingle: the whole sequence; rows without an id are left out; rows that repeat an id are one document each
-with that id; an empty table gives an empty result; other columns are not read.
+than a shingle: the whole sequence; rows without an id are left out; rows that repeat an id are a document
+each, linked by what their own text is like; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import T_LOWER, Workspace, arrow_bytes, binary_array, id_text, mix, ngrams, slices, words
+from .common import T_LOWER, Workspace, arrow_bytes, binary_array, id_text, join_classes, mix, n_partitions, ngrams, salted, slices, volume, words
 
 SHINGLE = 5
 BANDS, ROWS = 26, 5
@@ -36,6 +38,8 @@ BUCKET_BLOCK = 512
 #: six standard errors of the estimate from SLOTS independent slots, which SuperMinHash does not exceed
 MARGIN = 6.0
 SMALLEST = 512
+#: links of a node (members of a label) beyond which its label goes to several tasks
+HUB = 256
 TEXT_SLICE = 1 << 20
 
 
@@ -125,13 +129,13 @@ def _sign(batches):
     import pyarrow as pa
 
     for b in batches:
-        data, bounds = arrow_bytes(b.column(1))
+        data, bounds = arrow_bytes(b.column("text"))
         for i, j in slices(bounds, TEXT_SLICE):
             g, cuts = shingle_sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
             sig = super_minhash(g, cuts)
             sizes = np.diff(cuts)
             digest = [hashlib.blake2b(g[x:y].tobytes(), digest_size=16).digest() if y > x else None for x, y in zip(cuts, cuts[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(sizes.astype(np.int64)), pa.array(digest, pa.binary()), binary_array(list(sig)), binary_array([(g[x : min(y, x + SMALLEST)] >> np.uint64(32)).astype(np.uint32) for x, y in zip(cuts, cuts[1:], strict=False)])], names=["doc_id", "n_shingles", "digest", "sig", "low"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("tkey").slice(i, j - i), pa.array(sizes.astype(np.int64)), pa.array(digest, pa.binary()), binary_array(list(sig)), binary_array([(g[x : min(y, x + SMALLEST)] >> np.uint64(32)).astype(np.uint32) for x, y in zip(cuts, cuts[1:], strict=False)])], names=["doc_id", "tkey", "n_shingles", "digest", "sig", "low"])
 
 
 def _bands(batches):
@@ -141,7 +145,7 @@ def _bands(batches):
         sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, SLOTS)
         keys = band_keys(sig)
         n = np.repeat(np.arange(len(sig)), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(sig))), b.column("doc_id").take(pa.array(n)), b.column("n_shingles").take(pa.array(n))], names=["bucket", "band", "doc_id", "n_shingles"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(sig))), b.column("node").take(pa.array(n)), b.column("n_shingles").take(pa.array(n))], names=["bucket", "band", "node", "n_shingles"])
 
 
 def _confirm(percent: int):
@@ -170,37 +174,44 @@ def _confirm(percent: int):
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are as similar as asked. A centre's pairs go in chunks, each with its text once."""
-    # Only centres with more pairs than a chunk are looked up: few rows, so pairs of a common centre need not meet.
+    # Only centres with more pairs than a chunk are looked up: few rows, and pairs of a common centre need not meet.
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")).where("chunks > 1")
-    dealt = pairs.join(sizes, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("chunks", F.lit(1))).alias("chunk"))
-    members = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b")
-    centres = dealt.select(F.col("a").alias("ca"), F.col("chunk").alias("cc")).distinct().join(texts.select(F.col("doc_id").alias("ca"), F.col("text").alias("text")), "ca")
+    dealt = salted(pairs, sizes, ["a"], "b", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("chunks", F.lit(1))).alias("chunk"))
+    members = dealt.join(texts.withColumnRenamed("node", "b"), "b")
+    centres = dealt.select(F.col("a").alias("ca"), F.col("chunk").alias("cc")).distinct().join(texts.select(F.col("node").alias("ca"), F.col("text").alias("text")), "ca")
     return members.groupBy("a", "chunk").cogroup(centres.groupBy("ca", "cc")).applyInArrow(_confirm(percent), "a long, b long")
 
 
-def components(nodes: DataFrame, links: DataFrame, ws: Workspace, name: str, column: str = "component_id") -> DataFrame:
-    """(doc_id, component): the smallest id that each node reaches. Rounds: take the least label of the neighbours, then jump."""
-    both = ws.put(links.select(F.col("a").alias("s"), F.col("b").alias("t")).union(links.select("b", "a")).distinct(), f"{name}_links")
-    labels = ws.put(both.groupBy(F.col("s").alias("id")).agg(F.least(F.min("t"), F.first("s")).alias("label")), f"{name}_0")
+def components(nodes: DataFrame, links: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    """(node, comp): the smallest node that each reaches. Rounds: take the least label of the neighbours, then jump.
+
+    The label of a node with many links, and of a component with many members, goes to several tasks."""
+    both = links.select(F.col("a").alias("s"), F.col("b").alias("t")).union(links.select("b", "a")).distinct()
+    salts = both.groupBy("t").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("salts")).where("salts > 1")
+    both = ws.put(salted(both, salts, ["t"], "s", "left").select("s", "t", F.pmod(F.xxhash64("s"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt")), f"{name}_links")
+    least = both.groupBy(F.col("s").alias("id")).agg(F.least(F.min("t"), F.first("s")).alias("label"))
+    labels = ws.put(least.join(salts.withColumnRenamed("t", "id"), "id", "left").select("id", "label", F.coalesce("salts", F.lit(1)).alias("salts")), f"{name}_0")
     k = 0
     while True:
-        near = both.join(labels.select(F.col("id").alias("t"), "label"), "t").groupBy(F.col("s").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("new"))
-        jump = step.join(step.select(F.col("id").alias("new"), F.col("new").alias("next")), "new", "left").select("id", F.least("new", F.coalesce("next", "new")).alias("label"), (F.col("label") != F.least("new", F.coalesce("next", "new"))).cast("long").alias("moved"))
+        told = labels.select(F.col("id").alias("t"), "label", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        near = both.join(told, ["t", "salt"]).groupBy(F.col("s").alias("id")).agg(F.min("label").alias("near"))
+        step = ws.put(labels.join(near, "id").select("id", "label", "salts", F.least("label", "near").alias("new")), f"{name}_step{k}")
+        jumps = step.select("new").distinct().join(step.select(F.col("id").alias("new"), F.col("new").alias("next")), "new").where("next < new")
+        jump = salted(step, jumps, ["new"], "id", "left").select("id", F.coalesce("next", "new").alias("label"), "salts", (F.col("label") != F.coalesce("next", "new")).cast("long").alias("moved"))
         k += 1
         done = ws.put(jump, f"{name}_{k}")
-        ws.drop(f"{name}_{k - 1}")
-        labels = done.select("id", "label")
+        ws.drop(f"{name}_{k - 1}", f"{name}_step{k - 1}")
+        labels = done.select("id", "label", "salts")
         if not done.agg(F.sum("moved")).first()[0]:
             break
-    return nodes.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(*nodes.columns, F.coalesce("label", "doc_id").alias(column))
+    return nodes.join(labels.select(F.col("id").alias("node"), "label"), "node", "left").select("node", F.coalesce("label", "node").alias("comp"))
 
 
 class Side:
     """A block of a bucket."""
 
     def __init__(self, t):
-        self.ids, self.comp, self.n = t.column("doc_id").to_numpy(), t.column("comp").to_numpy(), t.column("n_shingles").to_numpy()
+        self.ids, self.comp, self.n = t.column("node").to_numpy(), t.column("comp").to_numpy(), t.column("n_shingles").to_numpy()
         self.sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, SLOTS)
         self.low = [np.frombuffer(x, dtype=np.uint32) for x in t.column("low").to_pylist()]
 
@@ -236,7 +247,7 @@ def _cross(percent: int, between: bool):
         a, b = [], []
         if left.num_rows and right.num_rows:
             p, q, band = Side(left), Side(right), left.column("band")[0].as_py()
-            same = key[1].as_py() == key[2].as_py()
+            same = (key[1], key[2]) == (key[3], key[4])
             for k in range(len(p.ids)):
                 m = np.flatnonzero((q.comp != p.comp[k]) & (np.minimum(q.n, p.n[k]) >= need * np.maximum(q.n, p.n[k])) & ((q.ids > p.ids[k]) | (not same)))
                 if not len(m):
@@ -264,44 +275,58 @@ def _cross(percent: int, between: bool):
 
 
 def _apart(buckets: DataFrame, comp: DataFrame, reps: DataFrame, percent: int, between: bool) -> DataFrame:
-    """Candidate pairs of buckets that hold several components: within blocks, or between all blocks."""
-    rows = buckets.select("bucket", "band", "doc_id", "n_shingles").join(comp, "doc_id")
-    mixed = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("bucket", "m")
-    n_blocks = F.ceil(F.col("m") / BUCKET_BLOCK).cast("int")
-    rows = rows.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(int(between))), n_blocks).cast("int")).withColumn("n_blocks", n_blocks).join(reps.select("doc_id", "sig", "low"), "doc_id")
-    columns = ("band", "doc_id", "comp", "n_shingles", "sig", "low")
-    last = F.col("n_blocks") - 1 if between else F.col("block")
-    first = F.lit(0) if between else F.col("block")
-    left = rows.withColumn("other", F.explode(F.sequence("block", last))).select("bucket", F.col("block").alias("x"), F.col("other").alias("y"), *columns)
-    right = rows.withColumn("other", F.explode(F.sequence(first, F.col("block")))).select(F.col("bucket").alias("bucket2"), F.col("other").alias("x2"), F.col("block").alias("y2"), *(F.col(c).alias(c) for c in columns))
-    return left.groupBy("bucket", "x", "y").cogroup(right.groupBy("bucket2", "x2", "y2")).applyInArrow(_cross(percent, between), "a long, b long").distinct()
+    """Candidate pairs of buckets that hold several components: within blocks, or between all blocks of different components."""
+    rows = buckets.select("bucket", "band", "node", "n_shingles").join(comp, "node")
+    sizes = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
+    large = F.col("m") >= BUCKET_BLOCK
+    mixed = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(~large, F.col("m"))), F.lit(0)).alias("small")).where("n > 1").drop("n")
+    own = F.when(large, F.col("comp")).otherwise(F.lit(-1))
+    parts = salted(sizes, mixed, ["bucket"], "comp").select("bucket", "comp", own.alias("part"), F.ceil(F.when(large, F.col("m")).otherwise(F.col("small")) / BUCKET_BLOCK).cast("int").alias("n_blocks"))
+    placed = salted(rows, parts, ["bucket", "comp"], "node").withColumn("block", F.pmod(F.xxhash64("node", F.lit(int(between))), "n_blocks").cast("int"))
+    blocks = parts.select("bucket", "part", "n_blocks").distinct().select("bucket", "part", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
+    if between:
+        other = blocks.select("bucket", F.col("part").alias("part2"), F.col("block").alias("block2"))
+        meet = (F.col("part") < F.col("part2")) | ((F.col("part") == -1) & (F.col("part2") == -1) & (F.col("block") <= F.col("block2")))
+        pairs = blocks.join(other, "bucket").where(meet)
+    else:
+        pairs = blocks.where("part = -1").select("*", F.col("part").alias("part2"), F.col("block").alias("block2"))
+    placed = placed.join(reps.select("node", "sig", "low"), "node").select("bucket", "part", "block", "band", "node", "comp", "n_shingles", "sig", "low")
+    left = placed.join(pairs, ["bucket", "part", "block"])
+    right = placed.withColumnsRenamed({"part": "part2", "block": "block2"}).join(pairs, ["bucket", "part2", "block2"])
+    keys = ("bucket", "part", "block", "part2", "block2")
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns of its own, apart from the left side's
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_cross(percent, between), "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     ws = Workspace(spark, "near")
-    texts = id_text(docs, id_col, text_col)
-    signed = ws.put(texts.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, sig binary, low binary"), "signed")
-    classes = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "sig", "low"), "doc_id").alias("x"))
-    reps = ws.put(classes.select("digest", F.col("rep").alias("doc_id"), "x.n_shingles", "x.sig", "x.low"), "reps")
-    banded = reps.select("doc_id", "n_shingles", "sig").mapInArrow(_bands, "bucket long, band int, doc_id long, n_shingles long")
-    centre = banded.groupBy("bucket").agg(F.min(F.struct("doc_id", "n_shingles")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    centre = centre.select("bucket", F.col("c.doc_id").alias("centre"), F.col("c.n_shingles").alias("n_a"))
-    buckets = ws.put(banded.join(centre, "bucket"), "buckets")
+    texts = id_text(docs, id_col, text_col).withColumn("tkey", F.xxhash64("text"))
+    signed = ws.put(texts.mapInArrow(_sign, "doc_id long, tkey long, n_shingles long, digest binary, sig binary, low binary"), "signed")
+    rep = F.min(F.struct("doc_id", "tkey")).alias("rep")
+    classes = signed.where("digest is not null").groupBy("digest").agg(rep, F.min_by(F.struct("n_shingles", "sig", "low"), F.struct("doc_id", "tkey")).alias("x"), F.count(F.lit(1)).alias("n"))
+    # A number for each class: ids may repeat.
+    reps = ws.put(classes.select(F.monotonically_increasing_id().alias("node"), "digest", "n", "rep.*", "x.*"), "reps")
+    nodes = reps.select("node")
+    banded = reps.select("node", "n_shingles", "sig").mapInArrow(_bands, "bucket long, band int, node long, n_shingles long")
+    centre = banded.groupBy("bucket").agg(F.min(F.struct("node", "n_shingles")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    centre = centre.select("bucket", F.col("c.node").alias("centre"), F.col("c.n_shingles").alias("n_a"))
+    buckets = ws.put(salted(banded, centre, ["bucket"], "node"), "buckets")
     need = percent / 100
     near_size = F.least("n_shingles", "n_a") >= need * F.greatest("n_shingles", "n_a")
-    star = buckets.where((F.col("doc_id") != F.col("centre")) & near_size).select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
-    rep_texts = texts.join(reps.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"])
-    tried, links, comp = ws.put(star, "pairs0"), None, reps.select("doc_id", F.col("doc_id").alias("comp"))
+    star = buckets.where((F.col("node") != F.col("centre")) & near_size).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    tried, links, comp = ws.put(star, "pairs0"), None, nodes.select("node", F.col("node").alias("comp"))
+    # Texts of classes that share a bucket, once, dealt for all rounds.
+    wanted = reps.join(buckets.select("node").distinct(), "node").select("node", "doc_id", "tkey")
+    used = texts.join(wanted, ["doc_id", "tkey"]).dropDuplicates(["node"]).select("node", "text")
+    n = n_partitions(spark, volume(texts), 32 << 20)
+    used = ws.put(used.repartition(n, "node"), "texts", bucket=(n, "node"))
     more, k = tried, 0
     while more.head(1):
-        named = more.select(F.col("a").alias("doc_id")).union(more.select("b")).distinct()
-        used = ws.put(rep_texts.join(named, "doc_id"), f"texts{k}")
         new = ws.put(confirm(more, used, percent), f"links{k}")
-        ws.drop(f"texts{k}")
         links = new if links is None else links.unionByName(new)
-        comp = ws.put(components(reps.select("doc_id"), links, ws, f"step{k}", "comp"), f"comp{k}")
+        comp = ws.put(components(nodes, links, ws, f"step{k}"), f"comp{k}")
         k += 1
         # Round 1 joins what it can within blocks; later ones compare all blocks until nothing untried is left.
         more = ws.put(_apart(buckets, comp, reps, percent, k > 1).join(tried, ["a", "b"], "left_anti"), f"pairs{k}")
@@ -309,9 +334,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             k += 1
             more = ws.put(_apart(buckets, comp, reps, percent, True).join(tried, ["a", "b"], "left_anti"), f"pairs{k}")
         tried = tried.unionByName(more)
-    member = signed.join(reps.select("digest", F.col("doc_id").alias("rep")), "digest", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    out = member.join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
+    ws.drop("texts", "buckets")
+    named = reps.select("node", "digest", "n", "doc_id").join(comp, "node")
+    least = named.groupBy("comp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    named = salted(named, least, ["comp"], "node", "left").select("digest", "n", F.coalesce("least", "doc_id").alias("component_id"))
+    out = join_classes(signed.select("doc_id", "n_shingles", "digest"), ws.put(named, "classes"), "digest", "n", signed.count())
+    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 

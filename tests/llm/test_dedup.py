@@ -157,6 +157,52 @@ def test_near(spark):
     assert got == brute_near(docs)
 
 
+def test_near_of_rows_that_repeat_an_id(spark):
+    """Each row is a document of its own: what its text is like links it, not its id."""
+    a, b = prose(60, 80), prose(61, 80)
+    docs = [(5, " ".join(a)), (5, " ".join(b)), (9, " ".join([*a[:79], "end"])), (7, " ".join([*b[:79], "end"])), (2, " ".join(["start", *b[1:]])), (5, " ".join(a))]
+    df, _ = documents(spark, docs)
+    whole = brute_near(list(enumerate(t for _, t in docs)))
+    least: dict = {}
+    for k, _, root, _ in whole:
+        least[root] = min(least.get(root, docs[k][0]), docs[k][0])
+    want = sorted((docs[k][0], n, least[root], docs[k][0] == least[root]) for k, n, root, _ in whole)
+    assert rows(N.near_dedup(df), "doc_id", "n_shingles", "component_id", "kept") == want
+
+
+def test_near_of_a_large_group_with_an_outsider(spark, monkeypatch):
+    """Blocks of one component never meet: rows sent to be compared grow with the group, not with its square."""
+    monkeypatch.setattr(N, "BUCKET_BLOCK", 8)
+    rng, base = np.random.default_rng(3), prose(62, 120)
+
+    def sent(n):
+        sig = np.tile(rng.integers(0, 1 << 31, N.SLOTS, dtype=np.uint32), (n + 1, 1))
+        low = np.arange(50, dtype=np.uint32).tobytes()
+        buckets = spark.createDataFrame([(1, 0, k, 116) for k in range(n + 1)], "bucket long, band int, node long, n_shingles long")
+        comp = spark.createDataFrame([(k, 0 if k < n else n) for k in range(n + 1)], "node long, comp long")
+        reps = spark.createDataFrame([(k, sig[k].tobytes(), low) for k in range(n + 1)], "node long, sig binary, low binary")
+        plan = N._apart(buckets, comp, reps, 85, True)
+        return plan.count()
+
+    assert [sent(40), sent(160)] == [5, 20]  # the outsider is alike: one pair for each block of the group
+    docs = [(k, " ".join([*base[:100], f"own{k}", *base[101:]])) for k in range(1, 40)] + [(100, " ".join([*base[:60], *prose(63, 60)])), (101, " ".join([*base[:117], "x", "y", "z"]))]
+    df, docs = documents(spark, docs)
+    assert rows(N.near_dedup(df), "doc_id", "n_shingles", "component_id", "kept") == brute_near(docs)
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    monkeypatch.setattr(N, "HUB", 3)
+    rng = np.random.default_rng(5)
+    links = [(0, k) for k in range(1, 30)] + [(29, 50), (50, 51), (60, 61)] + [(70 + k, 71 + k) for k in range(12)] + [(int(a), int(b)) for a, b in rng.integers(200, 260, (40, 2)) if a != b]
+    nodes = spark.range(300).withColumnRenamed("id", "node")
+    got = dict(N.components(nodes, spark.createDataFrame(links, "a long, b long"), C.Workspace(spark, "t"), "c").collect())
+    root = {k: k for k in range(300)}
+    for _ in range(300):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == root
+
+
 def test_near_chains_and_blocks(spark, monkeypatch):
     """A chain of edits: the ends are linked only through the middle; buckets of several blocks."""
     monkeypatch.setattr(N, "BUCKET_BLOCK", 3)
