@@ -1,10 +1,11 @@
 """Best-fit packing with bound-certified repacking.
 
 Each partition packs its pieces best-fit decreasing and computes a lower bound on its number of sequences from
-dual-feasible functions (the volume, the family u^(k), and the threshold family of Martello and Toth). Where bins and
-bound differ, or sequences are left with room, the pieces of the sequences with room are exchanged: dealt anew to
-fewer partitions and packed again. Full sequences never move. A round stops the job when one partition holds all
-that is left, or when the total meets the global bound.
+dual-feasible functions (the volume, the family u^(k), and the threshold family of Martello and Toth). A partition whose
+number meets its bound is certified: none of its pieces moves again. Of a partition with a gap the full sequences stay,
+and the pieces of the others are exchanged: dealt anew to fewer partitions, with those of other partitions, and packed
+again. Rounds end when all partitions are certified, when one partition holds all that is left, or when a round saves
+no sequence; a round that needs more sequences than its pieces had before is undone.
 
 Defined cases: null or empty text is a document of the end id alone; rows without an id are left out; rows that
 repeat an id are documents of their own; an empty table gives an empty result; other columns are not read.
@@ -23,7 +24,6 @@ from .common import Workspace, id_text
 from .tokens import batches_of, default_path, encoder
 
 PIECES_IN_PARTITION = 60_000
-MAX_ROUNDS = 8
 PIECES = "uid long, doc_id long, piece int, start long, length long, {last}"
 
 
@@ -112,7 +112,7 @@ def _pack(capacity: int, round_: int):
         sizes = table.column("length").to_numpy().astype(np.int64)
         bins, offsets, loads = best_fit_decreasing(sizes, capacity)
         bound = lower_bound(np.bincount(sizes, minlength=capacity + 1))
-        base = (round_ << 58) | (key[0].as_py() << 26)
+        base = (round_ << 52) | (key[0].as_py() << 26)
         same = lambda x: pa.array(np.full(len(sizes), x, dtype=np.int64))
         for name, column in (("sequence_id", pa.array(base + bins)), ("offset", pa.array(offsets)), ("load", pa.array(loads[bins])), ("bins", same(len(loads))), ("bound", same(bound))):
             table = table.append_column(name, column)
@@ -121,28 +121,27 @@ def _pack(capacity: int, round_: int):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int, per_partition: int = PIECES_IN_PARTITION, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, per_partition: int = PIECES_IN_PARTITION) -> DataFrame:
     """Adds sequence_id, offset, and of the partition that packed it last: bins, bound (bins = bound: certified)."""
     spark = pieces.sparkSession
     ws = Workspace(spark, "pack")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long, load long, bins long, bound long"
-    hist = np.zeros(capacity + 1, dtype=np.int64)
-    for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most ``capacity`` rows
-        hist[r["length"]] = r["n"]
-    left, goal, done, used = int(hist.sum()), lower_bound(hist), [], 0
-    pool = pieces
-    for k in range(max_rounds):
+    pool, left, before, done, last, k = pieces, pieces.count(), None, [], None, 0
+    open_ = (F.col("load") < capacity) & (F.col("bins") > F.col("bound"))
+    while True:
         groups = max(1, -(-left // per_partition))
         deal = F.pmod(F.xxhash64("uid", F.lit(k)), F.lit(groups)).cast("long")
         packed = ws.put(pool.withColumn("grp", deal).groupBy("grp").applyInArrow(_pack(capacity, k), schema), f"round{k}")
-        full = packed.where(F.col("load") == capacity)
-        n = packed.select(F.count_distinct(F.when(F.col("load") == capacity, F.col("sequence_id"))).alias("full"), F.count_distinct("sequence_id").alias("bins"), F.count(F.when(F.col("load") < capacity, 1)).alias("open")).first()
-        if groups == 1 or used + n["bins"] <= goal or k == max_rounds - 1 or not n["open"]:
+        n = packed.select(F.count_distinct("sequence_id").alias("bins"), F.count(F.when(open_, 1)).alias("open"), F.count_distinct(F.when(open_, F.col("sequence_id"))).alias("open_bins")).first()
+        if before is not None and n["bins"] > before:
+            done.append(last)
+            break
+        if groups == 1 or not n["open"] or n["bins"] == before:
             done.append(packed)
             break
-        used += n["full"]
-        done.append(full)
-        pool, left = packed.where(F.col("load") < capacity).select(*pieces.columns), n["open"]
+        done.append(packed.where(~open_))
+        last, before, left, k = packed.where(open_), n["open_bins"], n["open"], k + 1
+        pool = last.select(*pieces.columns)
     return reduce(DataFrame.unionByName, done).drop("load")
 
 
