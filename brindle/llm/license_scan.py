@@ -32,8 +32,10 @@ TEMPLATES = [
     ("apache-2.0", "apache license version 2 0", "licensed under the apache license version 2 0"),
     ("apache-2.0", "apache license version 2 0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
     ("apache", "apache license", "licensed under the apache license version"),
+    ("apache-2.0", "apache license version 2 0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("artistic", "artistic license", "this library is free software you may distribute it under the artistic license"),
     ("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("bsd", "bsd license", "released under the bsd license"),
     ("boost", "boost software license", "distributed under the boost software license version 1 0"),
     ("cc0", "cc0", "dedicated to the public domain under cc0 1 0 universal"),
@@ -44,19 +46,19 @@ TEMPLATES = [
     ("eclipse", "eclipse public license", "made available under the terms of the eclipse public license"),
     ("gpl", "gnu general public license", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "gnu general public license", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl", "gnu general public license", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
     ("isc", "permission to use copy modify and or distribute this software", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("lgpl", "lesser general public license", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
     ("mit", "mit license", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "permission is hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
     ("mpl-2.0", "mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("reserved", "all rights reserved", "copyright c all rights reserved"),
     ("unlicense", "released into the public domain", "this is free and unencumbered software released into the public domain"),
     ("zlib", "this software is provided as is without any express or implied warranty", "this software is provided as is without any express or implied warranty"),
 ]
 #: fixed: words of the notices that any text has; never looked up
-COMMON = set("a and any are as be by can copy for form forms in into is it library may met no of on or or program provided source terms that the this to under use v version with without work you made c 0 1 2 3 4".split())
-#: of the SQL only, which looks up so many words a file; the scan looks up all
-TOP_WORDS = 8
+COMMON = set("a and any are as be by can copy for form forms in into is it library may met no of on or or program provided source terms that the this to under use v version with without work you made c 0 1 2 3 4 at but do even other see so unless will".split())
 SHARE = 0.5
 WORD_BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -134,7 +136,7 @@ def op8_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same scan for DuckDB."""
+    """For DuckDB: of each template, the best placed copy in a file, by the IDF of its words that stand where they should."""
     postings = ", ".join(f"({t}, '{label}', '{phrase}', '{w}', {i})" for t, (label, phrase, text) in enumerate(TEMPLATES) for i, w in enumerate(text.split()) if w not in COMMON)
     places = {p: f"list_filter(range(1, len(w) - {len(p.split()) - 2}), lambda i: array_to_string(w[i:i + {len(p.split()) - 1}], ' ') = '{p}')" for p in BASE}
     every = " || ".join(places.values())
@@ -145,8 +147,7 @@ d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex
 b AS (SELECT rid, doc_id, len(w) AS n_words, ' ' || array_to_string(w, ' ') || ' ' AS s, {every} AS pos, list_filter([{base}], lambda x: x IS NOT NULL) AS base FROM d),
 p AS (SELECT rid, word, pos FROM (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM d) WHERE word IN (SELECT word FROM post)),
 i AS (SELECT word, ln(((SELECT count(*) FROM documents) + 1) / count(DISTINCT rid)) AS idf FROM p GROUP BY word),
-t AS (SELECT rid, word, idf FROM (SELECT rid, word, idf, row_number() OVER (PARTITION BY rid ORDER BY idf DESC, word) AS k FROM (SELECT DISTINCT rid, word FROM p) JOIN i USING (word)) WHERE k <= {TOP_WORDS}),
-h AS (SELECT rid, template, shift, sum(idf) AS got FROM (SELECT DISTINCT p.rid, post.template, p.pos - post.place AS shift, p.word, t.idf FROM p JOIN t ON p.rid = t.rid AND p.word = t.word JOIN post ON post.word = p.word) GROUP BY ALL),
+h AS (SELECT rid, template, shift, sum(idf) AS got FROM (SELECT DISTINCT p.rid, post.template, p.pos - post.place AS shift, p.word, i.idf FROM p JOIN i USING (word) JOIN post USING (word)) GROUP BY ALL),
 whole AS (SELECT template, sum(idf) AS whole FROM (SELECT DISTINCT template, word FROM post) JOIN i USING (word) GROUP BY template),
 m AS (SELECT rid, template, max(got) AS got FROM h GROUP BY ALL),
 k AS (SELECT m.rid, list(DISTINCT n.label) AS method, max(got / whole) AS share FROM m JOIN whole USING (template) JOIN (SELECT DISTINCT template, label, phrase FROM post) n USING (template) JOIN b ON b.rid = m.rid AND contains(b.s, ' ' || n.phrase || ' ') WHERE got / whole >= {SHARE} GROUP BY m.rid)
