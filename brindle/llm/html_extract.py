@@ -5,7 +5,11 @@ are its ancestors' tags and the tokens of their class, id and role, its own text
 its place. The field's weights are trained here on labelled pages (``html_pages``) by exact gradients of the
 likelihood (forward and backward sums), and pages are decoded by Viterbi: the best labels of all blocks together.
 
-Defined cases: null or empty html has an empty text; broken or unclosed markup is read as far as it goes; null url
+Formulas, drawings and the text inside of objects and players flow with the text around them, and the field judges it like
+any other. The content of an iframe is another page's or raw text that no reader sees, and goes with the markup.
+
+Defined cases: null or empty html has an empty text; broken or unclosed markup is read as far as it goes (behind the
+first tag whose quotes never close, a quoted value ends before the next "<" at the latest); null url
 stays null; rows that repeat an id are judged one by one; an empty table gives an empty result; other columns are
 not read.
 """
@@ -14,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -22,18 +27,21 @@ from pyspark.sql import functions as F
 
 TRAIN_PAGES = 500
 #: fixed: elements that stand in a line of text; all others border a block, except br, which is white space
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr nobr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr nobr object audio video canvas math mi mo mn ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle mspace mpadded menclose mtable mtr mtd semantics svg g text tspan defs desc path rect circle line use".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: fixed: elements whose content is no text of the page
-SKIPPED = frozenset("script style noscript template title svg math iframe object textarea canvas audio video head".split())
-RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+SKIPPED = frozenset("script style template title textarea iframe noembed noframes head".split())
+RAW = frozenset("script style textarea title iframe noembed noframes".split())
 #: fixed: start tags that end an open element of these names
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "body": {"head"}}
 SCOPES = frozenset("table ul ol dl select body html article section div main aside nav header footer form".split())
 #: these border no block: text goes on behind them
 UNSEEN = (SKIPPED | RAW) - {"head"}
 FLOWS = INLINE | UNSEEN
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_MARK = re.compile(r"<[!?]|</?[a-zA-Z]")
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+#: where quotes were left open: each try ends at the next tag, so reading stays linear
+_BROKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>?|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)>?", re.S)
 _NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 _TAGS = frozenset("nav header footer aside article main section form ul ol li table td button label select option blockquote pre figure figcaption h1 h2 h3 h4 h5 h6 p div address dl noscript".split())
@@ -42,10 +50,11 @@ _GOOD = frozenset("article content main story post entry body text".split())
 
 
 class _Open:
-    __slots__ = ("name", "features", "skipped", "link")
+    __slots__ = ("name", "features", "skipped", "link", "block")
 
-    def __init__(self, name, features, skipped, link):
+    def __init__(self, name, features, skipped, link, around=None):
         self.name, self.features, self.skipped, self.link = name, features, skipped, link
+        self.block = around.block if around and name in FLOWS else self
 
 
 @lru_cache(maxsize=4096)
@@ -66,12 +75,7 @@ def blocks(page: str) -> list[tuple[str, int, str, frozenset]]:
     text: list[str] = []
     linked = 0
     where = stack[0]
-
-    def block_of():
-        for e in reversed(stack):
-            if e.name not in FLOWS:
-                return e
-        return stack[0]
+    opened: Counter = Counter()  # open elements by name: no search of a deep stack for one that isn't there
 
     def flush():
         nonlocal linked
@@ -88,7 +92,7 @@ def blocks(page: str) -> list[tuple[str, int, str, frozenset]]:
         if top.skipped or not raw:
             return
         if not text:
-            where = block_of()
+            where = top.block
         t = html.unescape(raw) if "&" in raw else raw
         text.append(t)
         if top.link:
@@ -97,14 +101,26 @@ def blocks(page: str) -> list[tuple[str, int, str, frozenset]]:
     def pop_to(k: int):
         if any(e.name not in FLOWS for e in stack[k:]):
             flush()
+        drop(k)
+
+    def drop(k: int):
+        for e in stack[k:]:
+            opened[e.name] -= 1
         del stack[k:]
 
-    pos, n = 0, len(page)
+    pos, n, tag = 0, len(page), _TAG
     while pos < n:
-        m = _TAG.search(page, pos)
-        if m is None:
-            add(page[pos:] if not re.match(r"<[a-zA-Z/!]", page[pos:]) else "")
+        at = _MARK.search(page, pos)
+        if at is None:
+            add(page[pos:])
             break
+        m = tag.match(page, at.start())
+        if m is None and tag is _TAG:
+            if page.find(">", at.start()) < 0:  # the page ends within a tag
+                add(page[pos : at.start()])
+                break
+            tag = _BROKEN
+            m = tag.match(page, at.start())
         add(page[pos : m.start()])
         pos = m.end()
         name = m[2]
@@ -114,7 +130,7 @@ def blocks(page: str) -> list[tuple[str, int, str, frozenset]]:
         if m[1]:
             if name == "br":
                 add(" ")
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[name] else ():
                 if stack[k].name == name:
                     pop_to(k)
                     break
@@ -129,17 +145,17 @@ def blocks(page: str) -> list[tuple[str, int, str, frozenset]]:
             continue
         if name not in FLOWS:
             flush()
-            for k in range(len(stack) - 1, 0, -1):  # a block-level start ends an open paragraph
+            for k in range(len(stack) - 1, 0, -1) if opened["p"] else ():  # a block-level start ends an open paragraph
                 if stack[k].name == "p":
-                    del stack[k:]
+                    drop(k)
                     break
                 if stack[k].name in SCOPES or stack[k].name in ("td", "th", "li", "button"):
                     break
             ends = CLOSES.get(name)
-            if ends:
+            if ends and any(opened[e] for e in ends):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].name in ends:
-                        del stack[k:]
+                        drop(k)
                         if name not in ("tr",):
                             break
                     elif stack[k].name in SCOPES:
@@ -148,10 +164,11 @@ def blocks(page: str) -> list[tuple[str, int, str, frozenset]]:
             continue
         top = stack[-1]
         own = _element(name, m[3]) if name not in INLINE else ()
-        stack.append(_Open(name, top.features.union(own) if own else top.features, top.skipped or name in SKIPPED, top.link or name == "a"))
+        stack.append(_Open(name, top.features.union(own) if own else top.features, top.skipped or name in SKIPPED, top.link or name == "a", top))
+        opened[name] += 1
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, pos)
-            stack.pop()
+            drop(len(stack) - 1)
             pos = end.end() if end else n
     flush()
     return out
