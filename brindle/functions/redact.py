@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,15 +59,31 @@ def chosen(kinds=None, custom=None) -> list[tuple[str, str]]:
 def valid_custom(custom) -> tuple[list[tuple[int, str]], list[int]]:
     """(numbered valid patterns, numbers of invalid ones)."""
     good, bad = [], []
+    spark = SparkSession.getActiveSession()
     for i, p in enumerate(custom or []):
         try:
-            re.compile(p)
+            if not isinstance(p, str):
+                raise TypeError
+            if spark is None:
+                re.compile(p)
+            else:  # the expressions that will run it are Java's
+                spark._jvm.java.util.regex.Pattern.compile(p)
             good.append((i, p))
-        except (re.error, TypeError):
+        except (re.error, TypeError, Py4JError, PySparkException):
             bad.append(i)
     return good, bad
 
 
+def masked(rows) -> dict[str, int]:
+    """How often each kind was masked in rows that are already redacted."""
+    found: dict[str, int] = {}
+    for row in rows:
+        for value in row:
+            for kind in re.findall(r"\[REDACTED:(\w+)\]", value) if isinstance(value, str) else ():
+                found[kind] = found.get(kind, 0) + 1
+    return dict(sorted(found.items()))
+
+
 def redact_text(text: Column, kinds=None, custom=None) -> Column:
     for kind, pattern in chosen(kinds, custom):
         text = _apply(text, kind, pattern)

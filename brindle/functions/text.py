@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,15 +39,22 @@ def bm25(docs: DataFrame, query: str, id_col: str, text_col: str, top: int | Non
     terms = query_tokens(query)
     if not terms:
         return docs.select(id_col).limit(0).withColumn("score", F.lit(0.0))
-    words = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("t")).select(id_col, tokens(F.col("t")).alias("w"))
-    counted = words.select(id_col, F.size("w").alias("len"), *(_occurrences(F.col("w"), t).alias(f"t{i}") for i, t in enumerate(terms)))
+    texts = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("t"))
+    holds = reduce(lambda a, b: a | b, (F.contains(F.lower("t"), F.lit(t)) for t in terms))
+
+    def count(df: DataFrame) -> DataFrame:
+        words = df.select(id_col, holds.alias("h"), tokens(F.col("t")).alias("w"))
+        return words.select(id_col, F.size("w").alias("len"), *(F.when(F.col("h"), _occurrences(F.col("w"), t)).otherwise(0).alias(f"t{i}") for i, t in enumerate(terms)))
+
+    # All texts are read once for their lengths; only those that hold a term are split again for their scores.
+    counted, hits = count(texts), count(texts.where(holds))
     facts = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *(F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(terms)))).first()
     score = F.lit(0.0)
     for i in range(len(terms)):
         idf = F.log(F.lit(1 + (facts["n"] - facts[f"d{i}"] + 0.5) / (facts[f"d{i}"] + 0.5)))
         tf = F.col(f"t{i}").cast("double")
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(facts["avg"] or 1.0)))
-    out = counted.select(id_col, score.alias("score")).where("score > 0")
+    out = hits.select(id_col, score.alias("score")).where("score > 0")
     return out if top is None else out.orderBy(F.desc("score"), id_col).limit(top)
 
 

@@ -57,7 +57,7 @@ def suggest_joins(source: DataFrame, column: str, targets: dict[str, tuple[DataF
     """How many distinct values of a column occur in each target's key: target, target_column, n_values, n_found, containment."""
     values = source.where(P.col(column).isNotNull()).select(P.col(column).cast("string").alias("v")).distinct()
     if sample:
-        values = values.orderBy("v").limit(sample)
+        values = values.orderBy(F.xxhash64("v"), "v").limit(sample)  # by hash: no part of the order is favoured
     out = None
     for name, (df, key) in targets.items():
         keys = df.select(P.col(key).cast("string").alias("v")).distinct().withColumn("hit", F.lit(1))

@@ -34,11 +34,15 @@ def literal(value, kind: T.DataType) -> Column:
     if isinstance(kind, T.BooleanType):
         return F.lit(value if isinstance(value, bool) else str(value).lower() in ("true", "1"))
     if isinstance(kind, T.IntegralType):
-        try:
-            number = float(value)
+        try:  # whole numbers never pass through floats: they would be rounded beyond 2^53
+            number = int(value) if isinstance(value, (str, int)) else float(value)
         except (TypeError, ValueError):
-            raise invalid_filter(f"{value!r} is no number") from None
-        return F.lit(int(value)) if number.is_integer() and not isinstance(value, str) else F.lit(int(number)) if number.is_integer() else F.lit(number)
+            try:
+                number = float(value)
+            except (TypeError, ValueError):
+                raise invalid_filter(f"{value!r} is no number") from None
+        number = int(number) if isinstance(number, float) and number.is_integer() else number
+        return F.lit(number) if isinstance(number, float) or -(1 << 63) <= number < 1 << 63 else F.lit(str(number)).cast("decimal(38, 0)")
     if isinstance(kind, T.NumericType):
         try:
             return F.lit(float(value))

@@ -129,6 +129,10 @@ def profile(df: DataFrame, types: dict[str, str] | None = None) -> list[dict]:
             top.setdefault(r["column"], []).append(r)
         for k, p in enumerate(many):
             seen = list(dict.fromkeys(r[f"v{k}"] for r in head if r[f"v{k}"] is not None))[:SAMPLES]
+            if len(seen) < SAMPLES:  # mostly empty at the start: its first values, wherever they stand
+                some = text.where(I.stripped(col(p["name"])).isNotNull())
+                some = some.orderBy(ROW_ID) if ROW_ID in text.columns else some
+                seen = list(dict.fromkeys(r.v for r in some.select(I.stripped(col(p["name"])).alias("v")).limit(400).collect()))[:SAMPLES]
             p["sample_values"] = seen
             p["semantic_type"], p["semantic_confidence"] = detect(p["type"], seen, p["name"])
             p["top_values"] = [{"value": r["value"], "count": r["n"]} for r in sorted(top.get(p["name"], ()), key=lambda r: r["place"])]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,16 +58,22 @@ def sample_rows(df: DataFrame, n: int = 5, method: str = "head", seed: int | Non
 
 
 def with_row_ids(df: DataFrame) -> DataFrame:
-    """1-based numbers in file order. Parquet rows of one file have them in the reader; else they are counted by partition."""
+    """1-based numbers in file order: by path, then place in the file. Tables that come from no file are counted by partition."""
     if ROW_ID in df.columns:
         return df
-    spark, base = df.sparkSession, df.withColumn("_part_", F.spark_partition_id()).withColumn("_place_", F.monotonically_increasing_id())
-    sizes = base.groupBy("_part_").agg(F.count(F.lit(1)).alias("n"), F.min("_place_").alias("low")).orderBy("_part_").collect()
+    spark, none = df.sparkSession, F.lit("")
+    try:  # Spark packs files into tasks by size, so the task's number says nothing about the files' order
+        base = df.select("*", F.col("_metadata.file_path").alias("_file_"), F.col("_metadata.file_block_start").alias("_start_"))
+        base.schema  # noqa: B018  resolves the hidden column
+    except AnalysisException:
+        base = df.select("*", none.alias("_file_"), F.spark_partition_id().cast("long").alias("_start_"))
+    base = base.withColumn("_place_", F.monotonically_increasing_id())
+    sizes = base.groupBy("_file_", "_start_").agg(F.count(F.lit(1)).alias("n"), F.min("_place_").alias("low")).orderBy("_file_", "_start_").collect()
     if not sizes:
-        return df.withColumn(ROW_ID, F.lit(1).cast("long"))
+        return df.select(F.lit(1).cast("long").alias(ROW_ID), *map(col, df.columns))
     before, rows = 0, []
     for r in sizes:
-        rows.append((r["_part_"], before - r["low"] + 1))
+        rows.append((r["_file_"], r["_start_"], before - r["low"] + 1))
         before += r["n"]
-    shift = F.broadcast(spark.createDataFrame(rows, "_part_ int, _shift_ long"))  # one row a partition
-    return base.join(shift, "_part_").withColumn(ROW_ID, F.col("_place_") + F.col("_shift_")).select(ROW_ID, *map(col, df.columns))
+    shift = F.broadcast(spark.createDataFrame(rows, "_file_ string, _start_ long, _shift_ long"))  # one row a split of a file
+    return base.join(shift, ["_file_", "_start_"]).withColumn(ROW_ID, F.col("_place_") + F.col("_shift_")).select(ROW_ID, *map(col, df.columns))

@@ -59,9 +59,12 @@ class Catalog:
         stream = fs.create(at, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        _, final = self._fs(path)
-        fs.delete(final, False)
-        fs.rename(at, final)
+        # One renaming that replaces what is there: a reader finds the old text or the new one.
+        jvm, (_, final) = self.spark._jvm, self._fs(path)
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration()).rename(at, final, how)
 
     def remove(self, path: str) -> bool:
         fs, at = self._fs(path)
@@ -95,9 +98,8 @@ class Catalog:
         rows.write.parquet(f"{self.root}/{name}/{version}")
         kept = self.spark.read.parquet(f"{self.root}/{name}/{version}")
         m = {"dataset": name, "rows": version, "rules": RULES, "row_count": kept.count(), "column_count": len(columns), "columns": columns, "fingerprint": fingerprint(kept), "indexed_at": dt.datetime.now(dt.UTC).isoformat(timespec="seconds")} | more
-        body = json.dumps(m, default=str)
-        self.write_text(f"{self.root}/{name}/manifest.json", body)
-        self.write_text(f"{self.root}/{name}/manifest.sha256", hashlib.sha256(body.encode()).hexdigest())
+        m["checksum"] = checksum(m)
+        self.write_text(f"{self.root}/{name}/manifest.json", json.dumps(m, default=str))
         if before:
             self.remove(f"{self.root}/{name}/{json.loads(before)['rows']}")
         self.add_history(name, m)
@@ -120,10 +122,9 @@ class Catalog:
     def validate(self, name: str) -> dict:
         """Checksum, rows, columns against the manifest: ok, warning or error."""
         m, problems, warnings = self.manifest(name), [], []
-        body, sum_ = self.read_text(f"{self.root}/{name}/manifest.json"), self.read_text(f"{self.root}/{name}/manifest.sha256")
-        if sum_ is None:
+        if m.get("checksum") is None:
             warnings.append("no checksum")
-        elif hashlib.sha256(body.encode()).hexdigest() != sum_:
+        elif checksum(m) != m["checksum"]:
             problems.append("the manifest's checksum differs")
         if not self.exists(f"{self.root}/{name}/{m['rows']}"):
             problems.append("the rows are missing")
@@ -139,19 +140,31 @@ class Catalog:
 
     # traffic, embeddings: small tables of their own ---------------------
     def table(self, name: str, what: str) -> DataFrame | None:
-        at = self.read_text(f"{self.root}/{name}/{what}.current")
+        at = (self.read_text(f"{self.root}/{name}/{what}.current") or "").split(" ")[0]
         return self.spark.read.parquet(f"{self.root}/{name}/{at}") if at else None
 
-    def put_table(self, name: str, what: str, df: DataFrame) -> DataFrame:
-        old = self.read_text(f"{self.root}/{name}/{what}.current")
+    def mark(self, name: str, what: str) -> str | None:
+        """What ``put_table`` was told beside the table that now holds."""
+        at = (self.read_text(f"{self.root}/{name}/{what}.current") or "").split(" ")
+        return at[1] if len(at) > 1 else None
+
+    def put_table(self, name: str, what: str, df: DataFrame, mark: str | None = None) -> DataFrame:
+        """The table and its mark (no blanks) hold from the same moment; a table without a new mark keeps the old one."""
+        old, mark = (self.read_text(f"{self.root}/{name}/{what}.current") or "").split(" ")[0], mark or self.mark(name, what)
         new = f"{what}-{uuid.uuid4().hex[:12]}"
         df.write.parquet(f"{self.root}/{name}/{new}")
-        self.write_text(f"{self.root}/{name}/{what}.current", new)
+        self.write_text(f"{self.root}/{name}/{what}.current", f"{new} {mark}" if mark else new)
         if old:
             self.remove(f"{self.root}/{name}/{old}")
         return self.spark.read.parquet(f"{self.root}/{name}/{new}")
 
 
+def checksum(manifest: dict) -> str:
+    """Of all of a manifest but its checksum, which stands in the same file."""
+    rest = {k: v for k, v in manifest.items() if k != "checksum"}
+    return hashlib.sha256(json.dumps(json.loads(json.dumps(rest, default=str)), sort_keys=True).encode()).hexdigest()
+
+
 def fingerprint(rows: DataFrame) -> str:
     """Hash of the sorted column names and the first rows."""
     names = sorted(c for c in rows.columns if c != ROW_ID)

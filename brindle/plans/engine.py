@@ -61,6 +61,14 @@ class Engine:
         rows = df.collect()
         return {"fields": df.columns, "rows": [list(r) for r in rows]} if fmt == "arrays" else [r.asDict() for r in rows]
 
+    def _masked(self, rows, redact: bool, patterns=None) -> dict:
+        """What was masked in the rows of an answer, and the numbers of patterns that can't be used."""
+        if not redact:
+            return {}
+        bad = R.valid_custom(patterns)[1]
+        lists = rows["rows"] if isinstance(rows, dict) else [r.values() if isinstance(r, dict) else r for r in rows]
+        return {"redactions": R.masked(lists)} | ({"invalid_redact_patterns": bad} if bad else {})
+
     def _redacted(self, df: DataFrame, redact: bool, patterns=None, skip=None) -> DataFrame:
         return R.redact(df, skip or (), None, patterns) if redact else df
 
@@ -190,7 +198,8 @@ class Engine:
     @tool
     def sample_rows(self, dataset: str, n: int = 5, method: str = "head", seed: int | None = None, columns=None, redact: bool = True, redact_patterns=None, redact_skip_columns=None):
         df = RW.sample_rows(self.catalog.rows(dataset), n, method, seed, columns)
-        return {"dataset": dataset, "method": method} | self._rows(self._redacted(df, redact, redact_patterns, redact_skip_columns))
+        rows = self._rows(self._redacted(df, redact, redact_patterns, redact_skip_columns))
+        return {"dataset": dataset, "method": method} | rows | self._masked(rows, redact, redact_patterns)
 
     # query ------------------------------------------------------------------
     @tool
@@ -200,7 +209,7 @@ class Engine:
         rows = self._rows(self._redacted(page, redact, redact_patterns, redact_skip_columns), row_format)
         total = P.where(df, filters).count()
         omitted = [] if columns else [c for c in df.columns if c != RW.ROW_ID][RW.AUTO_COLUMNS :]
-        return {"dataset": dataset, "total_matching": total, "omitted_columns": omitted} | (rows if row_format == "arrays" else {"rows": rows})
+        return {"dataset": dataset, "total_matching": total, "omitted_columns": omitted} | (rows if row_format == "arrays" else {"rows": rows}) | self._masked(rows, redact, redact_patterns)
 
     @tool
     def aggregate(self, dataset: str, aggregations, group_by=None, filters=None, having=None, order_by=None, order_dir="desc", limit=50, approximate=False, redact=True, redact_patterns=None, redact_skip_columns=None):
@@ -213,21 +222,25 @@ class Engine:
         def make():
             out = A.aggregate(df, aggregations, group_by, filters, having, order_by, order_dir, limit)
             total = A.total_groups(df, aggregations, group_by, filters, having).first()[0]
-            return {"total_groups": total, "groups": self._rows(self._redacted(out, redact, redact_patterns, redact_skip_columns), "objects")}
+            groups = self._rows(self._redacted(out, redact, redact_patterns, redact_skip_columns), "objects")
+            return {"total_groups": total, "groups": groups} | self._masked(groups, redact, redact_patterns)
 
         return {"dataset": dataset} | self._cached(("aggregate", aggregations, group_by, filters, having, order_by, order_dir, limit, redact, redact_patterns, redact_skip_columns), dataset, make)
 
     @tool
     def join_datasets(self, dataset_a: str, dataset_b: str, join_column_a: str | None = None, join_column_b: str | None = None, join_type: str = "inner", columns_a=None, columns_b=None, filters_a=None, filters_b=None, limit=50, offset=0, order_by=None, order_dir="asc", filter_mode="where", redact=True):
-        df = J.join(self.catalog.rows(dataset_a).drop(RW.ROW_ID), self.catalog.rows(dataset_b).drop(RW.ROW_ID), join_column_a, join_column_b, join_type, columns_a, columns_b, filters_a, filters_b, filter_mode, order_by, order_dir, None)
-        return {"total": df.count()} | self._rows(self._redacted((df.offset(offset) if offset else df).limit(min(limit, 500)), redact))
+        joined = lambda by: J.join(self.catalog.rows(dataset_a).drop(RW.ROW_ID), self.catalog.rows(dataset_b).drop(RW.ROW_ID), join_column_a, join_column_b, join_type, columns_a, columns_b, filters_a, filters_b, filter_mode, by, order_dir, None)
+        df, total = joined(order_by), joined(None).count()  # counted without the order
+        rows = self._rows(self._redacted((df.offset(offset) if offset else df).limit(min(limit, 500)), redact))
+        return {"total": total} | rows | self._masked(rows, redact)
 
     @tool
-    def run_sql(self, sql: str, datasets, limit: int = 500, redact: bool = True):
+    def run_sql(self, sql: str, datasets, limit: int = 500, redact: bool = True, redact_patterns=None, redact_skip_columns=None):
         tables = {d: self.catalog.rows(d) for d in datasets}
         df = SQL.run_sql(self.spark, sql, tables, limit)
-        df = self._redacted(df, redact)
-        return {"fields": df.columns, "rows": [list(r) for r in SQL.collect_within(df)]}
+        df = self._redacted(df, redact, redact_patterns, redact_skip_columns)
+        rows = {"fields": df.columns, "rows": [list(r) for r in SQL.collect_within(df)]}
+        return rows | self._masked(rows, redact, redact_patterns)
 
     @tool
     def plan_query(self, dataset: str, intent: str = "summarize"):

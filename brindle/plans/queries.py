@@ -142,6 +142,17 @@ for _name, (_tables, _text) in SQL_TEXTS.items():
     QUERIES[_name] = lambda spark, d, ts=_tables, x=_text: SQL.run_sql(spark, x, {t: table(spark, d, t) for t in ts}, None)
     ORACLE[_name] = _oracle.replace("sum(CASE", "CAST(sum(CASE").replace("END) AS taxed", "END) AS BIGINT) AS taxed")
 
+#: what Spark lacks, with the same said for DuckDB
+for _name, _table, _text, _oracle in (
+    ("sql_iif_total", "orders", "SELECT o_orderstatus, iif(count(*) > 100, 'many', 'few') AS size, total(o_custkey) AS t FROM rows GROUP BY o_orderstatus", "SELECT o_orderstatus, CASE WHEN count(*) > 100 THEN 'many' ELSE 'few' END AS size, CAST(sum(o_custkey) AS DOUBLE) AS t FROM orders GROUP BY o_orderstatus"),
+    ("sql_group_concat", "nation", "SELECT n_regionkey, length(group_concat(n_name)) AS a, length(group_concat(DISTINCT n_name, '; ')) AS b FROM rows GROUP BY n_regionkey", "SELECT n_regionkey, length(string_agg(n_name, ',')) AS a, length(string_agg(DISTINCT n_name, '; ')) AS b FROM nation GROUP BY n_regionkey"),
+    ("sql_lax_arithmetic", "part", "SELECT p_partkey, p_size / (p_size - p_size) AS q, CAST(p_name AS INT) AS c, max(p_size, 10, 3) AS m, min(p_size, NULL) AS n FROM rows", "SELECT p_partkey, CAST(NULL AS DOUBLE) AS q, TRY_CAST(p_name AS INT) AS c, greatest(p_size, 10, 3) AS m, CAST(NULL AS INT) AS n FROM part"),
+    ("sql_strftime", "orders", "SELECT strftime('%Y-%m', o_orderdate) AS month, count(*) AS n FROM rows GROUP BY 1", "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1"),
+    ("sql_json_extract", "nation", """SELECT n_nationkey, json_extract(concat('{"k": {"v": ', n_regionkey, '}}'), '$.k.v') AS v FROM rows""", "SELECT n_nationkey, CAST(n_regionkey AS VARCHAR) AS v FROM nation"),
+):
+    QUERIES[_name] = lambda spark, d, t=_table, x=_text: SQL.run_sql(spark, x, {t: table(spark, d, t)}, None)
+    ORACLE[_name] = _oracle
+
 # ---------------------------------------------------------------- profiles
 _PROFILED = {"customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"], "events": ["event_id", "user_id", "event_type", "value", "props"]}
 
@@ -164,7 +175,7 @@ def _per_column(expr: Callable[[str], str]) -> str:
 _ALL = ("customer", "orders", "events")
 query("profile_counts", _per_column(lambda c: f"count({c}) AS count, count(*) - count({c}) AS null_count"), *_ALL)(_profiles("count", "null_count"))
 query("profile_null_pct", _per_column(lambda c: f"round_even(100.0 * (count(*) - count({c})) / count(*), 1) AS null_pct"), *_ALL)(_profiles("null_pct"))
-query("profile_distinct", _per_column(lambda c: f"count(DISTINCT {c}) AS cardinality"), "customer", "orders", "events")(lambda c, o, e: _exact_distinct({"customer": c, "orders": o, "events": e}))
+query("value_frequencies", _per_column(lambda c: f"count(DISTINCT {c}) AS cardinality"), "customer", "orders", "events")(lambda c, o, e: _exact_distinct({"customer": c, "orders": o, "events": e}))
 query("profile_unique_pk", _per_column(lambda c: f"count({c}) > 0 AND count({c}) = count(DISTINCT {c}) AS is_unique"), *_ALL)(_profiles("is_unique"))
 
 
@@ -180,6 +191,20 @@ def _exact_distinct(tables: dict[str, DataFrame]) -> DataFrame:
 _NUMERIC = [("customer", "c_acctbal"), ("orders", "o_totalprice"), ("lineitem", "l_quantity"), ("lineitem", "l_extendedprice")]
 
 
+def _profiled(*facts: str, places: dict[str, int] | None = None):
+    """Facts of number columns out of their profiles."""
+
+    def f(customer, orders, lineitem):
+        at, rows = {"customer": customer, "orders": orders, "lineitem": lineitem}, []
+        for t in at:
+            for p in PR.profile(at[t].select(*(c for x, c in _NUMERIC if x == t))):
+                rows.append((p["name"], *(float(p[k]) for k in facts)))
+        out = customer.sparkSession.createDataFrame(rows, ["name", *facts])
+        return out.select("name", *(F.round(k, places[k]).alias(k) if places else F.col(k) for k in facts))
+
+    return f
+
+
 def _numbers(*exprs):
     def f(customer, orders, lineitem):
         at = {"customer": customer, "orders": orders, "lineitem": lineitem}
@@ -193,8 +218,8 @@ def _numbers(*exprs):
 
 
 _union = lambda body: " UNION ALL ".join(f"SELECT '{c}' AS name, {body.format(c=c)} FROM {t}" for t, c in _NUMERIC)
-query("profile_minmax", _union("min({c}) AS lo, max({c}) AS hi"), "customer", "orders", "lineitem")(_numbers(lambda c: F.min(c).alias("lo"), lambda c: F.max(c).alias("hi")))
-query("profile_moments", _union("round(avg({c}), 6) AS mean, round(var_samp({c}), 3) AS variance, round(stddev_samp({c}), 4) AS std_dev"), "customer", "orders", "lineitem")(_numbers(lambda c: F.round(F.avg(c), 6).alias("mean"), lambda c: F.round(F.var_samp(c), 3).alias("variance"), lambda c: F.round(F.stddev_samp(c), 4).alias("std_dev")))
+query("profile_minmax", _union("min({c})::DOUBLE AS min, max({c})::DOUBLE AS max"), "customer", "orders", "lineitem")(_profiled("min", "max"))
+query("profile_moments", _union("round(avg({c}), 6) AS mean, round(var_samp({c}), 3) AS variance, round(stddev_samp({c}), 4) AS std_dev"), "customer", "orders", "lineitem")(_profiled("mean", "variance", "std_dev", places={"mean": 6, "variance": 3, "std_dev": 4}))
 query("profile_quantiles_exact", _union(", ".join(f"round(quantile_cont({{c}}, {q}), 4) AS {k}" for k, q in PR.QUANTILES.items())), "customer", "orders", "lineitem")(
     _numbers(*((lambda c, k=k, q=q: F.round(F.percentile(c, F.lit(q)), 4).alias(k)) for k, q in PR.QUANTILES.items()))
 )

@@ -10,16 +10,14 @@ from ..operators.traffic import merge, rollup
 
 def ingest_stream(log: DataFrame, catalog, dataset: str, checkpoint: str, **trigger):
     """A running query that merges each micro-batch of log rows into a dataset's traffic table. A batch that is replayed
-    after a failure is recognised by its number and not added twice."""
+    after a failure is recognised by its number, which is published together with the table, and not added twice."""
 
     def add(batch: DataFrame, number: int) -> None:
-        path = f"{catalog.root}/{dataset}/traffic.batch"
-        if int(catalog.read_text(path) or -1) >= number:
+        if int(catalog.mark(dataset, "traffic") or -1) >= number:
             return
         new = rollup(batch)
         old = catalog.table(dataset, "traffic")
-        catalog.put_table(dataset, "traffic", merge(old, new) if old is not None else new)
-        catalog.write_text(path, str(number))
+        catalog.put_table(dataset, "traffic", merge(old, new) if old is not None else new, str(number))
 
     return log.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -142,3 +142,36 @@ def test_stream(engine, spark, tmp_path, sample_csv):
     log = spark.readStream.schema("query string, calls long, total_time double").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     ingest_stream(log, engine.catalog, "people", str(tmp_path / "cp")).awaitTermination(120)
     assert engine.catalog.table("people", "traffic").where("column_name = 'name'").first().calls == 4
+
+
+def test_answers_tell_what_was_masked(engine, tmp_path):
+    (tmp_path / "m.csv").write_text("id,note\n1,mail a@b.org and c@d.org\n2,none\n3,x@y.net\n")
+    engine.index_local(str(tmp_path / "m.csv"))
+    got = engine.get_rows("m", redact_patterns=["(?P<x>a", "no+ne", "(?P<name>z)"])["result"]
+    assert got["redactions"]["email"] == 3
+    assert got["invalid_redact_patterns"] == [0, 2]  # Java, which runs them, has no such groups
+    assert engine.run_sql("SELECT note FROM rows WHERE id = 3", ["m"])["result"]["redactions"] == {"email": 1}
+
+
+def test_manifest_is_replaced_at_once_and_holds_its_checksum(engine, sample_csv):
+    engine.index_local(sample_csv)
+    c = engine.catalog
+    assert c.validate("sample")["status"] == "ok"
+    c.write_text(f"{c.root}/sample/note", "one")
+    c.write_text(f"{c.root}/sample/note", "two")
+    assert c.read_text(f"{c.root}/sample/note") == "two"
+    m = c.manifest("sample")
+    m["row_count"] += 1
+    import json
+
+    c.write_text(f"{c.root}/sample/manifest.json", json.dumps(m))
+    assert c.validate("sample")["status"] == "error"
+
+
+def test_a_table_and_its_mark_hold_together(engine, spark, sample_csv):
+    engine.index_local(sample_csv)
+    c = engine.catalog
+    assert c.mark("sample", "traffic") is None
+    c.put_table("sample", "traffic", spark.range(3), "7")
+    c.put_table("sample", "traffic", spark.range(4))
+    assert (c.mark("sample", "traffic"), c.table("sample", "traffic").count()) == ("7", 4)

@@ -282,3 +282,47 @@ def test_text(spark):
     assert [r.id for r in bm25(df, "Zürich", "id", "t").collect()] == [2, 1]
     v = spark.createDataFrame([([1.0, 0.0], [0.0, 0.0])], "a array<double>, b array<double>")
     assert v.select(cosine(F.col("a"), F.col("b")).alias("x"), cosine(F.col("a"), F.col("a")).alias("y")).first() == (0.0, 1.0)
+
+
+def test_row_numbers_follow_files_not_tasks(spark, tmp_path):
+    from brindle.operators.rows import ROW_ID, with_row_ids
+
+    at = 0
+    for name, n in (("a", 10), ("b", 5000), ("c", 100)):
+        spark.range(at, at + n, 1, 1).write.parquet(f"{tmp_path}/{name}.parquet")
+        at += n
+    df = with_row_ids(spark.read.parquet(*(f"{tmp_path}/{x}.parquet" for x in "cba")))
+    assert df.where(f"{ROW_ID} <> id + 1").count() == 0
+    assert with_row_ids(spark.range(50).repartition(3)).agg({ROW_ID: "max"}).first()[0] == 50
+
+
+def test_large_whole_numbers_in_filters(spark):
+    from brindle.operators.predicates import where
+
+    df = spark.createDataFrame([(9007199254740992,), (9007199254740993,)], "id long")
+    for v in ("9007199254740993", 9007199254740993):
+        assert [r.id for r in where(df, [{"column": "id", "op": "eq", "value": v}]).collect()] == [9007199254740993]
+    assert where(df, [{"column": "id", "op": "lt", "value": "99999999999999999999"}]).count() == 2
+
+
+def test_sql_leaves_no_views_and_is_lax(spark):
+    from brindle.operators.sql import run_sql
+
+    df = spark.createDataFrame([(1, "a,b", None), (2, "x (iif) 'q'", 5)], "id int, t string, n int")
+    before = len(spark.catalog.listTables())
+    out = run_sql(spark, """SELECT id, iif(id = 1, 'iif(', t) AS "a b", 1 / 0 AS z, max(id, n) AS m, unicode('A') AS u, julianday('2000-01-01') AS j FROM rows ORDER BY id""", {"t": df}).collect()
+    assert [tuple(r) for r in out] == [(1, "iif(", None, None, 65, 2451544.5), (2, "x (iif) 'q'", None, 5, 65, 2451544.5)]
+    assert len(spark.catalog.listTables()) == before
+    assert run_sql(spark, "SELECT max(n) AS m, total(n) AS t FROM rows WHERE id = 1", {"t": df}).first() == (None, 0.0)
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+
+
+def test_samples_of_a_column_that_starts_empty(spark):
+    from pyspark.sql import functions as F
+
+    from brindle.operators.profile import profile
+
+    df = spark.range(12_000).select(F.col("id"), F.when(F.col("id") >= 2000, F.concat(F.lit("user"), "id", F.lit("@mail.org"))).alias("mail"))
+    p = profile(df)[1]
+    assert len(p["sample_values"]) == 10
+    assert p["semantic_type"] == "email"
