@@ -6,12 +6,15 @@ level by level over all shingles of a document at once: after level j no later v
 stops as soon as all its slots are under that.
 
 Documents with the same set are one class, found by a digest of the sorted set; only the class's smallest id goes on.
-Signatures are cut into bands. In each band's bucket members are first compared with one centre (star). What is still
+Signatures are cut into bands. Whole signatures and sketches are not kept of all documents: those of classes that share
+a bucket are computed anew beside their texts. In each band's bucket members are first compared with one centre (star). What is still
 in different components of a bucket is compared block against block. A block lies within one component if that has a
 block's members in the bucket; members of smaller ones share blocks. Blocks of one component never meet, so a large
 group of copies with a few outsiders in its bucket costs its size, not its square. A task rules pairs out by set sizes,
 by a wide margin on the signatures' estimate and by sketches (the 512 smallest hashes of a set: the whole set if it is
-that small), and of the rest emits what joins components, not all pairs. Every link is confirmed on full sets.
+that small), and of the rest emits what joins components, not all pairs. Every link is confirmed on full sets. A pair
+that its sketches make certain joins components within a task before it is confirmed; should one of these fail, all
+blocks are compared once more without that, so nothing stays hidden behind it.
 Components are found by alternating min-label propagation and pointer jumping over the links (union-find by rounds, no
 links on the driver).
 
@@ -132,20 +135,30 @@ def _sign(batches):
         data, bounds = arrow_bytes(b.column("text"))
         for i, j in slices(bounds, TEXT_SLICE):
             g, cuts = shingle_sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-            sig = super_minhash(g, cuts)
-            sizes = np.diff(cuts)
+            bands = band_keys(super_minhash(g, cuts))
             digest = [hashlib.blake2b(g[x:y].tobytes(), digest_size=16).digest() if y > x else None for x, y in zip(cuts, cuts[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("tkey").slice(i, j - i), pa.array(sizes.astype(np.int64)), pa.array(digest, pa.binary()), binary_array(list(sig)), binary_array([(g[x : min(y, x + SMALLEST)] >> np.uint64(32)).astype(np.uint32) for x, y in zip(cuts, cuts[1:], strict=False)])], names=["doc_id", "tkey", "n_shingles", "digest", "sig", "low"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("tkey").slice(i, j - i), pa.array(np.diff(cuts).astype(np.int64)), pa.array(digest, pa.binary()), binary_array(list(bands))], names=["doc_id", "tkey", "n_shingles", "digest", "bands"])
 
 
 def _bands(batches):
     import pyarrow as pa
 
     for b in batches:
-        sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, SLOTS)
-        keys = band_keys(sig)
-        n = np.repeat(np.arange(len(sig)), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(sig))), b.column("node").take(pa.array(n)), b.column("n_shingles").take(pa.array(n))], names=["bucket", "band", "node", "n_shingles"])
+        keys = np.frombuffer(b"".join(b.column("bands").to_pylist()), dtype=np.int64)
+        rows = len(keys) // BANDS
+        n = pa.array(np.repeat(np.arange(rows), BANDS))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), rows)), b.column("node").take(n), b.column("n_shingles").take(n)], names=["bucket", "band", "node", "n_shingles"])
+
+
+def _sketches(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        data, bounds = arrow_bytes(b.column("text"))
+        for i, j in slices(bounds, TEXT_SLICE):
+            g, cuts = shingle_sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+            low = [(g[x : min(y, x + SMALLEST)] >> np.uint64(32)).astype(np.uint32) for x, y in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([b.column("node").slice(i, j - i), binary_array(list(super_minhash(g, cuts))), binary_array(low)], names=["node", "sig", "low"])
 
 
 def _confirm(percent: int):
@@ -229,12 +242,13 @@ def _sketched(one: np.ndarray, whole: bool, others: list[np.ndarray], wholes: np
     return common, either, wholes & whole
 
 
-def _cross(percent: int, between: bool):
+def _cross(percent: int, between: bool, unite: bool):
     need = percent / 100
     floor = SLOTS * (need - MARGIN * (need * (1 - need) / SLOTS) ** 0.5)
 
     def run(key, left, right):
-        """Pairs of two blocks of one bucket that are in different components and may be similar."""
+        """Pairs of two blocks of one bucket that are in different components and may be similar, and whether they surely are.
+        A block against itself comes as the left one only."""
         import pyarrow as pa
 
         root: dict[int, int] = {}
@@ -244,10 +258,11 @@ def _cross(percent: int, between: bool):
                 x = root[x]
             return x
 
-        a, b = [], []
-        if left.num_rows and right.num_rows:
-            p, q, band = Side(left), Side(right), left.column("band")[0].as_py()
-            same = (key[1], key[2]) == (key[3], key[4])
+        a, b, c = [], [], []
+        same = (key[1], key[2]) == (key[3], key[4])
+        if left.num_rows and (same or right.num_rows):
+            p, band = Side(left), left.column("band")[0].as_py()
+            q = p if same else Side(right)
             for k in range(len(p.ids)):
                 m = np.flatnonzero((q.comp != p.comp[k]) & (np.minimum(q.n, p.n[k]) >= need * np.maximum(q.n, p.n[k])) & ((q.ids > p.ids[k]) | (not same)))
                 if not len(m):
@@ -267,15 +282,17 @@ def _cross(percent: int, between: bool):
                     if x != y:
                         a.append(min(p.ids[k], q.ids[i]))
                         b.append(max(p.ids[k], q.ids[i]))
-                        if certain:
+                        c.append(bool(certain) and unite)
+                        if c[-1]:
                             root[x] = y
-        return pa.table({"a": pa.array(np.array(a, dtype=np.int64)), "b": pa.array(np.array(b, dtype=np.int64))})
+        return pa.table({"a": pa.array(np.array(a, dtype=np.int64)), "b": pa.array(np.array(b, dtype=np.int64)), "sure": pa.array(c, pa.bool_())})
 
     return run
 
 
-def _apart(buckets: DataFrame, comp: DataFrame, reps: DataFrame, percent: int, between: bool) -> DataFrame:
-    """Candidate pairs of buckets that hold several components: within blocks, or between all blocks of different components."""
+def _apart(buckets: DataFrame, comp: DataFrame, sketches: DataFrame, percent: int, between: bool, unite: bool = True) -> DataFrame:
+    """Candidate pairs (a, b, sure) of buckets that hold several components: within blocks, or between all blocks of different
+    components. Without ``unite`` no pair stands for others of the same components."""
     rows = buckets.select("bucket", "band", "node", "n_shingles").join(comp, "node")
     sizes = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
     large = F.col("m") >= BUCKET_BLOCK
@@ -290,12 +307,15 @@ def _apart(buckets: DataFrame, comp: DataFrame, reps: DataFrame, percent: int, b
         pairs = blocks.join(other, "bucket").where(meet)
     else:
         pairs = blocks.where("part = -1").select("*", F.col("part").alias("part2"), F.col("block").alias("block2"))
-    placed = placed.join(reps.select("node", "sig", "low"), "node").select("bucket", "part", "block", "band", "node", "comp", "n_shingles", "sig", "low")
+    placed = placed.join(sketches, "node").select("bucket", "part", "block", "band", "node", "comp", "n_shingles", "sig", "low")
     left = placed.join(pairs, ["bucket", "part", "block"])
-    right = placed.withColumnsRenamed({"part": "part2", "block": "block2"}).join(pairs, ["bucket", "part2", "block2"])
-    keys = ("bucket", "part", "block", "part2", "block2")
+    keys, run, schema = ("bucket", "part", "block", "part2", "block2"), _cross(percent, between, unite), "a long, b long, sure boolean"
+    if not between:
+        return left.groupBy(*keys).applyInArrow(lambda key, t: run(key, t, t), schema).groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    others = pairs.where((F.col("part") != F.col("part2")) | (F.col("block") != F.col("block2")))
+    right = placed.withColumnsRenamed({"part": "part2", "block": "block2"}).join(others, ["bucket", "part2", "block2"])
     right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns of its own, apart from the left side's
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_cross(percent, between), "a long, b long").distinct()
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema).groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -303,13 +323,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     ws = Workspace(spark, "near")
     texts = id_text(docs, id_col, text_col).withColumn("tkey", F.xxhash64("text"))
-    signed = ws.put(texts.mapInArrow(_sign, "doc_id long, tkey long, n_shingles long, digest binary, sig binary, low binary"), "signed")
+    signed = ws.put(texts.mapInArrow(_sign, "doc_id long, tkey long, n_shingles long, digest binary, bands binary"), "signed")
     rep = F.min(F.struct("doc_id", "tkey")).alias("rep")
-    classes = signed.where("digest is not null").groupBy("digest").agg(rep, F.min_by(F.struct("n_shingles", "sig", "low"), F.struct("doc_id", "tkey")).alias("x"), F.count(F.lit(1)).alias("n"))
+    classes = signed.where("digest is not null").groupBy("digest").agg(rep, F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n"))
     # A number for each class: ids may repeat.
-    reps = ws.put(classes.select(F.monotonically_increasing_id().alias("node"), "digest", "n", "rep.*", "x.*"), "reps")
+    reps = ws.put(classes.select(F.monotonically_increasing_id().alias("node"), "digest", "n", "rep.*", "n_shingles", "bands"), "reps")
     nodes = reps.select("node")
-    banded = reps.select("node", "n_shingles", "sig").mapInArrow(_bands, "bucket long, band int, node long, n_shingles long")
+    banded = reps.select("node", "n_shingles", "bands").mapInArrow(_bands, "bucket long, band int, node long, n_shingles long")
     centre = banded.groupBy("bucket").agg(F.min(F.struct("node", "n_shingles")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
     centre = centre.select("bucket", F.col("c.node").alias("centre"), F.col("c.n_shingles").alias("n_a"))
     buckets = ws.put(salted(banded, centre, ["bucket"], "node"), "buckets")
@@ -319,22 +339,29 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tried, links, comp = ws.put(star, "pairs0"), None, nodes.select("node", F.col("node").alias("comp"))
     # Texts of classes that share a bucket, once, dealt for all rounds.
     wanted = reps.join(buckets.select("node").distinct(), "node").select("node", "doc_id", "tkey")
-    used = texts.join(wanted, ["doc_id", "tkey"]).dropDuplicates(["node"]).select("node", "text")
     n = n_partitions(spark, volume(texts), 32 << 20)
-    used = ws.put(used.repartition(n, "node"), "texts", bucket=(n, "node"))
-    more, k = tried, 0
-    while more.head(1):
-        new = ws.put(confirm(more, used, percent), f"links{k}")
+    used = texts.join(wanted, ["doc_id", "tkey"]).select("node", "text").repartition(n, "node").dropDuplicates(["node"])
+    used = ws.put(used, "texts", bucket=(n, "node"))
+    sketches = ws.put(used.mapInArrow(_sketches, "node long, sig binary, low binary"), "sketches", bucket=(n, "node"))
+
+    def link(pairs, k):
+        """The components after the pairs of round k are confirmed; none new: as before."""
+        nonlocal links
+        new = ws.put(confirm(pairs, used, percent), f"links{k}")
         links = new if links is None else links.unionByName(new)
-        comp = ws.put(components(nodes, links, ws, f"step{k}"), f"comp{k}")
-        k += 1
-        # Round 1 joins what it can within blocks; later ones compare all blocks until nothing untried is left.
-        more = ws.put(_apart(buckets, comp, reps, percent, k > 1).join(tried, ["a", "b"], "left_anti"), f"pairs{k}")
-        if k == 1 and not more.head(1):
-            k += 1
-            more = ws.put(_apart(buckets, comp, reps, percent, True).join(tried, ["a", "b"], "left_anti"), f"pairs{k}")
-        tried = tried.unionByName(more)
-    ws.drop("texts", "buckets")
+        return ws.put(components(nodes, links, ws, f"step{k}"), f"comp{k}") if new.head(1) else comp
+
+    comp = link(tried, 0)
+    # Round 1 joins what it can within blocks, round 2 compares all blocks; a third is for certain pairs that were not confirmed.
+    for k, between, unite in ((1, False, True), (2, True, True), (3, True, False)):
+        found = ws.put(_apart(buckets, comp, sketches, percent, between, unite), f"found{k}")
+        more = ws.put(found.select("a", "b").join(tried, ["a", "b"], "left_anti"), f"pairs{k}")
+        if more.head(1):
+            comp = link(more, k)
+            tried = tried.unionByName(more)
+        if between and not found.where("sure").join(links, ["a", "b"], "left_anti").head(1):
+            break
+    ws.drop("texts", "sketches", "buckets")
     named = reps.select("node", "digest", "n", "doc_id").join(comp, "node")
     least = named.groupBy("comp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1")
     named = salted(named, least, ["comp"], "node", "left").select("digest", "n", F.coalesce("least", "doc_id").alias("component_id"))
