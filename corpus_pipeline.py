@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import Workspace
+from brindle.llm.common import Workspace, fresh
 from brindle.llm.decontaminate import contaminated
 from brindle.llm.line_dedup import drop_repeated_lines
 from brindle.llm.near_dedup import near_dedup
@@ -17,9 +17,10 @@ from brindle.llm.toxicity import reject_toxic
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows of these ids (rows without an id stay)."""
-    gone = ids.select(F.col("doc_id").alias("_gone_id_")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone_id_"], "left_anti")
+    """docs without the rows of these ids: all rows of a repeated one; rows without an id stay."""
+    gone_id = fresh("gone_id", docs)
+    gone = ids.select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[gone_id], "left_anti")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

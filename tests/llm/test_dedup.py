@@ -190,6 +190,35 @@ def test_near_of_a_large_group_with_an_outsider(spark, monkeypatch):
     assert rows(N.near_dedup(df), "doc_id", "n_shingles", "component_id", "kept") == brute_near(docs)
 
 
+def test_near_certain_pairs_stand_for_others(spark):
+    """Certain pairs join components before they are confirmed; without that every pair is told."""
+    sig, low = np.arange(N.SLOTS, dtype=np.uint32).tobytes(), np.arange(50, dtype=np.uint32).tobytes()
+    buckets = spark.createDataFrame([(1, 0, k, 116) for k in range(4)], "bucket long, band int, node long, n_shingles long")
+    comp = spark.createDataFrame([(k, k) for k in range(4)], "node long, comp long")
+    sketches = spark.createDataFrame([(k, sig, low) for k in range(4)], "node long, sig binary, low binary")
+    for between in (False, True):
+        some = rows(N._apart(buckets, comp, sketches, 85, between), "a", "b", "sure")
+        assert [x[2] for x in some] == [True] * 3
+        assert {v for x in some for v in x[:2]} == {0, 1, 2, 3}
+    every = rows(N._apart(buckets, comp, sketches, 85, True, unite=False), "a", "b", "sure")
+    assert every == [(a, b, False) for a in range(4) for b in range(a + 1, 4)]
+
+
+def test_near_certain_pairs_that_fail(spark, monkeypatch):
+    """Pairs that sketches make certain but full sets don't confirm hide nothing."""
+    cross = N._cross
+
+    def wrong(percent, between, unite):
+        return cross(20, between, unite)  # takes pairs of a similarity of 0.2 for certain
+
+    monkeypatch.setattr(N, "_cross", wrong)
+    base = prose(81, 120)
+    docs = [(k, " ".join([*base[: 120 - 8 * k], *prose(82 + k, 8 * k)])) for k in range(8)]
+    docs += [(20 + k, " ".join([f"x{k}", *docs[k][1].split()[1:]])) for k in range(8)]
+    df, docs = documents(spark, docs)
+    assert rows(N.near_dedup(df), "doc_id", "n_shingles", "component_id", "kept") == brute_near(docs)
+
+
 def test_components_of_hubs(spark, monkeypatch):
     monkeypatch.setattr(N, "HUB", 3)
     rng = np.random.default_rng(5)
