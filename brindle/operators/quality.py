@@ -5,9 +5,6 @@ from __future__ import annotations
 import re
 from itertools import combinations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 
 def _mean(xs, default=0.0):
     xs = list(xs)
@@ -98,16 +95,6 @@ def hotspots(profiles: list[dict], top: int = 10, calls: dict[str, float] | None
     return sorted(rows, key=lambda r: (-r["score"], r["column"]))[:top]
 
 
-def hotspot_frame(profile: DataFrame) -> DataFrame:
-    """The same score as a query over a profile table."""
-    null = F.col("null_pct") / 100
-    ratio = F.coalesce(F.try_divide(F.col("cardinality").cast("double"), F.col("count").cast("double")), F.lit(0.0))
-    card = F.when(F.col("type").isin("string", "integer") & (F.col("cardinality") <= 1), 0.8).when((F.col("type") == "string") & (ratio > 0.95), 0.5).otherwise(0.2 * ratio)
-    wide = F.try_divide(F.col("max").try_cast("double") - F.col("min").try_cast("double"), F.abs("mean")) / 5
-    out = F.when(F.col("type").isin("integer", "float"), F.coalesce(F.least(wide, F.lit(1.0)), F.lit(0.0))).otherwise(0.0)
-    return profile.select(F.col("name").alias("column"), F.round(0.4 * null + 0.3 * card + 0.3 * out, 4).alias("score"))
-
-
 def suggest_keys(profiles: list[dict]) -> list[dict]:
     out = []
     for p in profiles:
@@ -127,15 +114,6 @@ def schema_drift(a: list[dict], b: list[dict], least: float = 1.0) -> dict:
     return {"added": added, "removed": removed, "type_changes": types, "null_shifts": nulls, "assessment": verdict}
 
 
-def drift_frame(a: DataFrame, b: DataFrame) -> DataFrame:
-    """column, change of two tables' schemas: added, removed, type."""
-    spark = a.sparkSession
-    one, two = (spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in d.schema], "column string, kind string") for d in (a, b))
-    joined = one.withColumnRenamed("kind", "was").join(two.withColumnRenamed("kind", "now"), "column", "full")
-    change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("was") != F.col("now"), "type")
-    return joined.select("column", change.alias("change")).where("change is not null")
-
-
 def name_tokens(name: str) -> set[str]:
     return {w.lower() for w in re.split(r"[^A-Za-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name)) if w}
 

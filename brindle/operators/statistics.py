@@ -60,35 +60,35 @@ def strength(r):
     return F.when(a >= 0.9, "very strong").when(a >= 0.7, "strong").when(a >= 0.5, "moderate").when(a >= 0.3, "weak").otherwise("negligible")
 
 
-def _ranked(df: DataFrame, x: str, y: str, method: str, ties) -> DataFrame:
-    """Values of a pair's complete rows, or their ranks."""
-    pair = df.select(P.col(x).cast("double").alias("x"), P.col(y).cast("double").alias("y"), *(P.col(t).alias(f"t{i}") for i, t in enumerate(ties))).where("x is not null and y is not null")
-    if method == "pearson":
-        return pair
-    for v in ("x", "y"):
-        pair = rank_column(pair, v, [f"t{i}" for i in range(len(ties))], average=method == "spearman_avg")
-    return pair
-
-
-def rank_column(df: DataFrame, v: str, ties, average: bool) -> DataFrame:
-    """Replaces v by its rank over the whole table. Rows are dealt by fixed ranges of the value (approximate quantiles), so
-    equal values share a range; ranks within it move up by the sizes of those before, and no task sorts everything."""
+def _below(cuts: list[float], value):
+    """How many cuts lie below a value."""
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < value))
+
+
+def rank_columns(df: DataFrame, columns: list[str], ties, average: bool) -> DataFrame:
+    """Replaces the columns, which hold no nulls, by their ranks over the whole table. Rows are dealt by fixed ranges of a
+    column's value (approximate quantiles), so equal values share a range; ranks within it move up by the sizes of those before,
+    and no task sorts everything. Ranges and their sizes are found for all columns in two passes."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = df.agg(F.percentile_approx(v, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0]
-    if cuts is None:
+    cuts = df.agg(*(F.percentile_approx(v, [i / n for i in range(1, n)] or [0.5], 10_000).alias(f"c{k}") for k, v in enumerate(columns))).first()
+    if cuts[0] is None:
         return df
-    dealt = df.withColumn("_p", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(v))))
-    sizes = {r["_p"]: r["n"] for r in dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a range
-    before, shift = 0, []
-    for p in sorted(sizes):
-        shift.append((p, before))
-        before += sizes[p]
-    within = F.row_number().over(Window.partitionBy("_p").orderBy(v, *ties)).cast("double")
-    if average:
-        alike = F.count(F.lit(1)).over(Window.partitionBy("_p", v))
-        within = F.rank().over(Window.partitionBy("_p").orderBy(v)) + (alike - 1) / 2
-    placed = dealt.join(F.broadcast(df.sparkSession.createDataFrame(shift, "_p int, _s long")), "_p").withColumn("_r", within + F.col("_s"))
-    return placed.select(*(F.col("_r").alias(v) if c == v else F.col(c) for c in df.columns))
+    part = {v: _below(sorted(set(cuts[k])), F.col(v)) for k, v in enumerate(columns)}
+    cells = df.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), part[v].alias("p")) for k, v in enumerate(columns)))).alias("x"))
+    shift: dict[int, list] = {k: [] for k in range(len(columns))}
+    before = dict.fromkeys(shift, 0)
+    for r in cells.groupBy("x.k", "x.p").agg(F.count(F.lit(1)).alias("n")).orderBy("k", "p").collect():  # one row a range
+        shift[r["k"]].append((r["p"], before[r["k"]]))
+        before[r["k"]] += r["n"]
+    out, ranked = df, {v: f"_r{k}" for k, v in enumerate(columns)}
+    for k, v in enumerate(columns):
+        within = F.row_number().over(Window.partitionBy("_p").orderBy(v, *ties)).cast("double")
+        if average:
+            alike = F.count(F.lit(1)).over(Window.partitionBy("_p", v))
+            within = F.rank().over(Window.partitionBy("_p").orderBy(v)) + (alike - 1) / 2
+        first = F.broadcast(df.sparkSession.createDataFrame(shift[k], "_p int, _s long"))
+        out = out.withColumn("_p", part[v]).join(first, "_p").withColumn(ranked[v], within + F.col("_s")).drop("_p", "_s")
+    return out.select(*(F.col(ranked[c]).alias(c) if c in ranked else F.col(c) for c in df.columns))
 
 
 def _r(n, sx, sy, sxx, syy, sxy):
@@ -97,6 +97,38 @@ def _r(n, sx, sy, sxx, syy, sxy):
     return F.when((n >= LEAST_PAIRS) & r.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
 
 
+def _sums(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Sums over each pair's complete rows in one pass; about the columns' means, which keeps them small."""
+    names = sorted({c for p in pairs for c in p})
+    mean = df.agg(*(F.avg(P.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(names))).first()
+    at = {c: P.col(c).cast("double") - F.lit(mean[f"m{i}"] or 0.0) for i, c in enumerate(names)}
+    exprs = []
+    for k, (a, b) in enumerate(pairs):
+        both = at[a].isNotNull() & at[b].isNotNull()
+        x, y = F.when(both, at[a]), F.when(both, at[b])
+        exprs.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.count(x).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy")).alias(f"p{k}"))
+    return df.agg(*exprs).select(F.explode(F.array(*(f"p{k}" for k in range(len(pairs))))).alias("p")).select("p.*")
+
+
+def _rank_sums(df: DataFrame, names: list[str], pairs: list[tuple[str, str]], ties, average: bool) -> DataFrame:
+    """The same of ranks. Columns without nulls are ranked once for all pairs; other pairs over their own complete rows."""
+    as_named = {c: f"x{i}" for i, c in enumerate(names)}
+    back = {x: c for c, x in as_named.items()}
+    numbers = df.select(*(P.col(c).cast("double").alias(x) for c, x in as_named.items()), *(P.col(t).alias(f"t{i}") for i, t in enumerate(ties)))
+    filled = numbers.agg(F.count(F.lit(1)).alias("rows"), *(F.count(x).alias(x) for x in back)).first()
+    whole = [x for x in back if filled[x] == filled["rows"]]
+    groups: dict[tuple[str, ...], list[tuple[str, str]]] = {}
+    for a, b in ((as_named[a], as_named[b]) for a, b in pairs):
+        groups.setdefault(tuple(whole) if a in whole and b in whole else (a, b), []).append((a, b))
+    out = None
+    for columns, own in groups.items():
+        rows = numbers.select(*columns, *(f"t{i}" for i in range(len(ties)))).dropna(subset=list(columns))
+        one = _sums(rank_columns(rows, list(columns), [f"t{i}" for i in range(len(ties))], average), own)
+        out = one if out is None else out.unionByName(one)
+    real = F.create_map(*(F.lit(v) for pair in back.items() for v in pair))
+    return out.withColumns({c: real[F.col(c)] for c in ("column_a", "column_b")})
+
+
 def correlations(df: DataFrame, columns=None, method: str = "pearson", least: float = 0.3, top: int | None = 20, ties=()) -> DataFrame:
     """column_a, column_b, r, n, strength, direction of pairs with |r| >= least. Pearson: all pairs in one pass."""
     numeric = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
@@ -105,22 +137,7 @@ def correlations(df: DataFrame, columns=None, method: str = "pearson", least: fl
     spark = df.sparkSession
     if not pairs:
         return spark.createDataFrame([], "column_a string, column_b string, r double, n long, strength string, direction string")
-    if method == "pearson":
-        # Moments about each column's mean keep the sums small.
-        mean = df.agg(*(F.avg(P.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(names))).first()
-        at = {c: P.col(c).cast("double") - F.lit(mean[f"m{i}"] or 0.0) for i, c in enumerate(names)}
-        exprs = []
-        for k, (a, b) in enumerate(pairs):
-            both = at[a].isNotNull() & at[b].isNotNull()
-            x, y = F.when(both, at[a]), F.when(both, at[b])
-            exprs.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.count(x).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy")).alias(f"p{k}"))
-        sums = df.agg(*exprs).select(F.explode(F.array(*(f"p{k}" for k in range(len(pairs))))).alias("p")).select("p.*")
-    else:
-        sums = None
-        for a, b in pairs:
-            x = _ranked(df, a, b, method, ties)
-            one = x.agg(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.count("x").alias("n"), *(F.sum(e).alias(s) for s, e in (("sx", F.col("x")), ("sy", F.col("y")), ("sxx", F.col("x") * F.col("x")), ("syy", F.col("y") * F.col("y")), ("sxy", F.col("x") * F.col("y")))))
-            sums = one if sums is None else sums.unionByName(one)
+    sums = _sums(df, pairs) if method == "pearson" else _rank_sums(df, names, pairs, ties, method == "spearman_avg")
     out = sums.withColumn("r", F.round(_r(F.col("n").cast("double"), *map(F.col, ("sx", "sy", "sxx", "syy", "sxy"))), 4)).where(F.abs("r") >= least)
     out = out.select("column_a", "column_b", "r", "n", strength(F.col("r")).alias("strength"), F.when(F.col("r") > 0, "positive").when(F.col("r") < 0, "negative").otherwise("none").alias("direction"))
     return out if top is None else out.orderBy(F.desc(F.abs("r")), "column_a", "column_b").limit(min(top, 200))

@@ -146,8 +146,3 @@ def impact(own: str, column: dict, datasets: dict[str, list[dict]], recent_calls
     n = len(datasets)
     score = min(1.0, (2 * len(links) + len(names) + 0.5 * len(transitive) + 0.5 * bool(recent_calls)) / max(1.0, 0.3 * n + 1))
     return {"direct": links, "name_matches": names, "transitive": transitive, "runtime_calls": recent_calls, "blast_score": round(score, 4)}
-
-
-def python_tables(query: str) -> list[str]:
-    """The same table names on the driver, for one query."""
-    return list(dict.fromkeys(m.split(".")[-1].strip('"`[]').lower() for m in re.findall(TABLES, query)))

@@ -57,7 +57,6 @@ FILTERS = {
     "filter_between": ("part", [("p_size", "between", [10, 20])], "p_size BETWEEN 10 AND 20"),
     "filter_contains": ("part", [("p_name", "contains", "E")], "contains(lower(p_name), 'e')"),
     "filter_contains_number": ("part", [("p_size", "contains", "4")], "contains(CAST(p_size AS VARCHAR), '4')"),
-    "filter_is_null": ("events", [("value", "is_null", True)], "value IS NULL"),
     "filter_is_not_null": ("events", [("props", "is_null", False)], "props IS NOT NULL"),
     "filter_and": ("orders", [("o_orderstatus", "in", ["F", "O"]), ("o_totalprice", "gte", 100000), ("o_orderpriority", "contains", "urgent")], "o_orderstatus IN ('F', 'O') AND o_totalprice >= 100000 AND contains(lower(o_orderpriority), 'urgent')"),
 }
@@ -113,6 +112,9 @@ query("join_collision_suffix", "SELECT a.r_regionkey, a.r_name, b.r_regionkey AS
 _BIG = [{"column": "c_acctbal", "op": "gt", "value": 5000}]
 query("join_filters_where", "SELECT o_orderkey, o_custkey, c_custkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 5000", "orders", "customer")(lambda o, c: J.join(o, c, "o_custkey", "c_custkey", "left", ["o_orderkey", "o_custkey"], _CUST, filters_b=_BIG, limit=None))
 query("join_filters_pre", "SELECT o_orderkey, o_custkey, c_custkey, c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 5000) ON o_custkey = c_custkey", "orders", "customer")(lambda o, c: J.join(o, c, "o_custkey", "c_custkey", "left", ["o_orderkey", "o_custkey"], _CUST, filters_b=_BIG, filter_mode="pre", limit=None))
+query("filter_is_null", "SELECT o_orderkey, o_custkey, c_custkey FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 5000) ON o_custkey = c_custkey WHERE c_custkey IS NULL", "orders", "customer")(
+    lambda o, c: P.where(J.join(o, c, "o_custkey", "c_custkey", "left", ["o_orderkey", "o_custkey"], ["c_custkey"], filters_b=_BIG, filter_mode="pre", limit=None), [{"column": "c_custkey", "op": "is_null", "value": True}])
+)
 query("join_page", "SELECT o_orderkey, o_custkey, c_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_orderkey LIMIT 30 OFFSET 10", "orders", "customer")(lambda o, c: J.join(o, c, "o_custkey", "c_custkey", "inner", ["o_orderkey", "o_custkey"], _CUST, order_by="o_orderkey", limit=30, offset=10))
 query("containment_joins", "SELECT 'customer' AS target, 'c_custkey' AS target_column, count(*) AS n_values, count(c_custkey) AS n_found, round(count(c_custkey) / count(*), 4) AS containment FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS v FROM orders) LEFT JOIN customer ON v = CAST(c_custkey AS VARCHAR)", "orders", "customer")(
     lambda o, c: J.suggest_joins(o, "o_custkey", {"customer": (c, "c_custkey")}, sample=None)
@@ -126,8 +128,8 @@ SQL_TEXTS = {
     "sql_window_frame": (("events",), "SELECT event_id, sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s3, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev, lead(event_id, 2) OVER (PARTITION BY user_id ORDER BY event_id) AS nxt, first_value(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS f FROM rows"),
     "sql_setops": (("customer", "supplier"), "SELECT c_nationkey AS k FROM rows INTERSECT SELECT s_nationkey AS k FROM supplier.rows UNION SELECT 99 AS k EXCEPT SELECT 3 AS k"),
     "sql_exists_semi": (("customer", "orders"), "SELECT c_custkey FROM rows c WHERE EXISTS (SELECT 1 FROM orders.rows o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 250000)"),
-    "sql_anti": (("customer", "orders"), "SELECT c_custkey FROM rows c WHERE NOT EXISTS (SELECT 1 FROM orders.rows o WHERE o.o_custkey = c.c_custkey)"),
-    "sql_scalar_subquery": (("part",), "SELECT p_partkey, p_retailprice FROM rows WHERE p_retailprice > (SELECT avg(p_retailprice) * 1.2 FROM rows)"),
+    "sql_anti": (("customer", "orders"), "SELECT c_custkey FROM rows c WHERE NOT EXISTS (SELECT 1 FROM orders.rows o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 250000)"),
+    "sql_scalar_subquery": (("part",), "SELECT p_partkey, p_retailprice FROM rows WHERE p_retailprice > (SELECT avg(p_retailprice) * 1.05 FROM rows)"),
     "sql_multi_dataset": (("nation", "region", "customer"), "SELECT r.r_name, count(*) AS n, avg(c.c_acctbal) AS bal FROM rows n JOIN region.rows r ON n.n_regionkey = r.r_regionkey JOIN customer.rows c ON c.c_nationkey = n.n_nationkey GROUP BY r.r_name"),
     "sql_full_join": (("customer", "supplier"), "SELECT a.k AS ka, b.k AS kb FROM (SELECT DISTINCT c_nationkey AS k FROM rows WHERE c_acctbal > 9000) a FULL JOIN (SELECT DISTINCT s_nationkey AS k FROM supplier.rows WHERE s_acctbal > 9000) b ON a.k = b.k"),
     "sql_filter_clause": (("lineitem",), "SELECT l_returnflag, count(*) FILTER (WHERE l_discount > 0.05) AS n, sum(CASE WHEN l_tax > 0.04 THEN 1 ELSE 0 END) AS taxed FROM rows GROUP BY l_returnflag"),
@@ -250,7 +252,7 @@ query("corr_spearman_average", "WITH x AS (SELECT rank() OVER (ORDER BY l_quanti
 
 # ---------------------------------------------------------------- quality
 _HEALTH = {"c_custkey": "integer", "c_acctbal": "float", "c_mktsegment": "string"}
-query("hotspots", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(0.4 * (round_even(100.0 * (count(*) - count({c})) / count(*), 1) / 100) + 0.3 * {'0.2 * (count(DISTINCT ' + c + ') / count(' + c + '))' if k != 'string' else 'CASE WHEN count(DISTINCT ' + c + ') <= 1 THEN 0.8 WHEN count(DISTINCT ' + c + ') / count(' + c + ') > 0.95 THEN 0.5 ELSE 0.2 * (count(DISTINCT ' + c + ') / count(' + c + ')) END'} + 0.3 * {'0' if k == 'string' else 'least((max(' + c + ') - min(' + c + ')) / abs(avg(' + c + ')) / 5, 1)'}, 4) AS score FROM customer" for c, k in _HEALTH.items()) + ")", "customer")(lambda c: Q.hotspot_frame(PR.profile_frame(c.sparkSession, PR.profile(c.select(*_HEALTH)))))
+query("hotspots", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(0.4 * (round_even(100.0 * (count(*) - count({c})) / count(*), 1) / 100) + 0.3 * {'0.2 * (count(DISTINCT ' + c + ') / count(' + c + '))' if k != 'string' else 'CASE WHEN count(DISTINCT ' + c + ') <= 1 THEN 0.8 WHEN count(DISTINCT ' + c + ') / count(' + c + ') > 0.95 THEN 0.5 ELSE 0.2 * (count(DISTINCT ' + c + ') / count(' + c + ')) END'} + 0.3 * {'0' if k == 'string' else 'least((max(' + c + ') - min(' + c + ')) / abs(avg(' + c + ')) / 5, 1)'}, 4) AS score FROM customer" for c, k in _HEALTH.items()) + ")", "customer")(lambda c: c.sparkSession.createDataFrame([(h["column"], h["score"]) for h in Q.hotspots(PR.profile(c.select(*_HEALTH)))], "column string, score double"))
 
 
 def _health(c: DataFrame) -> DataFrame:
@@ -262,13 +264,18 @@ query("health_score", "SELECT score, CASE WHEN score >= 0.9 THEN 'A' WHEN score
 query("radar_axes", None, "orders")(lambda o: o.sparkSession.createDataFrame([(k, float(v)) for k, v in Q.radar(PR.profile(o))["axes"].items()], "axis string, value double"))
 
 
+def _drift(a: DataFrame, b: DataFrame) -> DataFrame:
+    found = Q.schema_drift(PR.profile(a), PR.profile(b))
+    return a.sparkSession.createDataFrame([(c, change) for change in ("added", "removed") for c in found[change]], "column string, change string")
+
+
 def _keys(o: DataFrame) -> DataFrame:
     rows = [(k["column"], k["confidence"]) for k in Q.suggest_keys(PR.profile(o.select("o_orderkey", "o_custkey", "o_orderstatus")))]
     return o.sparkSession.createDataFrame(rows, "column string, confidence double")
 
 
 query("keys_ranked", "SELECT 'o_orderkey' AS \"column\", 0.9::DOUBLE AS confidence FROM orders HAVING count(*) = count(DISTINCT o_orderkey)", "orders")(_keys)
-query("drift_added_removed", "SELECT * FROM (VALUES ('r_regionkey', 'removed'), ('r_name', 'removed'), ('n_nationkey', 'added'), ('n_name', 'added'), ('n_regionkey', 'added')) t(\"column\", change)", "region", "nation")(Q.drift_frame)
+query("drift_added_removed", "SELECT coalesce(a.column_name, b.column_name) AS \"column\", CASE WHEN b.column_name IS NULL THEN 'removed' ELSE 'added' END AS change FROM (DESCRIBE region) a FULL JOIN (DESCRIBE nation) b ON a.column_name = b.column_name WHERE a.column_name IS NULL OR b.column_name IS NULL", "region", "nation")(_drift)
 
 
 def _similar(c: DataFrame, s: DataFrame) -> DataFrame:
@@ -280,6 +287,15 @@ def _similar(c: DataFrame, s: DataFrame) -> DataFrame:
 query("similar_columns", None, "customer", "supplier")(_similar)
 
 # ---------------------------------------------------------------- redaction, traffic
+#: texts made of order numbers: what looks like a number of a kind is one for some rows only
+_SSN = "concat('ssn ', lpad(CAST(o_orderkey % 1000 AS {s}), 3, '0'), '-', lpad(CAST(o_custkey % 100 AS {s}), 2, '0'), '-', lpad(CAST(o_orderkey % 7 AS {s}), 4, '0'), '.')"
+_CARD = "concat('4', lpad(CAST((o_orderkey * 104729) % 1000000007 AS {s}), 15, '0'))"
+query("redact_ssn", f"SELECT o_orderkey, CASE WHEN o_orderkey % 1000 NOT IN (0, 666) AND o_orderkey % 1000 < 900 AND o_custkey % 100 > 0 AND o_orderkey % 7 > 0 THEN 'ssn [REDACTED:ssn].' ELSE {_SSN.format(s='VARCHAR')} END AS text FROM orders", "orders")(
+    lambda o: R.redact(o.select("o_orderkey", F.expr(_SSN.format(s="STRING")).alias("text")), kinds=["ssn"])
+)
+query("redact_card_luhn", f"SELECT o_orderkey, CASE WHEN list_sum([CASE WHEN i % 2 = 1 THEN (2 * CAST(substr(c, i, 1) AS INT)) % 10 + (2 * CAST(substr(c, i, 1) AS INT)) // 10 ELSE CAST(substr(c, i, 1) AS INT) END FOR i IN range(1, 17)]) % 10 = 0 THEN 'card [REDACTED:credit_card] end' ELSE concat('card ', c, ' end') END AS text FROM (SELECT o_orderkey, {_CARD.format(s='VARCHAR')} AS c FROM orders)", "orders")(
+    lambda o: R.redact(o.select("o_orderkey", F.expr(f"concat('card ', {_CARD.format(s='STRING')}, ' end')").alias("text")), kinds=["credit_card"])
+)
 _EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}\b"
 query("redact_email", rf"SELECT doc_id, regexp_replace(text, '{_EMAIL}', '[REDACTED:email]', 'g') AS text FROM documents", "documents")(lambda d: R.redact(d.select("doc_id", "text"), kinds=["email"]))
 query("redact_counts_email", rf"SELECT 'email' AS kind, CAST(sum(len(regexp_extract_all(text, '{_EMAIL}'))) AS BIGINT) AS hits, count(*) FILTER (WHERE regexp_matches(text, '{_EMAIL}')) AS cells FROM documents HAVING hits > 0", "documents")(lambda d: R.redaction_counts(d.select("text"), kinds=["email"]))

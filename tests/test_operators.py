@@ -326,3 +326,27 @@ def test_samples_of_a_column_that_starts_empty(spark):
     p = profile(df)[1]
     assert len(p["sample_values"]) == 10
     assert p["semantic_type"] == "email"
+
+
+def test_rank_correlations_of_many_columns(spark):
+    """Columns without nulls are ranked once, the others by pair; both as pandas ranks them."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    p = pd.DataFrame({"a b": rng.integers(0, 9, 400), "b": rng.normal(size=400), "c": rng.integers(0, 50, 400) * 0.5, "x0": rng.normal(size=400)})
+    p["d"] = p.b.where(p.c > 5) + 0.2 * p["a b"]
+    df = spark.createDataFrame([tuple(None if v != v else float(v) for v in r) for r in p.to_numpy().tolist()], ", ".join(f"`{c}` double" for c in p.columns))
+    got = {(r.column_a, r.column_b): (r.r, r.n) for r in ST.correlations(df, None, "spearman_avg", 0.0, None).collect()}
+    assert len(got) == 10
+    for (a, b), (r, n) in got.items():
+        both = p[[a, b]].dropna()
+        assert n == len(both)
+        assert r == pytest.approx(both[a].rank().corr(both[b].rank()), abs=6e-5)
+
+
+def test_one_scan_more_for_each_ranked_column(spark):
+    """The plan deals the table once a column, not once a pair."""
+    df = spark.range(200).select(*((F.col("id") * k % 17).cast("double").alias(f"c{k}") for k in range(1, 6)))
+    plan = ST.correlations(df, None, "spearman", 0.0, None)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 5
