@@ -185,14 +185,17 @@ def _confirm(percent: int):
     return run
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int, ws: Workspace, name: str) -> DataFrame:
     """The pairs (a, b) whose full sets are as similar as asked. A centre's pairs go in chunks, each with its text once."""
     # Only centres with more pairs than a chunk are looked up: few rows, and pairs of a common centre need not meet.
     sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")).where("chunks > 1")
     dealt = salted(pairs, sizes, ["a"], "b", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("chunks", F.lit(1))).alias("chunk"))
+    dealt = ws.put(dealt, f"{name}_dealt")
     members = dealt.join(texts.withColumnRenamed("node", "b"), "b")
     centres = dealt.select(F.col("a").alias("ca"), F.col("chunk").alias("cc")).distinct().join(texts.select(F.col("node").alias("ca"), F.col("text").alias("text")), "ca")
-    return members.groupBy("a", "chunk").cogroup(centres.groupBy("ca", "cc")).applyInArrow(_confirm(percent), "a long, b long")
+    out = ws.put(members.groupBy("a", "chunk").cogroup(centres.groupBy("ca", "cc")).applyInArrow(_confirm(percent), "a long, b long"), name)
+    ws.drop(f"{name}_dealt")
+    return out
 
 
 def components(nodes: DataFrame, links: DataFrame, ws: Workspace, name: str) -> DataFrame:
@@ -290,32 +293,48 @@ def _cross(percent: int, between: bool, unite: bool):
     return run
 
 
-def _apart(buckets: DataFrame, comp: DataFrame, sketches: DataFrame, percent: int, between: bool, unite: bool = True) -> DataFrame:
+def _apart(buckets: DataFrame, comp: DataFrame, sketches: DataFrame, percent: int, between: bool, unite: bool = True, ws: Workspace | None = None, name: str = "apart") -> DataFrame:
     """Candidate pairs (a, b, sure) of buckets that hold several components: within blocks, or between all blocks of different
-    components. Without ``unite`` no pair stands for others of the same components."""
-    rows = buckets.select("bucket", "band", "node", "n_shingles").join(comp, "node")
-    sizes = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
+    components. Without ``unite`` no pair stands for others of the same components.
+
+    Each step is a table of its own: a plan of all of them has dozens of exchanges, which all run at the same time, and the
+    driver holds their tasks, the sizes of their blocks and a thread each. Sketches are joined last, so they are dealt once."""
+    ws = ws or Workspace(buckets.sparkSession, "apart")
+    rows = ws.put(buckets.select("bucket", "band", "node", "n_shingles").join(comp, "node"), f"{name}_rows")
+    sizes = ws.put(rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m")), f"{name}_sizes")
     large = F.col("m") >= BUCKET_BLOCK
     mixed = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(~large, F.col("m"))), F.lit(0)).alias("small")).where("n > 1").drop("n")
     own = F.when(large, F.col("comp")).otherwise(F.lit(-1))
     parts = salted(sizes, mixed, ["bucket"], "comp").select("bucket", "comp", own.alias("part"), F.ceil(F.when(large, F.col("m")).otherwise(F.col("small")) / BUCKET_BLOCK).cast("int").alias("n_blocks"))
+    parts = ws.put(parts, f"{name}_parts")
     placed = salted(rows, parts, ["bucket", "comp"], "node").withColumn("block", F.pmod(F.xxhash64("node", F.lit(int(between))), "n_blocks").cast("int"))
+    placed = ws.put(placed.select("bucket", "part", "block", "band", "node", "comp", "n_shingles"), f"{name}_placed")
     blocks = parts.select("bucket", "part", "n_blocks").distinct().select("bucket", "part", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
+    keys = ("bucket", "part", "block", "part2", "block2")
     if between:
+        blocks = ws.put(blocks, f"{name}_blocks")
         other = blocks.select("bucket", F.col("part").alias("part2"), F.col("block").alias("block2"))
         meet = (F.col("part") < F.col("part2")) | ((F.col("part") == -1) & (F.col("part2") == -1) & (F.col("block") <= F.col("block2")))
-        pairs = blocks.join(other, "bucket").where(meet)
+        pairs = ws.put(blocks.join(other, "bucket").where(meet).select(*keys), f"{name}_pairs")
     else:
         pairs = blocks.where("part = -1").select("*", F.col("part").alias("part2"), F.col("block").alias("block2"))
-    placed = placed.join(sketches, "node").select("bucket", "part", "block", "band", "node", "comp", "n_shingles", "sig", "low")
-    left = placed.join(pairs, ["bucket", "part", "block"])
-    keys, run, schema = ("bucket", "part", "block", "part2", "block2"), _cross(percent, between, unite), "a long, b long, sure boolean"
-    if not between:
-        return left.groupBy(*keys).applyInArrow(lambda key, t: run(key, t, t), schema).groupBy("a", "b").agg(F.max("sure").alias("sure"))
-    others = pairs.where((F.col("part") != F.col("part2")) | (F.col("block") != F.col("block2")))
-    right = placed.withColumnsRenamed({"part": "part2", "block": "block2"}).join(others, ["bucket", "part2", "block2"])
-    right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns of its own, apart from the left side's
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema).groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    columns = (*keys, "band", "node", "comp", "n_shingles")
+    met = placed.join(pairs, ["bucket", "part", "block"]).select(*columns, F.lit(True).alias("first"))
+    if between:
+        others = pairs.where((F.col("part") != F.col("part2")) | (F.col("block") != F.col("block2")))
+        right = placed.withColumnsRenamed({"part": "part2", "block": "block2"}).join(others, ["bucket", "part2", "block2"])
+        met = met.unionByName(right.select(*columns, F.lit(False).alias("first")))
+    met = ws.put(met, f"{name}_met")
+    ws.drop(*(f"{name}_{x}" for x in ("rows", "sizes", "parts", "placed", "blocks", "pairs")))
+    run = _cross(percent, between, unite)
+
+    def sides(key, t):
+        import pyarrow.compute as pc
+
+        left = t.filter(t.column("first"))
+        return run(key, left, t.filter(pc.invert(t.column("first"))) if between else left)
+
+    return met.join(sketches, "node").groupBy(*keys).applyInArrow(sides, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -347,14 +366,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def link(pairs, k):
         """The components after the pairs of round k are confirmed; none new: as before."""
         nonlocal links
-        new = ws.put(confirm(pairs, used, percent), f"links{k}")
+        new = confirm(pairs, used, percent, ws, f"links{k}")
         links = new if links is None else links.unionByName(new)
         return ws.put(components(nodes, links, ws, f"step{k}"), f"comp{k}") if new.head(1) else comp
 
     comp = link(tried, 0)
     # Round 1 joins what it can within blocks, round 2 compares all blocks; a third is for certain pairs that were not confirmed.
     for k, between, unite in ((1, False, True), (2, True, True), (3, True, False)):
-        found = ws.put(_apart(buckets, comp, sketches, percent, between, unite), f"found{k}")
+        found = ws.put(_apart(buckets, comp, sketches, percent, between, unite, ws, f"apart{k}"), f"found{k}")
+        ws.drop(f"apart{k}_met")
         more = ws.put(found.select("a", "b").join(tried, ["a", "b"], "left_anti"), f"pairs{k}")
         if more.head(1):
             comp = link(more, k)

@@ -219,6 +219,20 @@ def test_near_certain_pairs_that_fail(spark, monkeypatch):
     assert rows(N.near_dedup(df), "doc_id", "n_shingles", "component_id", "kept") == brute_near(docs)
 
 
+def test_near_in_small_plans(spark, monkeypatch):
+    """All exchanges of a plan run at the same time and are held by the driver: no plan has more than a few."""
+    exchanges, put = [], C.Workspace.put
+
+    def counted(self, df, *args, **named):
+        exchanges.append(str(df._jdf.queryExecution().executedPlan()).count("Exchange "))
+        return put(self, df, *args, **named)
+
+    monkeypatch.setattr(C.Workspace, "put", counted)
+    df, docs = documents(spark)
+    N.near_dedup(df)
+    assert max(exchanges) <= 8
+
+
 def test_components_of_hubs(spark, monkeypatch):
     monkeypatch.setattr(N, "HUB", 3)
     rng = np.random.default_rng(5)
