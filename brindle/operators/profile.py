@@ -6,6 +6,9 @@ number of distinct values is small; columns that look unique get an exact distin
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +20,8 @@ from .rows import ROW_ID
 
 QUANTILES = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 VALUES, INDEX, TOP, SAMPLES, RSD = 5000, 1000, 50, 10, 0.023
+#: how far from a quantile its bracket's ends are looked up: twice the sketch's error, then more; the last one holds all values
+BRACKETS = (0.0002, 0.01, 1.0)
 
 
 def frequencies(text: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -34,6 +39,39 @@ def top_values(text: DataFrame, k: int = TOP, columns: list[str] | None = None)
     return frequencies(text, columns).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("column", "value", "n", "place")
 
 
+def exact_quantiles(df: DataFrame, columns: list[str], at: dict[str, float] = QUANTILES) -> DataFrame:
+    """name and one exact quantile a key of ``at``, interpolated as by ``percentile``; null where a column has no values.
+
+    ``percentile`` keeps all distinct values of a column in one task's heap. Here a sketch brackets each quantile, an exact count
+    checks the brackets (wider ones are tried until all hold theirs), and only values within brackets are counted one by one."""
+    spark, schema = df.sparkSession, ", ".join(["name string", *(f"{k} double" for k in at)])
+    cells = df.select(*(col(c).cast("double").alias(f"v{k}") for k, c in enumerate(columns)))
+    value = [F.col(f"v{k}") for k in range(len(columns))]
+    for margin in BRACKETS:
+        ends = [min(1.0, max(0.0, q + d)) for q in at.values() for d in (-margin, margin)]
+        wide = cells.agg(*(e for k, v in enumerate(value) for e in (F.count(v).alias(f"n{k}"), F.percentile_approx(v, ends, 10_000).alias(f"e{k}")))).first()
+        # (column, quantile, low end, high end, place among the sorted values, from 0)
+        spans = [(k, i, wide[f"e{k}"][2 * i], wide[f"e{k}"][2 * i + 1], (wide[f"n{k}"] - 1) * q) for k in range(len(columns)) if wide[f"n{k}"] for i, q in enumerate(at.values())]
+        if not spans:
+            return spark.createDataFrame([(c, *(None for _ in at)) for c in columns], schema)
+        sides = cells.agg(*(e for j, (k, _, low, high, _) in enumerate(spans) for e in (F.count_if(value[k] < low).alias(f"b{j}"), F.count_if(value[k] <= high).alias(f"u{j}")))).first()
+        if all(sides[f"b{j}"] <= math.floor(s[4]) and math.ceil(s[4]) < sides[f"u{j}"] for j, s in enumerate(spans)):
+            break
+    within = [value[k].between(low, high) for k, _, low, high, _ in spans]
+    found = [F.when(w, F.struct(F.lit(j).alias("j"), value[s[0]].alias("value"))) for j, (w, s) in enumerate(zip(within, spans, strict=True))]
+    counted = cells.where(reduce(lambda a, b: a | b, within)).select(F.explode(F.array_compact(F.array(*found))).alias("x")).groupBy("x.j", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    before = F.element_at(F.array(*(F.lit(sides[f"b{j}"]).cast("long") for j in range(len(spans)))), F.col("j") + 1)
+    upto = before + F.sum("n").over(Window.partitionBy("j").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    place = F.element_at(F.array(*(F.lit(float(s[4])) for s in spans)), F.col("j") + 1)
+    ranked = counted.select("j", "value", upto.alias("upto"), place.alias("place"))
+    ends = ranked.groupBy("j").agg(*(F.min(F.when(F.col("upto") > f("place"), F.col("value"))).alias(n) for n, f in (("low", F.floor), ("high", F.ceil))))
+    got: dict[tuple[int, int], float] = {}
+    for r in ends.collect():  # one row a column and quantile
+        k, i, _, _, p = spans[r["j"]]
+        got[k, i] = r["low"] if r["low"] == r["high"] else (math.ceil(p) - p) * r["low"] + (p - math.floor(p)) * r["high"]
+    return spark.createDataFrame([(c, *(got.get((k, i)) for i in range(len(at)))) for k, c in enumerate(columns)], schema)
+
+
 def _cells(f: T.StructField, k: int) -> list:
     """What the wide aggregate needs of a column's values, computed once a row; typed columns need no patterns."""
     c = col(f.name)

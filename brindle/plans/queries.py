@@ -207,24 +207,19 @@ def _profiled(*facts: str, places: dict[str, int] | None = None):
     return f
 
 
-def _numbers(*exprs):
-    def f(customer, orders, lineitem):
-        at = {"customer": customer, "orders": orders, "lineitem": lineitem}
-        out = None
-        for t, c in _NUMERIC:
-            one = at[t].agg(F.lit(c).alias("name"), *(e(F.col(c)) for e in exprs))
-            out = one if out is None else out.unionByName(one)
-        return out
-
-    return f
+def _quantiles(customer, orders, lineitem):
+    """Exact quantiles of number columns, all of a table at once."""
+    at, out = {"customer": customer, "orders": orders, "lineitem": lineitem}, None
+    for t in at:
+        one = PR.exact_quantiles(at[t], [c for x, c in _NUMERIC if x == t])
+        out = one if out is None else out.unionByName(one)
+    return out.select("name", *(F.round(k, 4).alias(k) for k in PR.QUANTILES))
 
 
 _union = lambda body: " UNION ALL ".join(f"SELECT '{c}' AS name, {body.format(c=c)} FROM {t}" for t, c in _NUMERIC)
 query("profile_minmax", _union("min({c})::DOUBLE AS min, max({c})::DOUBLE AS max"), "customer", "orders", "lineitem")(_profiled("min", "max"))
 query("profile_moments", _union("round(avg({c}), 6) AS mean, round(var_samp({c}), 3) AS variance, round(stddev_samp({c}), 4) AS std_dev"), "customer", "orders", "lineitem")(_profiled("mean", "variance", "std_dev", places={"mean": 6, "variance": 3, "std_dev": 4}))
-query("profile_quantiles_exact", _union(", ".join(f"round(quantile_cont({{c}}, {q}), 4) AS {k}" for k, q in PR.QUANTILES.items())), "customer", "orders", "lineitem")(
-    _numbers(*((lambda c, k=k, q=q: F.round(F.percentile(c, F.lit(q)), 4).alias(k)) for k, q in PR.QUANTILES.items()))
-)
+query("profile_quantiles_exact", _union(", ".join(f"round(quantile_cont({{c}}, {q}), 4) AS {k}" for k, q in PR.QUANTILES.items())), "customer", "orders", "lineitem")(_quantiles)
 query("profile_quantiles_sketch", None, "lineitem")(lambda t: t.agg(*(F.percentile_approx("l_extendedprice", q, 10_000).alias(k) for k, q in PR.QUANTILES.items())))
 query("profile_topvalues", 'SELECT "column", value, n, place FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS place FROM (SELECT \'event_type\' AS "column", event_type AS value, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT \'user_id\', CAST(user_id AS VARCHAR), count(*) FROM events GROUP BY 2)) WHERE place <= 5', "events")(lambda e: PR.top_values(I.canonical_frame(e.select("event_type", "user_id")), 5))
 

@@ -350,3 +350,37 @@ def test_one_scan_more_for_each_ranked_column(spark):
     df = spark.range(200).select(*((F.col("id") * k % 17).cast("double").alias(f"c{k}") for k in range(1, 6)))
     plan = ST.correlations(df, None, "spearman", 0.0, None)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Window [") == 5
+
+
+def test_exact_quantiles_are_percentiles(spark, monkeypatch):
+    """Also where the first brackets miss, of nulls, signs, ties, NaN and columns without values."""
+    df = spark.range(5000).selectExpr(
+        "double(hash(id)) / 7 AS many", "int(id % 3) AS few", "if(id % 2 = 0, null, -id / 100) AS half", "double(null) AS none",
+        "if(id < 100, double('nan'), if(id < 200, double('infinity'), double(id))) AS odd", "if(id = 7, 1.5, null) AS one", "if(id in (7, 8), id, null) AS two",
+    )
+    qs = list(PR.QUANTILES.values())
+    want = [(c, *(df.selectExpr(f"percentile({c}, array({', '.join(map(str, qs))})) AS q").first().q or [None] * len(qs))) for c in df.columns]
+    for brackets in (PR.BRACKETS, (0.0, 0.0, 1.0)):
+        monkeypatch.setattr(PR, "BRACKETS", brackets)
+        assert list(map(str, rows(PR.exact_quantiles(df, df.columns)))) == list(map(str, want))
+    assert rows(PR.exact_quantiles(df.limit(0), ["many"])) == [("many", *[None] * 6)]
+
+
+def test_exact_quantiles_keep_no_map_of_all_values(spark):
+    """The registered query doesn't aggregate by ``percentile``, which holds every distinct value in one task's heap."""
+    from brindle.plans import queries as QS
+
+    planned = []
+    aggregate = PR.exact_quantiles
+
+    def seen(df, columns):
+        planned.append(columns)
+        return aggregate(df, columns)
+
+    PR.exact_quantiles = seen
+    try:
+        out = QS.QUERIES["profile_quantiles_exact"](spark, "/root/testdata/sf0.001")
+    finally:
+        PR.exact_quantiles = aggregate
+    assert planned == [["c_acctbal"], ["o_totalprice"], ["l_quantity", "l_extendedprice"]]
+    assert "percentile(" not in str(out._jdf.queryExecution().optimizedPlan())
