@@ -10,6 +10,7 @@ import atexit
 import re
 import shutil
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -26,7 +27,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+    if not one_process(spark):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="brindle-")
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
@@ -34,6 +35,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def one_process(spark: SparkSession) -> bool:
+    """Whether the driver runs the tasks itself."""
+    return bool(re.match(r"local(\[|$)", spark.sparkContext.master))
+
+
 @contextmanager
 def conf(spark: SparkSession, **values):
     """Session settings for the time of one action."""
@@ -57,6 +63,41 @@ BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 _batch_before: dict[int, tuple[SparkSession, str]] = {}
 
 
+#: The driver's heap may take this share of its limit before garbage is collected; seconds between looks, and after a collection.
+HEAP_SHARE, HEAP_LOOK, HEAP_REST = 0.45, 1.0, 10.0
+_watches: dict[str, HeapWatch] = {}
+
+
+class HeapWatch(threading.Thread):
+    """Collects the garbage of the driver's JVM whenever its heap has grown beyond a share of the limit.
+
+    Plans, events of tasks, broadcasts and shuffles of tables that are written are garbage. Left alone the heap grows to its limit
+    over a long call before most of it is collected, and the threads, buffers and code of the JVM take as much again beside
+    it. A full collection gives the free heap back to the system, and lets Spark's cleaner remove what is out of use."""
+
+    def __init__(self, spark: SparkSession):
+        super().__init__(name="heap-watch", daemon=True)
+        self.spark, self.ended = spark, threading.Event()
+
+    def run(self) -> None:
+        try:
+            system, heap = self.spark._jvm.java.lang.System, self.spark._jvm.java.lang.Runtime.getRuntime()
+            while not self.ended.wait(HEAP_LOOK):
+                if heap.totalMemory() > HEAP_SHARE * heap.maxMemory():
+                    system.gc()
+                    self.ended.wait(HEAP_REST)
+        except Exception:  # the session is gone
+            pass
+
+
+def watch_heap(spark: SparkSession) -> None:
+    """One watch a session, until ``clean``. None where tasks share the driver's heap."""
+    key = spark.sparkContext.applicationId
+    if not one_process(spark) and not (key in _watches and _watches[key].is_alive()):
+        _watches[key] = HeapWatch(spark)
+        _watches[key].start()
+
+
 class Workspace:
     """Tables of one operator call in the shared folder. ``drop`` removes those that a later one replaces."""
 
@@ -68,6 +109,7 @@ class Workspace:
         if id(spark) not in _batch_before:
             _batch_before[id(spark)] = (spark, spark.conf.get(BATCH))
             spark.conf.set(BATCH, BATCH_BYTES)
+        watch_heap(spark)
         self.tables: list[str] = []
         _made.append((spark, self))
 
@@ -105,6 +147,9 @@ def remove(spark: SparkSession, path: str) -> None:
 def clean() -> None:
     """Removes the tables of all operator calls so far (results that were not written yet are lost), also from the catalog, and
     restores the session's settings. Runs at exit."""
+    for watch in _watches.values():
+        watch.ended.set()
+    _watches.clear()
     done, _made[:] = list(_made), []
     for spark, ws in done:
         try:

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from fixtures_llm import brute_exact, brute_lines, brute_near, brute_substring, documents, prose, shingles
@@ -233,6 +235,31 @@ def test_near_in_small_plans(spark, monkeypatch):
     assert max(exchanges) <= 8
 
 
+def test_heap_watch(spark, monkeypatch):
+    """Garbage of the driver's JVM goes while the heap is beyond its share, until ``clean``; no watch where tasks run in the driver."""
+    for name, value in (("_watches", {}), ("_made", []), ("_batch_before", {}), ("HEAP_SHARE", 1.0), ("HEAP_LOOK", 0.05), ("HEAP_REST", 0.05)):
+        monkeypatch.setattr(C, name, value)
+    full = [*spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()][-1]
+    C.watch_heap(spark)
+    assert not C._watches
+    monkeypatch.setattr(C, "one_process", lambda _: False)
+    C.watch_heap(spark)
+    (watch,) = C._watches.values()
+    C.watch_heap(spark)
+    assert [*C._watches.values()] == [watch]
+    before = full.getCollectionCount()
+    time.sleep(0.5)
+    assert full.getCollectionCount() == before
+    monkeypatch.setattr(C, "HEAP_SHARE", 0.0)
+    end = time.time() + 20
+    while full.getCollectionCount() < before + 2 and time.time() < end:
+        time.sleep(0.1)
+    assert full.getCollectionCount() >= before + 2
+    C.clean()
+    watch.join(10)
+    assert not watch.is_alive() and not C._watches
+
+
 def test_components_of_hubs(spark, monkeypatch):
     monkeypatch.setattr(N, "HUB", 3)
     rng = np.random.default_rng(5)
